@@ -17,6 +17,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def slice_array(
+    arr: Column, is_header: Callable[[Column], Column], absorb_lead: bool = False, part: str = "part"
+) -> Column:
+    """Cut an array at its header elements: an array of (at, part) with the header first in each part.
+
+    Elements ahead of the first header form a part of their own, or with ``absorb_lead`` belong
+    to the first one. Every element is copied once, so the cost is linear.
+    """
+    hits = F.filter(
+        F.transform(arr, lambda s, i: F.when(is_header(s), i).otherwise(F.lit(-1))), lambda i: i >= 0
+    )
+    zero = F.array(F.lit(0))
+    if absorb_lead:
+        starts = let(hits, lambda h: F.concat(zero, F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0)))))
+    else:
+        starts = F.array_distinct(F.concat(zero, hits))
+    return let(starts, lambda st: F.transform(st, lambda at, j: F.struct(
+        at.alias("at"),
+        F.slice(arr, at + 1, F.coalesce(F.get(st, j + 1), F.size(arr)) - at).alias(part),
+    )))
+
+
 def explode_slices(
     df: DataFrame,
     arr: str,
@@ -26,35 +48,12 @@ def explode_slices(
     absorb_lead: bool = False,
     part: str = "part",
 ) -> DataFrame:
-    """Cut an array column at its header elements and emit one row per slice.
-
-    Each output row has ``keep``, ``base`` (position of the slice's first element in the
-    file) and ``part`` (the slice itself, header first). Every element is copied once, so
-    the cost is linear in the file. With ``absorb_lead`` elements ahead of the first
-    header join the first slice instead of forming their own.
-    """
-    col = F.col(arr)
-    hits = F.filter(
-        F.transform(col, lambda s, i: F.when(is_header(s), i).otherwise(F.lit(-1))),
-        lambda i: i >= 0,
-    )
-    zero = F.array(F.lit(0))
-    if absorb_lead:
-        starts = F.concat(zero, F.slice(F.col("_hits"), 2, F.greatest(F.size("_hits") - 1, F.lit(0))))
-    else:
-        starts = F.array_distinct(F.concat(zero, F.col("_hits")))
+    """One row per slice of an array column: ``keep``, ``base`` (position in the file) and ``part``."""
     offset = F.lit(0) if base is None else base
-    cut = df.withColumn("_hits", hits).withColumn("_starts", starts)
-    slices = F.transform(
-        F.col("_starts"),
-        lambda at, j: F.struct(
-            at.alias("at"),
-            F.slice(col, at + 1, F.coalesce(F.get(F.col("_starts"), j + 1), F.size(col)) - at).alias(part),
-        ),
-    )
+    cut = df.withColumn("_slices", slice_array(F.col(arr), is_header, absorb_lead, part))
     # the outer form on purpose: for the inner one the optimizer adds a size check that it pushes
     # down, and with it a second evaluation of everything the array is computed from
-    return cut.select(*keep, offset.alias("_offset"), F.inline_outer(slices)).select(
+    return cut.select(*keep, offset.alias("_offset"), F.inline_outer("_slices")).select(
         *keep, (F.col("_offset") + F.col("at")).alias("base"), part
     )
 

@@ -23,7 +23,7 @@ _CLAUSE_WORDS = (
 )
 
 
-def _events(sents: Column, base: Column) -> Column:
+def data_events(sents: Column, base: Column) -> Column:
     """Section headers, FD entries and items of a data division; the rest is dropped."""
     def classify(s: Column, i: Column) -> Column:
         kind = (
@@ -96,22 +96,24 @@ def _step(prev: Column, e: Column) -> Column:
     return let(F.filter(prev["stack"], lambda p: p["level"] < keep), with_stack)
 
 
+def scan_entries(events: Column) -> Column:
+    """Data entries with their context from the event array of a data division."""
+    empty = F.struct(
+        F.array().cast(_STACK).alias("stack"), F.lit(0).alias("fillers"),
+        *[F.lit(None).alias(c) for c in (
+            "section", "fd", "record_no", "no", "parent_no", "level", "name", "filler_no", "qpath", "text")],
+    ).cast(_STATE)
+    return F.transform(scan_states(events, _STATE, empty, _step), lambda s: s.dropFields("stack", "fillers"))
+
+
 def item_arrays(division_rows: DataFrame) -> DataFrame:
     """path, program and ``entries``: the data entries of each unit in source order, with their context.
 
     Copybooks have no division header; their items are taken too.
     """
     data = division_rows.where(F.col("division").isNull() | (F.col("division") == "DATA"))
-    events = data.select("path", "program", _events(F.col("div_sents"), F.col("base")).alias("events"))
-    empty = F.struct(
-        F.array().cast(_STACK).alias("stack"), F.lit(0).alias("fillers"),
-        *[F.lit(None).alias(c) for c in (
-            "section", "fd", "record_no", "no", "parent_no", "level", "name", "filler_no", "qpath", "text")],
-    ).cast(_STATE)
-    scanned = scan_states(F.col("events"), _STATE, empty, _step)
-    return events.select("path", "program", F.transform(
-        scanned, lambda s: s.dropFields("stack", "fillers")
-    ).alias("entries"))
+    events = data.select("path", "program", data_events(F.col("div_sents"), F.col("base")).alias("events"))
+    return events.select("path", "program", scan_entries(F.col("events")).alias("entries"))
 
 
 # the rest of a VALUE clause: literals and words up to the next clause

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copperline.functions import naming
+from copperline.functions.arrays import let, slice_array
 from copperline.operators import data_items as di, structure
 
 COLUMNS = ["path", "seq", "id", "program", "name", "type", "section", "description"]
@@ -22,67 +23,71 @@ def _entity(seq: Column, name: Column, type_: Column | str, section: str, descri
     ).cast(_ENTITY)
 
 
-def _data_entities(division_rows: DataFrame) -> DataFrame:
-    """Working-storage and file-section entities from the item arrays."""
+def _data_entity(e: Column) -> Column:
+    """Entity of one data division entry; null where it has none."""
     pic = r"(?i)\s(?:PICTURE|PIC)(?:\s+IS)?\s+(\S+)"
-    bare = lambda t: F.regexp_replace(t, r"""(["'])[^"']*\1""", "''")
-
-    def entity(e: Column) -> Column:
-        is_item = e["level"].isNotNull()
-        section_row = ~is_item & e["fd"].isNull()
-        working = e["section"] == "WORKING-STORAGE"
-        type_text = F.nullif(F.regexp_extract(bare(e["text"]), pic, 1), F.lit(""))
-        description = naming.data_description(e["level"], type_text)
-        no = e["no"].cast("long")
-        return (
-            F.when(working & section_row, _entity(
-                no, F.lit("WORKING-STORAGE SECTION"), "SECTION", "DATA_DIVISION", "Variables section"))
-            .when(working & is_item, _entity(no, e["name"], "VARIABLE", "WORKING_STORAGE", description))
-            .when((e["section"] == "FILE") & section_row, _entity(
-                no + _FILE_RANK, F.lit("FILE SECTION"), "SECTION", "DATA_DIVISION", "File storage definition section"))
-            .when((e["section"] == "FILE") & ~is_item, _entity(
-                no + _FILE_RANK, e["fd"], "FILE", "FILE_SECTION", "File Description"))
-            .when((e["section"] == "FILE") & is_item & e["fd"].isNotNull(), _entity(
-                no + _FILE_RANK, e["name"], naming.record_or_field(e["level"]), "FILE_SECTION", description))
-        )
+    bare = F.regexp_replace(e["text"], r"""(["'])[^"']*\1""", "''")
+    is_item = e["level"].isNotNull()
+    section_row = ~is_item & e["fd"].isNull()
+    working = e["section"] == "WORKING-STORAGE"
+    in_file = e["section"] == "FILE"
+    description = naming.data_description(e["level"], F.nullif(F.regexp_extract(bare, pic, 1), F.lit("")))
+    no = e["no"].cast("long")
+    return (
+        F.when(working & section_row, _entity(
+            no, F.lit("WORKING-STORAGE SECTION"), "SECTION", "DATA_DIVISION", "Variables section"))
+        .when(working & is_item, _entity(no, e["name"], "VARIABLE", "WORKING_STORAGE", description))
+        .when(in_file & section_row, _entity(
+            no + _FILE_RANK, F.lit("FILE SECTION"), "SECTION", "DATA_DIVISION", "File storage definition section"))
+        .when(in_file & ~is_item, _entity(no + _FILE_RANK, e["fd"], "FILE", "FILE_SECTION", "File Description"))
+        .when(in_file & e["fd"].isNotNull(), _entity(
+            no + _FILE_RANK, e["name"], naming.record_or_field(e["level"]), "FILE_SECTION", description))
+    )
 
-    entries = di.item_arrays(division_rows)
-    # fillers have no name of their own and become no entity
-    named = F.filter("entries", lambda e: e["filler_no"].isNull() & (F.upper(e["name"]) != "FILLER"))
-    return entries.select("path", "program", F.inline_outer(F.filter(
-        F.transform(named, entity), lambda x: x.isNotNull()
-    )))
 
+def _procedure_entities(sents: Column, base: Column, program: Column, scope: str) -> Column:
+    """Sections and paragraphs of one procedure division."""
+    def of_section(sec: Column) -> Column:
+        part = sec["part"]
+        head = F.regexp_extract(F.get(part, F.lit(0)), structure.SECTION_HEADER, 1)
+        return let(F.nullif(head, F.lit("")), lambda section: rows(sec, part, section))
+
+    def rows(sec: Column, part: Column, section: Column) -> Column:
+        where = F.when(section.isNotNull(), F.concat(F.lit("Paragraph in section "), section)).otherwise(
+            F.concat(F.lit("Paragraph in "), program)
+        )
 
-def _procedure_entities(division_rows: DataFrame, scope: str) -> DataFrame:
-    """Sections and paragraphs of the procedure division."""
-    def entity(sents: Column, base: Column, section: Column, program: Column) -> Column:
         def row(s: Column, i: Column) -> Column:
-            no = (base + i).cast("long") + _PROCEDURE_RANK
+            no = (base + sec["at"] + i).cast("long") + _PROCEDURE_RANK
             header = structure.is_paragraph_header(s)
-            is_section = (i == 0) & section.isNotNull()
-            where = F.when(section.isNotNull(), F.concat(F.lit("Paragraph in section "), section)).otherwise(
-                F.concat(F.lit("Paragraph in "), program)
-            )
             wanted = header if scope == "all" else header & section.isNotNull()
-            return F.when(is_section, _entity(
+            return F.when((i == 0) & section.isNotNull(), _entity(
                 no, section, "SECTION", "PROCEDURE_DIVISION", F.concat(F.lit("Section in "), program))
             ).when(wanted, _entity(no, s, "PARAGRAPH", "PROCEDURE_DIVISION", where))
 
-        return F.filter(F.transform(sents, row), lambda x: x.isNotNull())
+        return F.filter(F.transform(part, row), lambda x: x.isNotNull())
 
-    secs = structure.sections(division_rows.where(F.col("division") == "PROCEDURE"))
-    return secs.select("path", "program", F.inline_outer(
-        entity(F.col("sec_sents"), F.col("base"), F.col("section"), F.col("program"))
-    ))
+    return F.flatten(F.transform(slice_array(sents, lambda s: s.rlike(structure.SECTION_HEADER)), of_section))
 
 
 def extract_entities(division_rows: DataFrame, scope: str = "all") -> DataFrame:
-    """Entities in emission order (``seq``); ``scope='flat'`` leaves out paragraphs without a section."""
-    rows = _data_entities(division_rows).unionByName(_procedure_entities(division_rows, scope)).where(
-        F.col("seq").isNotNull()
+    """Entities in emission order (``seq``); ``scope='flat'`` leaves out paragraphs without a section.
+
+    One pass: each division row yields its own entities, so sources are parsed once.
+    """
+    is_data = F.col("division").isNull() | (F.col("division") == "DATA")
+    rows = division_rows.where(is_data | (F.col("division") == "PROCEDURE")).withColumn(
+        "_events", F.when(is_data, di.data_events(F.col("div_sents"), F.col("base")))
     )
-    return rows.withColumn("id", naming.entity_id(F.col("program"), F.col("name"))).select(*COLUMNS)
+    # fillers have no name of their own and become no entity
+    data = F.filter(F.transform(
+        F.filter(di.scan_entries(F.col("_events")), lambda e: F.upper(e["name"]) != "FILLER"), _data_entity
+    ), lambda x: x.isNotNull())
+    procedure = _procedure_entities(F.col("div_sents"), F.col("base"), F.col("program"), scope)
+    found = rows.select("path", "program", F.inline_outer(F.when(is_data, data).otherwise(procedure)))
+    return found.where(F.col("seq").isNotNull()).withColumn(
+        "id", naming.entity_id(F.col("program"), F.col("name"))
+    ).select(*COLUMNS)
 
 
 def entity_counts(entities: DataFrame) -> DataFrame:

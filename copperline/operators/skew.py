@@ -7,6 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 _SALTS = 32
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the input has fewer splits than that.
+
+    Source texts are few and large for the work they cause; a well split input is left alone.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> list[str]:
     """Keys that hold more than ``share`` of the rows: at most ``1 / share`` of them.
 
@@ -14,7 +23,6 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> list[str]:
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    # the one-row total rides along as a scalar subquery would
     limit = max(int(total.first()["total"] * share), 1)
     return [r[key] for r in counts.where((F.col("n") > limit) & F.col(key).isNotNull()).select(key).collect()]
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copperline.functions import naming, source_text as st
-from copperline.functions.arrays import explode_slices
+from copperline.functions.arrays import explode_slices, let
 
 # Division names and the one-word imperatives that are no paragraph headers.
 DIVISION_HEADER = r"(?i)^(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION\b"
@@ -40,10 +40,13 @@ def with_sentences(sources: DataFrame, fmt: str | Column | None = None) -> DataF
 
 def _program_id(sents: Column) -> Column:
     """Name after PROGRAM-ID, in the same or the next sentence."""
-    at = F.array_position(F.transform(sents, lambda s: s.rlike(PROGRAM_ID)), True).cast("int")
-    inline = F.regexp_extract(F.get(sents, at - 1), r"(?i)^PROGRAM-ID\s*\.?\s*(\S+)", 1)
-    following = F.regexp_extract(F.get(sents, at), r"^(\S+)", 1)
-    return F.when(at > 0, st.unquote(F.coalesce(F.nullif(inline, F.lit("")), F.nullif(following, F.lit("")))))
+    def name(at: Column) -> Column:
+        own = F.regexp_extract(F.get(sents, at - 1), r"(?i)^PROGRAM-ID\s*\.?\s*(\S+)", 1)
+        following = F.regexp_extract(F.get(sents, at), r"^(\S+)", 1)
+        return F.when(at > 0, st.unquote(F.coalesce(F.nullif(own, F.lit("")), F.nullif(following, F.lit("")))))
+
+    found = F.array_position(F.transform(sents, lambda s: F.upper(F.substring(s, 1, 10)) == "PROGRAM-ID"), True)
+    return let(found.cast("int"), name)
 
 
 def units(sources: DataFrame, fmt: str | Column | None = None) -> DataFrame:

@@ -55,7 +55,7 @@ def split_rejects(sources: DataFrame, fmt: str | None = None) -> tuple[DataFrame
     """(sources, rejects): texts with a program or data items, and the rest with a reason."""
     parsed = structure.with_code(sources, fmt).withColumn("_sents", structure.st.sentence_array(F.col("code")))
     usable = F.exists("_sents", lambda s: s.rlike(structure.PROGRAM_ID) | (
-        s.rlike(structure.ITEM) & s.rlike(r"^\d+\s+\S")
+        s.rlike(structure.ITEM) & s.rlike(r"^((0?1|77)\s+\S|\d+(\s+\S+)+\s+\S)")
     ))
     marked = parsed.withColumn("_ok", usable)
     good = marked.where("_ok").select(*sources.columns)
@@ -68,8 +68,8 @@ def lines(sources: DataFrame, fmt: str | None = None) -> DataFrame:
     st = structure.st
     chosen = st.line_format(F.col("content")) if fmt is None else F.lit(fmt)
     rows = sources.withColumn("_fmt", chosen).select(
-        "path", "_fmt", F.posexplode(st.split_lines(F.col("content"))).alias("_i", "raw")
+        "path", "_fmt", F.posexplode_outer(st.split_lines(F.col("content"))).alias("_i", "raw")
     )
-    return rows.select(
+    return rows.where(F.col("_i").isNotNull()).select(
         "path", (F.col("_i") + 1).alias("line_no"), "raw", st.normalize_line(F.col("raw"), F.col("_fmt")).alias("_a")
     ).select("path", "line_no", "raw", "_a.*")
