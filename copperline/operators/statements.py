@@ -49,9 +49,7 @@ def _marks(words: Column) -> Column:
 
     def mark(w: Column, i: Column) -> Column:
         before, after, after2 = word(i - 1), word(i + 1), word(i + 2)
-        inline_perform = (
-            after.isin("UNTIL", "VARYING", "WITH", "TEST") | (after2 == "TIMES") | after.isin(*VERBS)
-        )
+        inline_perform = (after2 == "TIMES") | after.rlike(rf"^(UNTIL|VARYING|WITH|TEST|{'|'.join(VERBS)})$")
         clause = (
             F.when(w == "ELSE", "ELSE")
             .when(w == "WHEN", "WHEN")

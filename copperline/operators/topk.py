@@ -24,6 +24,7 @@ def _pruned_scores(vectors: DataFrame, id_col: str, queries: list[tuple[str, lis
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch[batch["embedding"].notna()]
             if batch.empty:
                 continue
             data = np.asarray(batch["embedding"].tolist(), dtype=np.float64)
@@ -48,9 +49,9 @@ def _pruned_scores(vectors: DataFrame, id_col: str, queries: list[tuple[str, lis
     schema = T.StructType([
         T.StructField("query_id", T.StringType()), T.StructField("id", id_type), T.StructField("score", T.DoubleType()),
     ])
-    return vectors.select(F.col(id_col).alias("id"), "embedding").where(
-        F.col("embedding").isNotNull()
-    ).mapInPandas(score, schema)
+    # vectors without values are skipped in the task: a filter here would be pushed below the
+    # embedding expressions and evaluate them a second time
+    return vectors.select(F.col(id_col).alias("id"), "embedding").mapInPandas(score, schema)
 
 
 def vector_topk(vectors: DataFrame, query: list[float], n: int, id_col: str = "vec_id") -> DataFrame:

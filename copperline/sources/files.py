@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from copperline.operators import structure
 
@@ -53,14 +53,21 @@ def sources_from_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def split_rejects(sources: DataFrame, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(sources, rejects): texts with a program or data items, and the rest with a reason."""
-    parsed = structure.with_code(sources, fmt).withColumn("_sents", structure.st.sentence_array(F.col("code")))
-    usable = F.exists("_sents", lambda s: s.rlike(structure.PROGRAM_ID) | (
+    usable = F.exists("sents", lambda s: s.rlike(structure.PROGRAM_ID) | (
         s.rlike(structure.ITEM) & s.rlike(r"^((0?1|77)\s+\S|\d+(\s+\S+)+\s+\S)")
     ))
-    marked = parsed.withColumn("_ok", usable)
-    good = marked.where("_ok").select(*sources.columns)
-    bad = marked.where(~F.col("_ok")).select("path", F.lit("no program and no data items").alias("reason"))
-    return good, bad
+    kept = F.struct(*sources.columns)
+    marked = structure.with_sentences(sources.withColumn("_source", kept), fmt).select(
+        "_source", F.coalesce(usable, F.lit(False)).alias("_ok")
+    )
+
+    def side(ok: Column) -> DataFrame:
+        # rows are chosen by a generator: a filter would be pushed down into the text steps and
+        # repeat each of them as often as its result is used
+        return marked.select(F.inline_outer(F.when(ok, F.array("_source")))).where(F.col("path").isNotNull())
+
+    rejected = side(~F.col("_ok")).select("path", F.lit("no program and no data items").alias("reason"))
+    return side(F.col("_ok")).select(*sources.columns), rejected
 
 
 def lines(sources: DataFrame, fmt: str | None = None) -> DataFrame:
