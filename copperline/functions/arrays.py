@@ -4,11 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 _CHUNK = 128
 
 
+_built: dict = {}
+
+
+def built_once(fn: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the column a function builds from names, per Spark context.
+
+    A fold over nested lambdas is hundreds of expressions, each several calls to the JVM; the
+    unresolved column is the same for every plan that uses the same names.
+    """
+    @wraps(fn)
+    def cached(*args):
+        key = (id(SparkContext._active_spark_context), fn.__module__, fn.__qualname__, args)
+        if key not in _built:
+            _built[key] = fn(*args)
+        return _built[key]
+
+    return cached
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it in ``body``.
 
@@ -39,6 +61,11 @@ def slice_array(
     )))
 
 
+@built_once
+def _slices(arr: str, is_header: Callable[[Column], Column], absorb_lead: bool, part: str) -> Column:
+    return slice_array(F.col(arr), is_header, absorb_lead, part)
+
+
 def explode_slices(
     df: DataFrame,
     arr: str,
@@ -50,7 +77,7 @@ def explode_slices(
 ) -> DataFrame:
     """One row per slice of an array column: ``keep``, ``base`` (position in the file) and ``part``."""
     offset = F.lit(0) if base is None else base
-    cut = df.withColumn("_slices", slice_array(F.col(arr), is_header, absorb_lead, part))
+    cut = df.withColumn("_slices", _slices(arr, is_header, absorb_lead, part))
     # the outer form on purpose: for the inner one the optimizer adds a size check that it pushes
     # down, and with it a second evaluation of everything the array is computed from
     return cut.select(*keep, offset.alias("_offset"), F.inline_outer("_slices")).select(

@@ -4,121 +4,82 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The picture forms that have a type, in matching order.
-NINES = r"^(9+)$"
-NINES_COUNT = r"^9\(([0-9]+)\)$"
-NINES_V_NINES = r"^(9+)V(9+)$"
-NINES_ANY_NINES = r"^(9+).(9+)$"
-COUNT_V_NINES = r"^9\(([0-9]+)\)V(9+)$"
-NINES_V_COUNT = r"^(9+)V9\(([0-9]+)\)$"
-COUNT_V_COUNT = r"^9\(([0-9]+)\)V9\(([0-9]+)\)$"
-SIGNED_NINES = r"^(S9+)$"
-SIGNED_COUNT = r"^S9\(([0-9]+)\)$"
-SIGNED_NINES_V_NINES = r"^S(9+)V(9+)$"
-SIGNED_COUNT_V_NINES = r"^S9\(([0-9]+)\)V(9+)$"
-SIGNED_NINES_V_COUNT = r"^S(9+)V9\(([0-9]+)\)$"
-SIGNED_COUNT_V_COUNT = r"^S9\(([0-9]+)\)V9\(([0-9]+)\)$"
-LETTERS = r"^(A+)$"
-LETTERS_COUNT = r"^A\(([0-9]+)\)$"
-ANY = r"^(X+)$"
-ANY_COUNT = r"^X\(([0-9]+)\)$"
-
-_INTEGER = [NINES, NINES_COUNT, SIGNED_NINES, SIGNED_COUNT]
-_FLOAT = [
-    NINES_V_NINES, NINES_ANY_NINES, COUNT_V_NINES, NINES_V_COUNT, COUNT_V_COUNT,
-    SIGNED_COUNT_V_NINES, SIGNED_NINES_V_COUNT, SIGNED_COUNT_V_COUNT, SIGNED_NINES_V_NINES,
-]
-_STRING = [ANY, ANY_COUNT, LETTERS, LETTERS_COUNT]
-
-
-def _case(rules: list[tuple[Column, Column]]) -> Column:
-    out = F.when(*rules[0])
-    for cond, value in rules[1:]:
-        out = out.when(cond, value)
-    return out
-
-
-def _width(pic: Column, pattern: str, group: int) -> Column:
-    return F.length(F.regexp_extract(pic, pattern, group))
-
-
-def _count(pic: Column, pattern: str, group: int) -> Column:
-    return F.try_to_number(F.regexp_extract(pic, pattern, group), F.lit("9" * 18)).cast("int")
+# The picture forms that have a type. Digits are a run of nines or 9(n).
+DIGITS = r"(9+|9\([0-9]+\))"
+NUMERIC = rf"^(S?){DIGITS}(?:V{DIGITS})?$"
+POINTED = r"^(9+)[^V](9+)$"
+TEXT = r"^(X+|A+|[XA]\([0-9]+\))$"
 
 
-def pic_type(pic: Column) -> Column:
-    """INTEGER, FLOAT, STRING or null for forms without a type."""
+def _part(pic: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract(pic, pattern, group)
+
+
+def _size(part: Column) -> Column:
+    """Places of `9(n)`, `X(n)` or of a run of the letter."""
+    return F.when(F.endswith(part, F.lit(")")), F.regexp_extract(part, r"\(([0-9]+)\)", 1).try_cast("int")).otherwise(
+        F.length(part)
+    )
+
+
+def _shape(pic: Column) -> Column:
+    """Form of a picture: WHOLE, DECIMAL, POINTED or TEXT."""
     return (
-        F.when(pic.rlike("|".join(_INTEGER)), "INTEGER")
-        .when(pic.rlike("|".join(_FLOAT)), "FLOAT")
-        .when(pic.rlike("|".join(_STRING)), "STRING")
+        F.when(pic.rlike(NUMERIC), F.when(F.contains(pic, F.lit("V")), "DECIMAL").otherwise("WHOLE"))
+        .when(pic.rlike(POINTED), "POINTED")
+        .when(pic.rlike(TEXT), "TEXT")
     )
 
 
+def pic_type(pic: Column) -> Column:
+    """INTEGER, FLOAT, STRING or null for forms without a type."""
+    shape = _shape(pic)
+    return F.when(shape == "WHOLE", "INTEGER").when(shape == "TEXT", "STRING").when(shape.isNotNull(), "FLOAT")
+
+
 def pic_integer_len(pic: Column, compat: bool = True) -> Column:
     """Digits ahead of the decimal point.
 
     With ``compat`` the sign of ``S99`` counts as a digit and signed decimals have no
     length; without it only digits count and signed decimals are measured too.
     """
-    rules = [
-        (pic.rlike(NINES), F.length(pic)),
-        (pic.rlike(NINES_COUNT), _count(pic, NINES_COUNT, 1)),
-        (pic.rlike(NINES_ANY_NINES), _width(pic, NINES_ANY_NINES, 1)),
-        (pic.rlike(NINES_V_NINES), _width(pic, NINES_V_NINES, 1)),
-        (pic.rlike(SIGNED_NINES), F.length(pic) if compat else F.length(pic) - 1),
-        (pic.rlike(SIGNED_COUNT), _count(pic, SIGNED_COUNT, 1)),
-        (pic.rlike(COUNT_V_NINES), _count(pic, COUNT_V_NINES, 1)),
-        (pic.rlike(COUNT_V_COUNT), _count(pic, COUNT_V_COUNT, 1)),
-        (pic.rlike(NINES_V_COUNT), _width(pic, NINES_V_COUNT, 1)),
-    ]
-    if not compat:
-        rules += [
-            (pic.rlike(SIGNED_NINES_V_NINES), _width(pic, SIGNED_NINES_V_NINES, 1)),
-            (pic.rlike(SIGNED_COUNT_V_NINES), _count(pic, SIGNED_COUNT_V_NINES, 1)),
-            (pic.rlike(SIGNED_NINES_V_COUNT), _width(pic, SIGNED_NINES_V_COUNT, 1)),
-            (pic.rlike(SIGNED_COUNT_V_COUNT), _count(pic, SIGNED_COUNT_V_COUNT, 1)),
-        ]
-    return _case(rules)
+    shape, signed = _shape(pic), F.startswith(pic, F.lit("S"))
+    size = _size(_part(pic, NUMERIC, 2))
+    if compat:
+        whole = size + F.when(signed & ~F.endswith(pic, F.lit(")")), 1).otherwise(0)
+        decimal = F.when(~signed, size)
+    else:
+        whole = decimal = size
+    return (
+        F.when(shape == "WHOLE", whole).when(shape == "DECIMAL", decimal)
+        .when(shape == "POINTED", F.length(_part(pic, POINTED, 1)))
+    )
 
 
 def pic_fraction_len(pic: Column, compat: bool = True) -> Column:
     """Digits behind the decimal point, 0 for whole numbers."""
-    rules = [
-        (pic.rlike("|".join(_INTEGER)), F.lit(0)),
-        (pic.rlike(NINES_ANY_NINES), _width(pic, NINES_ANY_NINES, 2)),
-        (pic.rlike(COUNT_V_NINES), _width(pic, COUNT_V_NINES, 2)),
-        (pic.rlike(COUNT_V_COUNT), _count(pic, COUNT_V_COUNT, 2)),
-        (pic.rlike(NINES_V_COUNT), _count(pic, NINES_V_COUNT, 2)),
-    ]
-    if not compat:
-        rules += [
-            (pic.rlike(SIGNED_NINES_V_NINES), _width(pic, SIGNED_NINES_V_NINES, 2)),
-            (pic.rlike(SIGNED_COUNT_V_NINES), _width(pic, SIGNED_COUNT_V_NINES, 2)),
-            (pic.rlike(SIGNED_NINES_V_COUNT), _count(pic, SIGNED_NINES_V_COUNT, 2)),
-            (pic.rlike(SIGNED_COUNT_V_COUNT), _count(pic, SIGNED_COUNT_V_COUNT, 2)),
-        ]
-    return _case(rules)
+    shape, size = _shape(pic), _size(_part(pic, NUMERIC, 3))
+    decimal = F.when(~F.startswith(pic, F.lit("S")), size) if compat else size
+    return (
+        F.when(shape == "WHOLE", 0).when(shape == "DECIMAL", decimal)
+        .when(shape == "POINTED", F.length(_part(pic, POINTED, 2)))
+    )
 
 
 def pic_string_len(pic: Column) -> Column:
     """Characters of an alphabetic or alphanumeric picture."""
-    return _case([
-        (pic.rlike(LETTERS) | pic.rlike(ANY), F.length(pic)),
-        (pic.rlike(LETTERS_COUNT), _count(pic, LETTERS_COUNT, 1)),
-        (pic.rlike(ANY_COUNT), _count(pic, ANY_COUNT, 1)),
-    ])
+    return F.when(pic.rlike(TEXT), _size(pic))
 
 
 def pic_length(pic: Column) -> Column:
     """Total length: sign and point count one each, except in the 9(n)V9(m) form."""
-    whole, fraction = pic_integer_len(pic), pic_fraction_len(pic)
+    shape = _shape(pic)
+    both_counted = pic.rlike(r"^9\([0-9]+\)V9\([0-9]+\)$")
     return (
-        F.when(pic.rlike(f"{NINES}|{NINES_COUNT}"), whole)
-        .when(pic.rlike(f"{SIGNED_NINES}|{SIGNED_COUNT}"), whole + 1)
-        .when(pic.rlike(COUNT_V_COUNT), whole + fraction)
-        .when(pic.rlike("|".join([NINES_ANY_NINES, COUNT_V_NINES, NINES_V_COUNT])), whole + 1 + fraction)
-        .otherwise(pic_string_len(pic))
+        F.when(shape == "WHOLE", pic_integer_len(pic) + F.when(F.startswith(pic, F.lit("S")), 1).otherwise(0))
+        .when(shape == "TEXT", pic_string_len(pic))
+        .when(both_counted, pic_integer_len(pic) + pic_fraction_len(pic))
+        .otherwise(pic_integer_len(pic) + 1 + pic_fraction_len(pic))
     )
 
 

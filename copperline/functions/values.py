@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from copperline import schemas
 from copperline.functions import pictures
+from copperline.functions.arrays import let
 
 DEC = "decimal(38,10)"
 
@@ -88,9 +89,11 @@ def literal_value(raw: Column) -> Column:
 
 def value_clause(raw: Column) -> Column:
     """Value of a VALUE clause: its first literal, null for a THRU range in first place."""
-    first = first_literal(raw)
-    rest = F.ltrim(F.substr(raw, F.length(first) + 1))
-    return F.when(~rest.rlike(r"(?i)^(THRU|THROUGH)\b"), literal_value(first))
+    def of(first: Column) -> Column:
+        rest = F.ltrim(F.substr(raw, F.length(first) + 1))
+        return F.when(~rest.rlike(r"(?i)^(THRU|THROUGH)\b"), literal_value(first))
+
+    return let(first_literal(raw), of)
 
 
 def item_type(pic: Column, value_raw: Column, has_children: Column) -> Column:
@@ -104,17 +107,20 @@ def item_type(pic: Column, value_raw: Column, has_children: Column) -> Column:
 
 def initial_value(pic: Column, value_raw: Column, has_children: Column) -> Column:
     """Value at program start: VALUE, else false, 0 or blanks; strings fill the picture."""
-    kind = item_type(pic, value_raw, has_children)
-    given = value_clause(value_raw)
-    text = F.coalesce(as_string(given), F.lit(""))
-    # pad only: a longer literal keeps its length
-    padded = F.rpad(text, F.greatest(F.coalesce(pictures.pic_string_len(pic), F.lit(0)), F.length(text)), " ")
-    own_text = F.when(given.isNull() | (given["kind"] == "STRING"), padded)
-    return (
-        F.when(kind == "BOOLEAN", F.coalesce(given, boolean_value(F.lit(False))))
-        .when(kind.isin("INTEGER", "FLOAT"), F.coalesce(given, decimal_value(F.lit(0))))
-        .when(kind == "STRING", string_value(F.coalesce(own_text, F.rpad(F.lit(""), F.coalesce(pictures.pic_string_len(pic), F.lit(0)), " "))))
-    )
+    def of_kind(kind: Column) -> Column:
+        return (
+            F.when(kind == "BOOLEAN", F.coalesce(value_clause(value_raw), boolean_value(F.lit(False))))
+            .when(kind.isin("INTEGER", "FLOAT"), F.coalesce(value_clause(value_raw), decimal_value(F.lit(0))))
+            .when(kind == "STRING", string_value(let(value_clause(value_raw), padded)))
+        )
+
+    def padded(given: Column) -> Column:
+        # only a string literal has text of its own; a longer one keeps its length
+        text = F.when(given["kind"] == "STRING", given["s"]).otherwise("")
+        width = F.coalesce(pictures.pic_string_len(pic), F.lit(0))
+        return F.concat(text, F.repeat(F.lit(" "), F.greatest(width - F.length(text), F.lit(0))))
+
+    return let(item_type(pic, value_raw, has_children), of_kind)
 
 
 def plain_decimal(d: Column) -> Column:
@@ -271,14 +277,16 @@ def power(base: Column, exponent: Column) -> Column:
 
 def condition_name_holds(parent_value: Column, value_raw: Column) -> Column:
     """A level 88 name holds when its item has the first VALUE; ranges are unknown."""
-    wanted = value_clause(value_raw)
-    same = (
-        (parent_value["kind"] == wanted["kind"])
-        & (parent_value["b"].eqNullSafe(wanted["b"]))
-        & (parent_value["d"].eqNullSafe(wanted["d"]))
-        & (F.rtrim(F.coalesce(parent_value["s"], F.lit(""))) == F.rtrim(F.coalesce(wanted["s"], F.lit(""))))
-    )
-    return F.when(parent_value.isNotNull() & wanted.isNotNull(), same)
+    def same(wanted: Column) -> Column:
+        equal_parts = (
+            (parent_value["kind"] == wanted["kind"])
+            & (parent_value["b"].eqNullSafe(wanted["b"]))
+            & (parent_value["d"].eqNullSafe(wanted["d"]))
+            & (F.rtrim(F.coalesce(parent_value["s"], F.lit(""))) == F.rtrim(F.coalesce(wanted["s"], F.lit(""))))
+        )
+        return F.when(parent_value.isNotNull() & wanted.isNotNull(), equal_parts)
+
+    return let(value_clause(value_raw), same)
 
 
 # Special registers and the relation words that make an expression a condition.

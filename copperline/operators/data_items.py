@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copperline.functions import naming, source_text as st
-from copperline.functions.arrays import let, scan_states
+from copperline.functions.arrays import built_once, let, scan_states
 from copperline.operators import structure
 
 _STACK = "ARRAY<STRUCT<no: INT, level: INT, path: STRING>>"
@@ -23,8 +23,11 @@ _CLAUSE_WORDS = (
 )
 
 
-def data_events(sents: Column, base: Column) -> Column:
+@built_once
+def data_events(sents_name: str, base_name: str) -> Column:
     """Section headers, FD entries and items of a data division; the rest is dropped."""
+    sents, base = F.col(sents_name), F.col(base_name)
+
     def classify(s: Column, i: Column) -> Column:
         kind = (
             F.when(s.rlike(structure.ITEM), "I")
@@ -96,14 +99,15 @@ def _step(prev: Column, e: Column) -> Column:
     return let(F.filter(prev["stack"], lambda p: p["level"] < keep), with_stack)
 
 
-def scan_entries(events: Column) -> Column:
+@built_once
+def scan_entries(events: str) -> Column:
     """Data entries with their context from the event array of a data division."""
     empty = F.struct(
         F.array().cast(_STACK).alias("stack"), F.lit(0).alias("fillers"),
         *[F.lit(None).alias(c) for c in (
             "section", "fd", "record_no", "no", "parent_no", "level", "name", "filler_no", "qpath", "text")],
     ).cast(_STATE)
-    return F.transform(scan_states(events, _STATE, empty, _step), lambda s: s.dropFields("stack", "fillers"))
+    return F.transform(scan_states(F.col(events), _STATE, empty, _step), lambda s: s.dropFields("stack", "fillers"))
 
 
 def item_arrays(division_rows: DataFrame) -> DataFrame:
@@ -112,8 +116,8 @@ def item_arrays(division_rows: DataFrame) -> DataFrame:
     Copybooks have no division header; their items are taken too.
     """
     data = division_rows.where(F.col("division").isNull() | (F.col("division") == "DATA"))
-    events = data.select("path", "program", data_events(F.col("div_sents"), F.col("base")).alias("events"))
-    return events.select("path", "program", scan_entries(F.col("events")).alias("entries"))
+    events = data.select("path", "program", data_events("div_sents", "base").alias("events"))
+    return events.select("path", "program", scan_entries("events").alias("entries"))
 
 
 # the rest of a VALUE clause: literals and words up to the next clause

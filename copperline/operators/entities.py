@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copperline.functions import naming
-from copperline.functions.arrays import let, slice_array
+from copperline.functions.arrays import built_once, let, slice_array
 from copperline.operators import data_items as di, structure
 
 COLUMNS = ["path", "seq", "id", "program", "name", "type", "section", "description"]
@@ -45,8 +45,18 @@ def _data_entity(e: Column) -> Column:
     )
 
 
-def _procedure_entities(sents: Column, base: Column, program: Column, scope: str) -> Column:
+@built_once
+def _data_entities(events: str) -> Column:
+    """Entities of one data division; fillers have no name of their own and become none."""
+    named = F.filter(di.scan_entries(events), lambda e: F.upper(e["name"]) != "FILLER")
+    return F.filter(F.transform(named, _data_entity), lambda x: x.isNotNull())
+
+
+@built_once
+def _procedure_entities(sents_name: str, base_name: str, program_name: str, scope: str) -> Column:
     """Sections and paragraphs of one procedure division."""
+    sents, base, program = F.col(sents_name), F.col(base_name), F.col(program_name)
+
     def of_section(sec: Column) -> Column:
         part = sec["part"]
         head = F.regexp_extract(F.get(part, F.lit(0)), structure.SECTION_HEADER, 1)
@@ -67,7 +77,7 @@ def _procedure_entities(sents: Column, base: Column, program: Column, scope: str
 
         return F.filter(F.transform(part, row), lambda x: x.isNotNull())
 
-    return F.flatten(F.transform(slice_array(sents, lambda s: s.rlike(structure.SECTION_HEADER)), of_section))
+    return F.flatten(F.transform(slice_array(sents, structure.is_section_header), of_section))
 
 
 def extract_entities(division_rows: DataFrame, scope: str = "all") -> DataFrame:
@@ -77,14 +87,11 @@ def extract_entities(division_rows: DataFrame, scope: str = "all") -> DataFrame:
     """
     is_data = F.col("division").isNull() | (F.col("division") == "DATA")
     rows = division_rows.where(is_data | (F.col("division") == "PROCEDURE")).withColumn(
-        "_events", F.when(is_data, di.data_events(F.col("div_sents"), F.col("base")))
+        "_events", F.when(is_data, di.data_events("div_sents", "base"))
     )
-    # fillers have no name of their own and become no entity
-    data = F.filter(F.transform(
-        F.filter(di.scan_entries(F.col("_events")), lambda e: F.upper(e["name"]) != "FILLER"), _data_entity
-    ), lambda x: x.isNotNull())
-    procedure = _procedure_entities(F.col("div_sents"), F.col("base"), F.col("program"), scope)
-    found = rows.select("path", "program", F.inline_outer(F.when(is_data, data).otherwise(procedure)))
+    found = rows.select("path", "program", F.inline_outer(
+        F.when(is_data, _data_entities("_events")).otherwise(_procedure_entities("div_sents", "base", "program", scope))
+    ))
     return found.where(F.col("seq").isNotNull()).withColumn(
         "id", naming.entity_id(F.col("program"), F.col("name"))
     ).select(*COLUMNS)

@@ -24,7 +24,7 @@ def extract_file_usage(stmts: DataFrame) -> DataFrame:
     up = lambda w: F.upper(w)
     # OPEN: cut at the mode words, each file takes the mode word before it
     groups = F.regexp_extract_all(
-        F.array_join(rest, " "), F.lit(r"(?i)(?:^|\s)((?:INPUT|OUTPUT|I-O|EXTEND)\s(?:(?!(?:INPUT|OUTPUT|I-O|EXTEND)(?:\s|$))\S+(?:\s+|$))+)"),
+        F.array_join(rest, " "), F.lit(r"(?i)(?<!\S)((?:INPUT|OUTPUT|I-O|EXTEND)\s(?:(?!(?:INPUT|OUTPUT|I-O|EXTEND)(?:\s|$))\S+(?:\s+|$))+)"),
         F.lit(1),
     )
     opened = F.flatten(F.transform(groups, lambda g: F.transform(

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from copperline.operators.skew import hot_keys, salted_join
+from copperline.operators.skew import salted_join
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -56,14 +56,12 @@ def containment(entities: DataFrame, programs: DataFrame, hot: list[str] | None
     """Distinct program-to-entity edges for entities whose program is known."""
     left = entities.select("program", F.col("id").alias("entity_id")).distinct()
     known = programs.select(F.col("name").alias("program")).distinct()
-    hot = hot_keys(left, "program") if hot is None else hot
     return salted_join(left, known, "program", F.col("entity_id"), hot)
 
 
 def build_edges(edges: DataFrame, programs: DataFrame, hot: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, programs): edges whose source is known, and programs with stubs for unknown targets."""
     known = programs.select(F.col("name").alias("source")).distinct()
-    hot = hot_keys(edges, "source") if hot is None else hot
     kept = salted_join(edges, known, "source", F.col("target"), hot)
     # targets are made distinct first, so a target called from everywhere is one row here
     targets = kept.select(F.col("target").alias("name")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from copperline.functions import naming, pictures as pic, values as val
+from copperline.functions.arrays import let
 from copperline.operators import data_items as di
 
 _PENDING = "ARRAY<STRUCT<level: INT, ddl: STRING>>"
@@ -20,13 +21,13 @@ def layout_table(items: DataFrame) -> DataFrame:
     """One row per item: qualified path, type, lengths, largest repetition, default."""
     p = F.col("pic")
     kind = val.item_type(p, F.col("value_raw"), F.col("has_children"))
-    default = val.value_clause(F.col("value_raw"))
+    default = let(val.value_clause(F.col("value_raw")), lambda v: F.when(v.isNotNull(), val.as_string(v)))
     return items.select(
         "path", "program", "item_no", "section", "fd_name", "level", "name", "qpath", "kind", "pic",
         kind.alias("type"), pic.pic_integer_len(p).alias("integer_len"), pic.pic_fraction_len(p).alias("fraction_len"),
         pic.pic_string_len(p).alias("string_len"), pic.pic_length(p).alias("length"),
         pic.max_occurs(F.col("occurs_from"), F.col("occurs_to")).alias("max_occurs"),
-        F.when(default.isNotNull(), val.as_string(default)).alias("default_text"),
+        default.alias("default_text"),
     )
 
 

@@ -28,7 +28,7 @@ def reachable_paths(
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    links = edges.select("source", "target").distinct()
+    links = edges.select("source", "target").distinct().checkpoint()
     hot = hot_keys(links.select(F.col("target")), "target")
     seed = links if src is None else links.where(F.col("source") == src)
     edge_id = F.struct(F.col("source").alias("s"), F.col("target").alias("t"))
@@ -55,7 +55,7 @@ def reachability(edges: DataFrame, src: str | None = None, max_depth: int | None
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    links = edges.select("source", "target").distinct()
+    links = edges.select("source", "target").distinct().checkpoint()
     hot = hot_keys(links.select(F.col("target")), "target")
     seed = links if src is None else links.where(F.col("source") == src)
     frontier = seed.select(F.col("source").alias("start"), F.col("target").alias("at"), F.lit(1).alias("length")).checkpoint()

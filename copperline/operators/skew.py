@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 _SALTS = 32
+_FEW_SALTS = 8
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -28,15 +29,23 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> list[str]:
 
 
 def salted_join(
-    many: DataFrame, one: DataFrame, key: str, spread: Column, hot: list[str], how: str = "inner", salts: int = _SALTS
+    many: DataFrame, one: DataFrame, key: str, spread: Column, hot: list[str] | None = None, how: str = "inner",
+    salts: int = _SALTS,
 ) -> DataFrame:
     """Join on ``key`` with the rows of hot keys spread over several tasks.
 
     ``many`` rows of a hot key are dealt out by ``spread``; the matching rows of ``one`` are
-    repeated once per salt. Other keys have a single salt, so nothing else is repeated.
+    repeated once per salt. Other keys have a single salt, so nothing else is repeated. Without
+    a list of hot keys all keys get a few salts: for a narrow ``one`` that is cheaper than a
+    counting pass.
     """
-    if not hot:
+    if hot is not None and not hot:
         return many.join(one, key, how)
+    if hot is None:
+        salts = _FEW_SALTS
+        left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+        right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return left.join(right, [key, "_salt"], how).drop("_salt")
     is_hot = F.col(key).isin(hot)
     left = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int"))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copperline.functions import source_text as st
-from copperline.functions.arrays import let, scan_states
+from copperline.functions.arrays import built_once, let, scan_states
 from copperline.operators import structure
 
 # Statement verbs.
@@ -41,8 +41,10 @@ def _owners(name: str) -> Column:
     return F.array(*[F.lit(v) for v in CLAUSE_OWNERS[name]])
 
 
-def _marks(words: Column) -> Column:
-    """Per token its clause or verb, null for the others. ``words`` are upper-case tokens."""
+@built_once
+def _marks(words_name: str) -> Column:
+    """Clauses, verbs and END- words among the upper-case tokens, with their positions."""
+    words = F.col(words_name)
 
     def word(i: Column) -> Column:
         return F.get(words, i)
@@ -76,8 +78,10 @@ def _marks(words: Column) -> Column:
     )
 
 
-def _events(marks: Column, toks: Column) -> Column:
-    """Marks outside EXEC blocks as fold events; each verb gets its text up to the next mark."""
+@built_once
+def _events(marks_name: str, toks_name: str) -> Column:
+    """Marks as fold events; each verb gets its text up to the next mark."""
+    marks, toks = F.col(marks_name), F.col(toks_name)
     owners_map = F.create_map(*[x for n in CLAUSE_OWNERS for x in (F.lit(n), _owners(n))])
 
     def event(m: Column, k: Column) -> Column:
@@ -131,6 +135,17 @@ def _step(prev: Column, e: Column) -> Column:
     ).otherwise(let(owner_at, on_clause))
 
 
+@built_once
+def _scan(events: str) -> Column:
+    """Statements from the events of a sentence."""
+    empty = F.struct(
+        F.array().cast(_STACK).alias("stack"), F.lit(0).alias("n"),
+        *[F.lit(None).alias(c) for c in ("no", "verb", "depth", "parent_no", "text")],
+    ).cast(_STATE)
+    states = scan_states(F.col(events), _STATE, empty, _step)
+    return F.transform(F.filter(states, lambda s: s["no"].isNotNull()), lambda s: s.dropFields("stack", "n"))
+
+
 def procedure_sentences(section_rows: DataFrame, pattern: str | None = None) -> DataFrame:
     """Procedure division sentences without headers: adds scope.
 
@@ -161,19 +176,10 @@ def statement_tree(sentence_rows: DataFrame) -> DataFrame:
     toks = sentence_rows.withColumn("_toks", st.tokens(guarded)).withColumn(
         "_exec", F.regexp_extract_all(F.col("text"), F.lit(r"(?is)\bEXEC\s.*?\bEND-EXEC\b"), F.lit(0))
     )
-    marked = toks.withColumn("_words", F.transform("_toks", F.upper)).withColumn("_marks", _marks(F.col("_words")))
-    events = marked.withColumn("_events", _events(F.col("_marks"), F.col("_toks")))
-    empty = F.struct(
-        F.array().cast(_STACK).alias("stack"), F.lit(0).alias("n"),
-        *[F.lit(None).alias(c) for c in ("no", "verb", "depth", "parent_no", "text")],
-    ).cast(_STATE)
-    states = scan_states(F.col("_events"), _STATE, empty, _step)
-    found = F.transform(
-        F.filter(states, lambda s: s["no"].isNotNull()),
-        lambda s: s.dropFields("stack", "n"),
-    )
+    marked = toks.withColumn("_words", F.transform("_toks", F.upper)).withColumn("_marks", _marks("_words"))
+    events = marked.withColumn("_events", _events("_marks", "_toks"))
     keep = ["path", "program", "unit_base", "section", "paragraph", "scope", "sent_no"]
-    rows = events.select(*keep, "_exec", F.inline_outer(found)).where(F.col("no").isNotNull()).withColumn(
+    rows = events.select(*keep, "_exec", F.inline_outer(_scan("_events"))).where(F.col("no").isNotNull()).withColumn(
         "text", F.regexp_replace("text", r"(?i)(\s+(NOT|ON|AT|SIZE|WITH|NO))+$", "")
     )
     exec_text = F.when(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copperline.functions import naming, source_text as st
-from copperline.functions.arrays import explode_slices, let
+from copperline.functions.arrays import built_once, explode_slices, let
 
 # Division names and the one-word imperatives that are no paragraph headers.
 DIVISION_HEADER = r"(?i)^(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION\b"
@@ -33,13 +33,33 @@ def with_code(sources: DataFrame, fmt: str | Column | None = None) -> DataFrame:
     return st.with_code_text(sources.withColumn("fmt", chosen))
 
 
+@built_once
+def _sentences(code: str) -> Column:
+    return st.sentence_array(F.col(code))
+
+
 def with_sentences(sources: DataFrame, fmt: str | Column | None = None) -> DataFrame:
     """Add ``sents``, the sentence array of each file."""
-    return with_code(sources, fmt).withColumn("sents", st.sentence_array(F.col("code"))).drop("content", "code")
+    return with_code(sources, fmt).withColumn("sents", _sentences("code")).drop("content", "code")
+
+
+def is_unit_header(sentence: Column) -> Column:
+    return sentence.rlike(UNIT_HEADER)
+
+
+def is_division_header(sentence: Column) -> Column:
+    return sentence.rlike(DIVISION_HEADER)
+
 
+def is_section_header(sentence: Column) -> Column:
+    return sentence.rlike(SECTION_HEADER)
 
-def _program_id(sents: Column) -> Column:
+
+@built_once
+def _program_id(sents_name: str) -> Column:
     """Name after PROGRAM-ID, in the same or the next sentence."""
+    sents = F.col(sents_name)
+
     def name(at: Column) -> Column:
         own = F.regexp_extract(F.get(sents, at - 1), r"(?i)^PROGRAM-ID\s*\.?\s*(\S+)", 1)
         following = F.regexp_extract(F.get(sents, at), r"^(\S+)", 1)
@@ -52,10 +72,10 @@ def _program_id(sents: Column) -> Column:
 def units(sources: DataFrame, fmt: str | Column | None = None) -> DataFrame:
     """One row per program unit: path, unit_no, program_id, unit_name, program, base, sents."""
     cut = explode_slices(
-        with_sentences(sources, fmt), "sents", lambda s: s.rlike(UNIT_HEADER),
+        with_sentences(sources, fmt), "sents", is_unit_header,
         ["path", "file_name"], absorb_lead=True, part="unit_sents",
     )
-    named = cut.withColumn("program_id", _program_id(F.col("unit_sents"))).withColumn(
+    named = cut.withColumn("program_id", _program_id("unit_sents")).withColumn(
         "unit_name", naming.unit_name(F.col("file_name"))
     )
     return named.withColumn("program", naming.program_name(F.col("program_id"), F.col("unit_name")))
@@ -65,7 +85,7 @@ def divisions(unit_rows: DataFrame) -> DataFrame:
     """One row per division: path, program, unit_base, division, base, sents."""
     cut = explode_slices(
         unit_rows.withColumn("unit_base", F.col("base")), "unit_sents",
-        lambda s: s.rlike(DIVISION_HEADER), ["path", "program", "unit_base"], F.col("base"), part="div_sents",
+        is_division_header, ["path", "program", "unit_base"], F.col("base"), part="div_sents",
     )
     name = F.upper(F.nullif(F.regexp_extract(F.get("div_sents", F.lit(0)), DIVISION_HEADER, 1), F.lit("")))
     return cut.withColumn("division", F.when(name == "ID", "IDENTIFICATION").otherwise(name))
@@ -74,7 +94,7 @@ def divisions(unit_rows: DataFrame) -> DataFrame:
 def sections(division_rows: DataFrame) -> DataFrame:
     """One row per section (and one for what precedes the first): adds section, base, sents."""
     cut = explode_slices(
-        division_rows, "div_sents", lambda s: s.rlike(SECTION_HEADER),
+        division_rows, "div_sents", is_section_header,
         ["path", "program", "unit_base", "division"], F.col("base"), part="sec_sents",
     )
     return cut.withColumn(
@@ -150,22 +170,27 @@ def programs(unit_rows: DataFrame) -> DataFrame:
 IDENTIFICATION_PARAGRAPHS = ["AUTHOR", "INSTALLATION", "DATE-WRITTEN", "DATE-COMPILED", "SECURITY", "REMARKS"]
 
 
+_FACT_NAMES = "|".join([*IDENTIFICATION_PARAGRAPHS, "PROGRAM-ID"])
+
+
+def _starts_fact(sentence: Column) -> Column:
+    return sentence.rlike(rf"(?i)^({_FACT_NAMES})\b")
+
+
 def identification_facts(division_rows: DataFrame) -> DataFrame:
     """Comment entries of the identification division, one column each.
 
     The entry of a paragraph is all text up to the next identification paragraph.
     """
-    names = "|".join([*IDENTIFICATION_PARAGRAPHS, "PROGRAM-ID"])
-    starts = rf"(?i)^({names})\b"
     facts = explode_slices(
         division_rows.where(F.col("division") == "IDENTIFICATION"), "div_sents",
-        lambda s: s.rlike(starts), ["path", "program"], F.col("base"), part="fact",
+        _starts_fact, ["path", "program"], F.col("base"), part="fact",
     )
     head = F.get("fact", F.lit(0))
     rows = facts.select(
         "path", "program",
-        F.upper(F.regexp_extract(head, starts, 1)).alias("name"),
-        F.trim(F.regexp_replace(F.array_join("fact", ". "), rf"(?i)^({names})\s*\.?\s*", "")).alias("entry"),
+        F.upper(F.regexp_extract(head, rf"(?i)^({_FACT_NAMES})\b", 1)).alias("name"),
+        F.trim(F.regexp_replace(F.array_join("fact", ". "), rf"(?i)^({_FACT_NAMES})\s*\.?\s*", "")).alias("entry"),
     )
     return rows.groupBy("path", "program").agg(*[
         F.max(F.when(F.col("name") == n, F.col("entry"))).alias(n.lower().replace("-", "_"))
