@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from copperline import schemas
 from copperline.functions import pictures
@@ -158,7 +158,7 @@ def cobol_compare(left: Column, right: Column) -> Column:
         return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
     both = lambda kind: (left["kind"] == kind) & (right["kind"] == kind)
-    text = [F.regexp_replace(as_string(v), r"\s+$", "") for v in (left, right)]
+    text = [F.rtrim(as_string(v), F.lit(" \t\n\r\f\x0b")) for v in (left, right)]
     return (
         F.when(both("BOOLEAN"), order(left["b"], right["b"]))
         .when(both("DECIMAL"), order(left["d"], right["d"]))
@@ -166,6 +166,21 @@ def cobol_compare(left: Column, right: Column) -> Column:
     )
 
 
+def relations(df: DataFrame, left: Column, right: Column) -> DataFrame:
+    """Add eq, ne, gt, ge, lt and le of two values, comparing them once per row."""
+    bound = df.withColumn("_l", left).withColumn("_r", right)
+    l, r = F.col("_l"), F.col("_r")
+    compared = bound.withColumn("_c", F.when(l.isNotNull() & r.isNotNull(), cobol_compare(l, r)))
+    c = F.col("_c")
+    marks = F.col("_l.kind").isin("HIGH", "LOW"), F.col("_r.kind").isin("HIGH", "LOW")
+    same_kind = F.col("_l.kind") == F.col("_r.kind")
+    return compared.withColumns({
+        "eq": F.when(marks[0] & marks[1] & c.isNotNull(), same_kind).otherwise(c == 0),
+        "ne": F.when((marks[0] | marks[1]) & c.isNotNull(), ~same_kind).otherwise(c != 0),
+        "gt": c > 0, "ge": c >= 0, "lt": c < 0, "le": c <= 0,
+    }).drop("_l", "_r", "_c")
+
+
 def equal(left: Column, right: Column) -> Column:
     l_mark, r_mark = left["kind"].isin("HIGH", "LOW"), right["kind"].isin("HIGH", "LOW")
     known = left.isNotNull() & right.isNotNull()
@@ -220,13 +235,20 @@ def combined_comparison(col: Column, op: str, values: Column, how: str, not_: bo
     return F.when(~unknown, folded)
 
 
-def condition_chain(first: Column, rest: Column, first_not: bool = False) -> Column:
+def condition_chain(first: Column, rest: Column | list[tuple[str, Column]], first_not: bool = False) -> Column:
     """Left-to-right AND/OR without precedence.
 
-    ``rest`` is an array of structs ``op`` (AND or OR), ``v`` and optionally ``negate``. One unknown
-    operand makes the whole chain unknown, also where the rest would decide it.
+    ``rest`` is a list of ``(op, operand)``, or for chains that differ by row an array column of
+    structs ``op`` and ``v``. One unknown operand makes the whole chain unknown, also where the
+    rest would decide it.
     """
     start = ~first if first_not else first
+    if isinstance(rest, list):
+        held, known = start, start.isNotNull()
+        for op, operand in rest:
+            held = (held & operand) if op == "AND" else (held | operand)
+            known = known & operand.isNotNull()
+        return F.when(known, held)
     folded = F.aggregate(
         rest, F.struct(start.alias("v"), start.isNotNull().alias("known")),
         lambda acc, x: F.struct(
@@ -234,7 +256,7 @@ def condition_chain(first: Column, rest: Column, first_not: bool = False) -> Col
             (acc["known"] & x["v"].isNotNull()).alias("known"),
         ),
     )
-    return F.when(folded["known"], folded["v"])
+    return let(folded, lambda f: F.when(f["known"], f["v"]))
 
 
 def is_blank(text: Column) -> Column:

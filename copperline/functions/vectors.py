@@ -11,14 +11,23 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from copperline.functions.arrays import let
+
 DEFAULT_DIM = 64
 WORD = r"[a-z0-9]+"
 
 
 def bucket_counts(buckets: Column, dim: int) -> Column:
-    """How often each of the values 0 to dim - 1 occurs in an array."""
-    n = F.size(buckets)
-    return F.array(*[(n - F.size(F.array_remove(buckets, d))).cast("double") for d in range(dim)])
+    """How often each of the values 0 to dim - 1 occurs in an array.
+
+    With every value and an end mark added once, the sorted array holds each value's run, and
+    a count is the distance between the starts of two runs.
+    """
+    marks = F.sequence(F.lit(0), F.lit(dim))
+    return let(F.sort_array(F.concat(buckets, marks)), lambda runs: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda d: (F.array_position(runs, d + 1) - F.array_position(runs, d) - 1).cast("double"),
+    ))
 
 
 def embed_question(text: str, dim: int = DEFAULT_DIM) -> list[float]:

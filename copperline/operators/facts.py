@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copperline.functions import source_text as st
+from copperline.operators import structure
 
 _KEY = ["path", "program", "section", "paragraph", "sent_no", "stmt_no"]
 # Words of OPEN and CLOSE that are no file names.
@@ -65,52 +66,47 @@ def _perform_mode(text: Column) -> Column:
     )
 
 
-def extract_control_flow(stmts: DataFrame, sentence_rows: DataFrame) -> DataFrame:
+_NAME = r"([A-Za-z0-9][A-Za-z0-9_-]*)"
+_PERFORM = rf"(?i)^PERFORM\s+{_NAME}"
+_THROUGH = rf"(?i)^PERFORM\s+\S+\s+(?:THROUGH|THRU)\s+{_NAME}"
+_INLINE_PERFORM = r"(?i)^PERFORM\s+(UNTIL|VARYING|WITH|TEST|\S+\s+TIMES)\b"
+
+
+def paragraph_order(division_rows: DataFrame) -> DataFrame:
+    """path, program and the paragraph names of its procedure division in order."""
+    return division_rows.where(F.col("division") == "PROCEDURE").select(
+        "path", "program", F.filter("div_sents", structure.is_paragraph_header).alias("paragraph_names")
+    )
+
+
+def extract_control_flow(stmts: DataFrame, order: DataFrame) -> DataFrame:
     """PERFORM and GO TO targets: verb, mode, position, target, self_loop.
 
-    PERFORM ... THROUGH names every paragraph from the first to the last. The paragraphs of
-    a program are one array, sliced between the two names, so no range join is needed.
+    PERFORM ... THROUGH names every paragraph from the first to the last: those are a slice of
+    the program's paragraph names (``order``, one row per program), so no range join is needed.
     """
-    name = r"([A-Za-z0-9][A-Za-z0-9_-]*)"
-    perform = rf"(?i)^PERFORM\s+{name}"
-    through = rf"(?i)^PERFORM\s+\S+\s+(?:THROUGH|THRU)\s+{name}"
-    performed = stmts.where(
-        (F.col("verb") == "PERFORM")
-        & F.col("text").rlike(perform)
-        & ~F.col("text").rlike(r"(?i)^PERFORM\s+(UNTIL|VARYING|WITH|TEST|\S+\s+TIMES)\b")
-    ).select(
-        *_KEY, "verb", _perform_mode(F.col("text")).alias("mode"),
-        F.regexp_extract("text", perform, 1).alias("from_name"),
-        F.nullif(F.regexp_extract("text", through, 1), F.lit("")).alias("thru_name"),
-    )
-    plain = performed.where(F.col("thru_name").isNull()).select(
-        *_KEY, "verb", "mode", F.lit(1).alias("position"), F.col("from_name").alias("target")
+    text = F.col("text")
+    is_go = F.col("verb") == "GO"
+    wanted = is_go | ((F.col("verb") == "PERFORM") & text.rlike(_PERFORM) & ~text.rlike(_INLINE_PERFORM))
+    body = F.regexp_replace(text, r"(?i)^GO(\s+TO)?\s+|\s+DEPENDING\b.*$", "")
+    rows = stmts.where(wanted).select(
+        *_KEY,
+        F.when(is_go, "GO TO").otherwise("PERFORM").alias("verb"),
+        F.when(~is_go, _perform_mode(text)).when(text.rlike(r"(?i)\sDEPENDING\b"), "DEPENDING").otherwise("SIMPLE").alias("mode"),
+        F.when(is_go, F.split(F.trim(body), r"\s+")).otherwise(F.array(F.regexp_extract(text, _PERFORM, 1))).alias("_names"),
+        F.when(~is_go, F.nullif(F.regexp_extract(text, _THROUGH, 1), F.lit(""))).alias("_last"),
     )
-    order = sentence_rows.where((F.col("kind") == "PARAGRAPH") & (F.col("division") == "PROCEDURE")).groupBy(
-        "path", "program"
-    ).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("sent_no", "paragraph"))), lambda p: p["paragraph"]
-    ).alias("_order"))
-    ranged = performed.where(F.col("thru_name").isNotNull()).join(order, ["path", "program"])
-    upper = F.transform("_order", F.upper)
-    lo = F.array_position(upper, F.upper("from_name")).cast("int")
-    hi = F.array_position(upper, F.upper("thru_name")).cast("int")
-    spans = ranged.withColumn("_lo", lo).withColumn("_hi", hi).where(
-        (F.col("_lo") > 0) & (F.col("_hi") >= F.col("_lo"))
-    ).select(*_KEY, "verb", "mode", F.posexplode(
-        F.slice(F.col("_order"), F.col("_lo"), F.col("_hi") - F.col("_lo") + 1)
-    ).alias("_p", "target")).select(*_KEY, "verb", "mode", (F.col("_p") + 1).alias("position"), "target")
-
-    go = stmts.where(F.col("verb") == "GO")
-    body = F.regexp_replace("text", r"(?i)^GO(\s+TO)?\s+|\s+DEPENDING\b.*$", "")
-    gone = go.select(
-        *_KEY, F.lit("GO TO").alias("verb"),
-        F.when(F.col("text").rlike(r"(?i)\sDEPENDING\b"), "DEPENDING").otherwise("SIMPLE").alias("mode"),
-        F.posexplode(F.split(F.trim(body), r"\s+")).alias("_p", "target"),
-    ).where(F.col("target") != "").select(*_KEY, "verb", "mode", (F.col("_p") + 1).alias("position"), "target")
-    rows = plain.unionByName(spans).unionByName(gone)
+    names = order.select("path", "program", F.col("paragraph_names").alias("_order"))
+    joined = rows.join(names, ["path", "program"], "left").withColumn("_upper", F.transform("_order", F.upper))
+    lo = F.array_position("_upper", F.upper(F.get("_names", F.lit(0)))).cast("int")
+    hi = F.array_position("_upper", F.upper("_last")).cast("int")
+    span = F.when((lo > 0) & (hi >= lo), F.slice("_order", lo, hi - lo + 1))
+    targets = F.when(F.col("_last").isNull(), F.col("_names")).otherwise(span)
+    out = joined.select(*_KEY, "verb", "mode", F.posexplode(F.coalesce(targets, F.array().cast("array<string>"))).alias("_p", "target"))
     same = F.coalesce(F.upper("target") == F.upper("paragraph"), F.lit(False))
-    return rows.withColumn("self_loop", same)
+    return out.where(F.col("target") != "").select(
+        *_KEY, "verb", "mode", (F.col("_p") + 1).alias("position"), "target", same.alias("self_loop")
+    )
 
 
 def extract_moves(stmts: DataFrame, items: DataFrame | None = None) -> DataFrame:

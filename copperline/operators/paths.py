@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from copperline.operators.graph import union_all
 from copperline.operators.skew import hot_keys, salted_join
-from copperline.session import ensure_checkpoint_dir
-
-_CHECKPOINT_EVERY = 3
+from copperline.session import materialize
 
 
 def _step(frontier: DataFrame, edges: DataFrame, hot: list[str], carry: list[str]) -> DataFrame:
@@ -26,20 +24,18 @@ def reachable_paths(
     One row per path. The number of paths can grow exponentially on dense cyclic graphs, so
     the depth is part of the question; use ``reachability`` for the set of reachable pairs.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    links = edges.select("source", "target").distinct().checkpoint()
+    links = materialize(edges.select("source", "target").distinct())
     hot = hot_keys(links.select(F.col("target")), "target")
     seed = links if src is None else links.where(F.col("source") == src)
     edge_id = F.struct(F.col("source").alias("s"), F.col("target").alias("t"))
     frontier = seed.select(
         F.col("source").alias("start"), F.col("target").alias("at"), F.array(edge_id).alias("used"), F.lit(1).alias("length")
-    ).checkpoint()
+    )
     found = [frontier]
     for depth in range(2, max_depth + 1):
-        nxt = _step(frontier, links, hot, ["start", "used"]).where(~F.array_contains("used", edge_id)).select(
+        nxt = materialize(_step(frontier, links, hot, ["start", "used"]).where(~F.array_contains("used", edge_id)).select(
             "start", F.col("target").alias("at"), F.array_append("used", edge_id).alias("used"), F.lit(depth).alias("length")
-        ).checkpoint()
+        ))
         if nxt.isEmpty():
             break
         found.append(nxt)
@@ -53,23 +49,20 @@ def reachability(edges: DataFrame, src: str | None = None, max_depth: int | None
 
     Breadth first: a pair leaves the frontier once seen, so cycles end by themselves.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    links = edges.select("source", "target").distinct().checkpoint()
+    links = materialize(edges.select("source", "target").distinct())
     hot = hot_keys(links.select(F.col("target")), "target")
     seed = links if src is None else links.where(F.col("source") == src)
-    frontier = seed.select(F.col("source").alias("start"), F.col("target").alias("at"), F.lit(1).alias("length")).checkpoint()
+    frontier = seed.select(F.col("source").alias("start"), F.col("target").alias("at"), F.lit(1).alias("length"))
     seen = frontier
     depth = 1
     while max_depth is None or depth < max_depth:
         depth += 1
         step = _step(frontier, links, hot, ["start"]).select("start", F.col("target").alias("at")).distinct()
-        frontier = step.join(seen.select("start", "at"), ["start", "at"], "left_anti").withColumn(
+        frontier = materialize(step.join(seen.select("start", "at"), ["start", "at"], "left_anti").withColumn(
             "length", F.lit(depth)
-        ).checkpoint()
+        ))
         if frontier.isEmpty():
             break
+        # every round is a table of its own, so the union stays a plain list of scans
         seen = seen.unionByName(frontier)
-        if depth % _CHECKPOINT_EVERY == 0:
-            seen = seen.checkpoint()
     return seen.select(F.col("start").alias("source"), F.col("at").alias("target"), "length")

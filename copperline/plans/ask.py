@@ -26,15 +26,12 @@ def retrieve(vectors: DataFrame, edges: DataFrame, questions: DataFrame, k: int
     """
     asked = vec.embed(questions.where(prompts.is_valid_question(F.col("question"))), "question", fn)
     hits = topk.vector_topk_batch(vectors, asked.select("query_id", "embedding"), k, "id")
-    docs = vectors.select("id", "document", "metadata").join(
-        # k rows per question
-        F.broadcast(hits), "id"
-    ).select(
+    docs = vectors.select("id", "document", "metadata").join(hits, "id").select(
         "query_id", "rank", "id", "document",
         F.col("metadata")["program"].alias("program"), naming.metadata_source(F.col("metadata")).alias("source"),
     )
     wanted = docs.select(F.col("program").alias("source")).distinct()
-    deps = graph.callee_lists(edges.join(F.broadcast(wanted), "source", "left_semi")).select(
+    deps = graph.callee_lists(edges.join(wanted, "source", "left_semi")).select(
         F.col("source").alias("program"), "deps"
     )
     joined = docs.join(deps, "program", "left")

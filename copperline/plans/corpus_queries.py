@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from copperline.functions import naming, source_text as st
@@ -10,6 +12,7 @@ from copperline.operators import (
 )
 from copperline.operators.skew import spread
 from copperline.sources import files
+from copperline.session import scratch_dir
 from copperline.sources.synthetic import corpus_from_parts
 
 
@@ -207,8 +210,9 @@ def file_control(spark, sf):
 
 
 def control_flow(spark, sf):
-    sec = _sections(spark, sf)
-    flow = facts.extract_control_flow(stm.statements(sec, r"(?i)(^|\s)(PERFORM|GO)\s"), structure.sentences_of(sec))
+    div = _divisions(spark, sf)
+    stmts = stm.statements(structure.sections(div), r"(?i)(^|\s)(PERFORM|GO)\s")
+    flow = facts.extract_control_flow(stmts, facts.paragraph_order(div))
     return flow.select("program", "paragraph", "verb", "mode", "position", "target", "self_loop")
 
 
@@ -392,10 +396,7 @@ def doc_meta(spark, sf):
 
 def stream_calls(spark, sf):
     """CALL edges of a stream of programs, taken in by micro-batches and merged by key."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    root = f"{base}/copperline-stream-{_run_id(spark)}"
+    root = f"{scratch_dir(spark)}/copperline-stream-{uuid.uuid4().hex}"
     schema = parts(spark, sf).schema
     rows = spark.readStream.schema(schema).parquet(f"{sf}/part*.parquet")
 
@@ -407,12 +408,6 @@ def stream_calls(spark, sf):
     return spark.read.parquet(f"{root}/edges").groupBy("source", "target", "rel_type").agg(F.count(F.lit(1)).alias("n")).drop("n")
 
 
-def _run_id(spark) -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 QUERIES = {f.__name__: f for f in (
     call_edges_all, call_edges_flat, call_statements, programs, entity_rows, entity_rows_flat, entity_counts, containment,
     statement_census, statement_census_flat, statement_nesting, statement_scopes, sentence_kinds, section_headers,

@@ -6,7 +6,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from copperline.operators import calls, copybooks, entities, graph, structure
-from copperline.operators.skew import spread
 from copperline.plans import ask
 from copperline.sources import files
 
@@ -19,7 +18,7 @@ def graph_tables(
     Both passes over the code (entities and calls) read one persisted table of divisions.
     """
     stamp = F.current_timestamp() if as_of is None else as_of
-    units = structure.units(spread(sources), fmt)
+    units = structure.units(sources, fmt)
     divisions = structure.divisions(units).persist(StorageLevel.MEMORY_AND_DISK)
     programs = graph.upsert_programs(structure.programs(units), stamp)
     ents = graph.upsert_entities(entities.extract_entities(divisions, scope), stamp)

@@ -357,6 +357,8 @@ SQL: dict[str, str] = {
     "condition_chain": """SELECT l_orderkey, l_linenumber,
       CASE WHEN l_linenumber <> 3 THEN (((l_quantity > 25) OR (l_discount > 0.05)) AND l_returnflag = 'N') OR l_tax >= 0.08 END AS holds,
       CASE WHEN l_linenumber <> 3 THEN ((NOT (l_quantity > 25) OR (l_discount > 0.05)) AND l_returnflag = 'N') OR l_tax >= 0.08 END AS not_holds FROM lineitem""",
+    "condition_chain_rows": """SELECT l_orderkey, l_linenumber,
+      CASE WHEN l_linenumber <> 3 THEN (((l_quantity > 25) OR (l_discount > 0.05)) AND l_returnflag = 'N') OR l_tax >= 0.08 END AS holds FROM lineitem""",
     "blank_rows": "SELECT c_custkey, c_nationkey % 2 = 0 AS blank, c_nationkey % 2 = 0 AND c_custkey % 3 = 0 AS group_blank FROM customer",
     "literal_rows": """WITH r AS (SELECT p_partkey, p_size AS s, p_partkey % 12 AS m FROM part)
       SELECT p_partkey, CASE m WHEN 0 THEN '''it no. ' || s || '''' WHEN 1 THEN CAST(s AS VARCHAR) WHEN 2 THEN s || '.50' WHEN 3 THEN '-' || s WHEN 4 THEN 'SPACES' WHEN 5 THEN 'ZEROES'

@@ -260,11 +260,8 @@ def _mixed_values(line: str = "l_linenumber"):
 
 def compare_rows(spark, sf):
     left, right = _mixed_values()
-    rows = table(spark, sf, "lineitem").withColumn("_l", left).withColumn("_r", right)
-    l, r = F.col("_l"), F.col("_r")
-    return rows.select(
-        "l_orderkey", "l_linenumber", val.equal(l, r).alias("eq"), val.not_equal(l, r).alias("ne"), val.greater(l, r).alias("gt"),
-        val.greater_or_equal(l, r).alias("ge"), val.less(l, r).alias("lt"), val.less_or_equal(l, r).alias("le"),
+    return val.relations(table(spark, sf, "lineitem"), left, right).select(
+        "l_orderkey", "l_linenumber", "eq", "ne", "gt", "ge", "lt", "le"
     )
 
 
@@ -279,19 +276,29 @@ def value_texts(spark, sf):
     )
 
 
+def _chain_operands():
+    return [
+        ("OR", F.col("l_discount") > 0.05), ("AND", F.when(F.col("l_linenumber") != 3, F.col("l_returnflag") == "N")),
+        ("OR", F.col("l_tax") >= 0.08),
+    ]
+
+
 def condition_chain(spark, sf):
-    li = table(spark, sf, "lineitem")
-    rest = F.array(
-        F.struct(F.lit("OR").alias("op"), (F.col("l_discount") > 0.05).alias("v")),
-        F.struct(F.lit("AND").alias("op"), F.when(F.col("l_linenumber") != 3, F.col("l_returnflag") == "N").alias("v")),
-        F.struct(F.lit("OR").alias("op"), (F.col("l_tax") >= 0.08).alias("v")),
-    )
-    return li.select(
+    rest = _chain_operands()
+    return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", val.condition_chain(F.col("l_quantity") > 25, rest).alias("holds"),
         val.condition_chain(F.col("l_quantity") > 25, rest, first_not=True).alias("not_holds"),
     )
 
 
+def condition_chain_rows(spark, sf):
+    """The same chain with its operators as data."""
+    rest = F.array(*[F.struct(F.lit(op).alias("op"), v.alias("v")) for op, v in _chain_operands()])
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", val.condition_chain(F.col("l_quantity") > 25, rest).alias("holds")
+    )
+
+
 def blank_rows(spark, sf):
     """Strings and groups of strings compared with SPACES."""
     n = table(spark, sf, "customer")
@@ -353,5 +360,5 @@ QUERIES = {f.__name__: f for f in (
     program_upsert, entity_upsert, edge_upsert, merge_versions, duplicate_keys, vector_topk, vector_topk_batch, embed_documents,
     doc_topk, context_segments, dependency_context, filled_prompts, markdown_segments, question_guard, list_rows, split_lines,
     normalized_lines, pic_types, pic_lengths, occurs_max, column_names, name_labels, sign_rows, combined_rows, compare_rows,
-    value_texts, condition_chain, blank_rows, literal_rows, arith_rows, expression_types, constraint_violations,
+    value_texts, condition_chain, condition_chain_rows, blank_rows, literal_rows, arith_rows, expression_types, constraint_violations,
 )}

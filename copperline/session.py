@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -25,14 +26,28 @@ def build_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; make a temporary one only in local mode without one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-        configured = tempfile.mkdtemp(prefix="copperline-checkpoint-")
-    sc.setCheckpointDir(configured)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative operators")
+    folder = tempfile.mkdtemp(prefix="copperline-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table in the shared folder.
+
+    The rows are computed once and survive the loss of executors, and the table's size lets
+    the next join pick its strategy.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/copperline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -65,6 +65,20 @@ def test_condition_chain_has_no_precedence(spark):
         val.condition_chain(F.lit(False), F.array(step("AND", False), step("OR", True))),
         val.condition_chain(F.lit(True), F.array(step("OR", None))), val.condition_chain(F.lit(True), F.array(step("AND", True)), first_not=True))
     assert got == (False, True, None, False)
+    listed = lambda first, *rest: one(spark, val.condition_chain(F.lit(first), [(op, F.lit(v).cast("boolean")) for op, v in rest]))
+    assert [listed(True, ("OR", True), ("AND", False)), listed(False, ("AND", False), ("OR", True)), listed(True, ("OR", None))] == [False, True, None]
+
+
+def test_relations_equal_single_comparisons(spark):
+    values = [val.decimal_value(F.lit(x)) for x in (1, 2, None)] + [val.string_value(F.lit(x)) for x in ("a ", "2", "")] + [
+        val.boolean_value(F.lit(True)), val.high_value(), val.low_value()]
+    left = spark.range(1).select(F.explode(F.array(*values)).alias("a")).withColumn("k", F.lit(1))
+    pairs = left.join(left.withColumnRenamed("a", "b"), "k")
+    a, b = F.col("a"), F.col("b")
+    rows = val.relations(pairs, a, b).select(
+        "eq", "ne", "gt", "ge", "lt", "le", val.equal(a, b), val.not_equal(a, b), val.greater(a, b), val.greater_or_equal(a, b), val.less(a, b), val.less_or_equal(a, b)
+    ).collect()
+    assert len(rows) == 81 and all(tuple(r)[:6] == tuple(r)[6:] for r in rows)
 
 
 def test_comparisons(spark):

@@ -146,10 +146,10 @@ def test_open_modes_and_close(make):
 
 
 def test_control_flow(make):
-    _, sents, st = procedure(
+    div, _, st = procedure(
         make, "BEGIN-IT.", "    PERFORM PROC2 THROUGH PROC4.", "    PERFORM PROC3 2 TIMES.", "    PERFORM PROC1 WITH TEST AFTER UNTIL A = 1.",
         "    PERFORM 2 TIMES DISPLAY 'x' END-PERFORM.", "PROC1.", "    GO TO PROC2 PROC3 PROC4 DEPENDING ON N.", "PROC2.", "    GO TO PROC2.", "PROC3.", "    GO PROC1.", "PROC4.", "    EXIT.")
-    rows = facts.extract_control_flow(st, sents).orderBy("sent_no", "position").collect()
+    rows = facts.extract_control_flow(st, facts.paragraph_order(div)).orderBy("sent_no", "position").collect()
     assert [(r["paragraph"], r["verb"], r["mode"], r["position"], r["target"], r["self_loop"]) for r in rows] == [
         ("BEGIN-IT", "PERFORM", "ONCE", 1, "PROC2", False), ("BEGIN-IT", "PERFORM", "ONCE", 2, "PROC3", False), ("BEGIN-IT", "PERFORM", "ONCE", 3, "PROC4", False),
         ("BEGIN-IT", "PERFORM", "TIMES", 1, "PROC3", False), ("BEGIN-IT", "PERFORM", "UNTIL AFTER", 1, "PROC1", False),
