@@ -148,6 +148,27 @@ def resolve_references(refs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def current_values(items: DataFrame, provided: DataFrame | None = None) -> DataFrame:
+    """Items with ``value``: what the caller provides as (program, name, value), else the initial value."""
+    start = val.initial_value(F.col("pic"), F.col("value_raw"), F.col("has_children"))
+    real = items.where(~F.col("kind").isin("CONDITION", "RENAME")).withColumn("_start", start)
+    if provided is None:
+        return real.withColumnRenamed("_start", "value")
+    given = provided.select("program", F.upper("name").alias("_key"), F.col("value").alias("_given"))
+    return real.withColumn("_key", F.upper("name")).join(given, ["program", "_key"], "left").withColumn(
+        "value", F.coalesce("_given", "_start")
+    ).drop("_key", "_given", "_start")
+
+
+def condition_names(items: DataFrame, provided: DataFrame | None = None) -> DataFrame:
+    """Level 88 names with ``holds``: whether their item has the condition's first value."""
+    owners = current_values(items, provided).select("path", "program", F.col("item_no").alias("parent_no"), "value")
+    conditions = items.where(F.col("kind") == "CONDITION").select("path", "program", "name", "parent_no", "value_raw")
+    return conditions.join(owners, ["path", "program", "parent_no"]).select(
+        "path", "program", "name", val.condition_name_holds(F.col("value"), F.col("value_raw")).alias("holds")
+    )
+
+
 def renames_alias(items: DataFrame) -> DataFrame:
     """Level 66 names with a single source group: name, source name and source item."""
     sources = items.where(F.col("has_children")).select(

@@ -69,11 +69,11 @@ def _program_id(sents_name: str) -> Column:
     return let(found.cast("int"), name)
 
 
-def units(sources: DataFrame, fmt: str | Column | None = None) -> DataFrame:
-    """One row per program unit: path, unit_no, program_id, unit_name, program, base, sents."""
+def units(sources: DataFrame, fmt: str | Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per program unit: path, file_name, ``keep``, base, unit_sents, program_id, unit_name, program."""
     cut = explode_slices(
         with_sentences(sources, fmt), "sents", is_unit_header,
-        ["path", "file_name"], absorb_lead=True, part="unit_sents",
+        ["path", "file_name", *keep], absorb_lead=True, part="unit_sents",
     )
     named = cut.withColumn("program_id", _program_id("unit_sents")).withColumn(
         "unit_name", naming.unit_name(F.col("file_name"))
@@ -161,6 +161,13 @@ def headers(sentence_rows: DataFrame, kind: str | None = None) -> DataFrame:
     return sentence_rows.where(F.col("kind").isin(wanted))
 
 
+def decimal_comma_programs(sentence_rows: DataFrame) -> DataFrame:
+    """Programs whose numbers are written with a decimal comma."""
+    return sentence_rows.where(
+        (F.col("division") == "ENVIRONMENT") & F.col("text").rlike(r"(?i)\bDECIMAL-POINT\s+(IS\s+)?COMMA\b")
+    ).select("path", "program").distinct()
+
+
 def programs(unit_rows: DataFrame) -> DataFrame:
     """path, program_id, unit_name and name of each unit."""
     return unit_rows.select("path", "file_name", "unit_name", "program_id", F.col("program").alias("name"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copperline.functions import naming, source_text as st
+from copperline.functions import naming, source_text as st, values as val
 from copperline.operators import (
     calls, copybooks, data_items as di, entities, facts, graph, layout, lineage, paths, statements as stm, structure,
 )
@@ -179,25 +179,23 @@ def references(spark, sf):
 
 
 def initial_values(spark, sf):
-    from copperline.functions import values as val
-
-    value = val.initial_value(F.col("pic"), F.col("value_raw"), F.col("has_children"))
-    return _items(spark, sf).where(~F.col("kind").isin("CONDITION", "RENAME")).withColumn("_v", value).select(
-        "program", "name", F.col("_v.kind").alias("value_kind"), F.when(F.col("_v").isNotNull(), val.as_string(F.col("_v"))).alias("value")
-    )
+    rows = layout.current_values(_items(spark, sf))
+    text = F.when(F.col("value").isNotNull(), val.as_string(F.col("value")))
+    return rows.select("program", "name", F.col("value.kind").alias("value_kind"), text.alias("value"))
 
 
 def condition_names(spark, sf):
     """Level 88 names against the initial values of their items."""
-    from copperline.functions import values as val
+    return layout.condition_names(_items(spark, sf)).select("program", "name", "holds")
 
-    items = _items(spark, sf)
-    value = val.initial_value(F.col("pic"), F.col("value_raw"), F.col("has_children"))
-    owners = items.where(F.col("kind") == "SCALAR").select("path", "program", F.col("item_no").alias("parent_no"), value.alias("_pv"))
-    conditions = items.where(F.col("kind") == "CONDITION")
-    return conditions.join(owners, ["path", "program", "parent_no"]).select(
-        "program", "name", val.condition_name_holds(F.col("_pv"), F.col("value_raw")).alias("holds")
+
+def condition_names_provided(spark, sf):
+    """The same with values the caller provides."""
+    given = parts(spark, sf).select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("program"), F.lit("WS-FLAG").alias("name"),
+        val.string_value(F.when(F.col("p_size") > 30, "Y").when(F.col("p_size") > 10, "y")).alias("value"),
     )
+    return layout.condition_names(_items(spark, sf), given).select("program", "name", "holds")
 
 
 def file_usage(spark, sf):
@@ -328,8 +326,9 @@ def program_stubs(spark, sf):
 
 
 def _known_programs(spark, sf):
+    """Programs already in the graph: those of the larger parts."""
     k = F.col("p_partkey")
-    return parts(spark, sf).where(k % 2 == 1).select(
+    return parts(spark, sf).where(F.col("p_size") >= 20).select(
         F.concat(F.lit("P"), k.cast("string")).alias("name"), F.concat(F.lit("/corpus/p"), k.cast("string"), F.lit(".cbl")).alias("file_path")
     )
 
@@ -412,7 +411,7 @@ QUERIES = {f.__name__: f for f in (
     call_edges_all, call_edges_flat, call_statements, programs, entity_rows, entity_rows_flat, entity_counts, containment,
     statement_census, statement_census_flat, statement_nesting, statement_scopes, sentence_kinds, section_headers,
     identification, layout_paths, qualified_paths, layout_ddl, fd_layouts, item_sections, working_storage,
-    file_descriptions, file_records, groups_with_children, renames, references, initial_values, condition_names,
+    file_descriptions, file_records, groups_with_children, renames, references, initial_values, condition_names, condition_names_provided,
     file_usage, file_control, control_flow, moves, exec_sql, file_lineage, uncovered_verbs, rule_choice, line_format,
     copybook_flag, rejects, code_lines, copybook_expansion, copy_edges, edge_build, program_stubs, callees,
     relationship_counts, ordered_programs, first_edge, call_paths, cycle_paths, reachable, param_query, doc_meta,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from copperline.operators import calls, copybooks, entities, graph, structure
 from copperline.plans import ask
+from copperline.session import materialize
 from copperline.sources import files
 
 
@@ -15,12 +15,12 @@ def graph_tables(
 ) -> dict[str, DataFrame]:
     """programs, entities, contains and calls of the sources.
 
-    Both passes over the code (entities and calls) read one persisted table of divisions.
+    The code is parsed once, into a table of divisions that all outputs read.
     """
     stamp = F.current_timestamp() if as_of is None else as_of
-    units = structure.units(sources, fmt)
-    divisions = structure.divisions(units).persist(StorageLevel.MEMORY_AND_DISK)
-    programs = graph.upsert_programs(structure.programs(units), stamp)
+    divisions = materialize(structure.divisions(structure.units(sources, fmt)))
+    named = divisions.select("path", F.col("program").alias("name")).distinct()
+    programs = graph.upsert_programs(named, stamp)
     ents = graph.upsert_entities(entities.extract_entities(divisions, scope), stamp)
     edges = graph.upsert_edges(calls.extract_calls(structure.sections(divisions), scope), stamp)
     kept, with_stubs = graph.build_edges(edges, programs)
@@ -32,6 +32,14 @@ def graph_tables(
     }
 
 
+def with_main_program(sources: DataFrame, fmt: str | None = None) -> DataFrame:
+    """Add ``program``, the name of a file's first program: the same as in the graph."""
+    carried = sources.withColumn("_content", F.col("content"))
+    return structure.units(carried, fmt, keep=("_content",)).where(F.col("base") == 0).select(
+        "path", "file_name", F.col("_content").alias("content"), "program"
+    )
+
+
 def ingest(
     spark: SparkSession, directory: str, out_dir: str, copybook_files: list[str] | None = None,
     fmt: str | None = None, scope: str = "all",
@@ -45,8 +53,6 @@ def ingest(
         expanded = copybooks.expand_copybooks(usable, files.scan_copybooks(spark, copybook_files))
     tables = graph_tables(expanded, fmt, scope)
     graph.write_graph(tables, out_dir)
-    units = structure.units(usable, fmt).select("path", F.col("program"), "base")
-    main = units.groupBy("path").agg(F.min_by("program", "base").alias("program"))
-    ask.doc_vectors(usable.join(main, "path")).write.parquet(f"{out_dir}/vectors")
+    ask.doc_vectors(with_main_program(usable, fmt)).write.parquet(f"{out_dir}/vectors")
     undecodable.unionByName(unparsable).write.parquet(f"{out_dir}/rejects")
     return graph.read_graph(spark, out_dir, ["programs", "entities", "contains", "calls", "vectors", "rejects"])

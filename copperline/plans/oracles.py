@@ -246,6 +246,7 @@ SQL: dict[str, str] = {
         WHEN 'R-TEXT' THEN repeat(' ', CAST(regexp_extract(pic, '[0-9]+') AS INT)) END AS value
       FROM items WHERE kind NOT IN ('CONDITION', 'RENAME')""",
     "condition_names": f"WITH {_P} SELECT p AS program, 'WS-ON' AS name, false AS holds FROM corpus",
+    "condition_names_provided": f"WITH {_P} SELECT p AS program, 'WS-ON' AS name, s > 30 AS holds FROM corpus",
     "file_usage": f"""WITH {_P} SELECT p AS program, 'OPEN' AS verb, 'INPUT' AS mode, 'F' || k AS file_name FROM corpus WHERE k % 5 = 0
       UNION ALL SELECT p, 'WRITE', NULL, 'R' || k FROM corpus WHERE k % 5 = 0 UNION ALL SELECT p, 'CLOSE', NULL, 'F' || k FROM corpus WHERE k % 5 = 0""",
     "file_control": f"WITH {_P} SELECT p AS program, 'F' || k AS file_name, 'f' || k || '.dat' AS external_name FROM corpus WHERE k % 5 = 0",
@@ -282,9 +283,9 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 'C' || k, 1, 'LAST-ITEM', 'X' FROM c""",
     "copy_edges": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 97 END AS b FROM customer)
       SELECT 'C' || k AS source, 'CB' || b AS target, 'COPIES' AS rel_type FROM c UNION ALL SELECT 'C' || k, 'UNKNOWN-BOOK', 'COPIES' FROM c""",
-    "edge_build": f"WITH {_EDGES} SELECT * FROM edges WHERE CAST(substr(source, 2) AS BIGINT) % 2 = 1",
-    "program_stubs": f"""WITH {_EDGES}, known AS (SELECT p AS name, '/corpus/' || f AS file_path FROM corpus WHERE k % 2 = 1)
-      SELECT * FROM known UNION ALL SELECT DISTINCT target, NULL FROM edges WHERE CAST(substr(source, 2) AS BIGINT) % 2 = 1 AND target NOT IN (SELECT name FROM known)""",
+    "edge_build": f"WITH {_EDGES} SELECT edges.* FROM edges JOIN corpus ON p = source WHERE s >= 20",
+    "program_stubs": f"""WITH {_EDGES}, known AS (SELECT p AS name, '/corpus/' || f AS file_path FROM corpus WHERE s >= 20)
+      SELECT * FROM known UNION ALL SELECT DISTINCT target, NULL FROM edges WHERE source IN (SELECT name FROM known) AND target NOT IN (SELECT name FROM known)""",
     "callees": f"WITH {_EDGES} SELECT source AS program, string_agg(target, ',' ORDER BY target) AS deps FROM edges GROUP BY source",
     "relationship_counts": f"WITH {_EDGES} SELECT source, count(*) AS n_relationships FROM edges GROUP BY source",
     "ordered_programs": f"WITH {_P} SELECT p AS name FROM corpus ORDER BY p",
@@ -298,7 +299,7 @@ SQL: dict[str, str] = {
     "reachable": f"""WITH RECURSIVE {_EDGES}, walk(s, t, n) AS (SELECT source, target, 1 FROM edges
       UNION SELECT s, target, n + 1 FROM walk JOIN edges ON source = t WHERE t <> 'P0')
       SELECT s AS source, t AS target, min(n) AS length FROM walk GROUP BY s, t""",
-    "param_query": f"""WITH {_EDGES} SELECT source AS name, target FROM edges JOIN corpus ON p = source WHERE k % 2 = 1 AND f LIKE '%1.cbl'""",
+    "param_query": f"""WITH {_EDGES} SELECT source AS name, target FROM edges JOIN corpus ON p = source WHERE s >= 20 AND f LIKE '%1.cbl'""",
     "doc_meta": f"WITH {_P} SELECT p || '_' || f AS id, p AS program, '/corpus/' || f AS file_path, f AS file_name, 'COBOL' AS language, f AS source FROM corpus",
     "stream_calls": f"WITH {_EDGES} SELECT * FROM edges",
     "program_upsert": """SELECT 'U' || user_id AS name, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",

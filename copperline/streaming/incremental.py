@@ -51,7 +51,8 @@ def incremental_ingest(spark: SparkSession, directory: str, out_dir: str, checkp
 
     def take(batch: DataFrame, batch_id: int) -> None:
         named = batch.select("path", F.regexp_extract("path", r"([^/\\]+)$", 1).alias("file_name"), "content")
-        sources, _ = files.decode_sources(named)
+        decoded, _ = files.decode_sources(named)
+        sources, _ = files.split_rejects(decoded, fmt)
         merge_batch(batch.sparkSession, sources, out_dir, batch_id, fmt)
 
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -65,7 +65,7 @@ def test_ingest_directory(spark, tmp_path):
 
 
 def test_collection(spark, tmp_path):
-    name = "cobol-code-test"
+    name = "sources-test"
     coll.drop_collection(spark, name)
     coll.create_collection(spark, name)
     with pytest.raises(Exception):
