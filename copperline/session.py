@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_scratch: list[str] = []
+
+
 def build_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benches; on a cluster pass in your own session."""
     spark = (
@@ -36,9 +39,9 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-    folder = tempfile.mkdtemp(prefix="copperline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _local_scratch:
+        _local_scratch.append(tempfile.mkdtemp(prefix="copperline-"))
+    return _local_scratch[0]
 
 
 def materialize(df: DataFrame) -> DataFrame:
