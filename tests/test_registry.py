@@ -12,7 +12,10 @@ NAMES = ["call_edges_all", "entity_rows", "statement_nesting", "layout_paths", "
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    # the training-data operators have tests of their own, and not all of them can be said in SQL
+    without = set(entry.queries()) - set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(name == "pipeline" or name.startswith("op") for name in without)
 
 
 @pytest.fixture(scope="module")
