@@ -5,10 +5,11 @@ Two fingerprints of 64 bits that differ in at most ``max_bits`` have, when cut i
 the differing bit masked is an equal key of both, so an equality join over all segments with one
 wildcard finds every link, and the whole fingerprints are then compared.
 
-Keys with more than ``BUCKET`` fingerprints would give all pairs of a dense group. For links of up
-to two bits their members are indexed by the whole fingerprint and its 64 one-bit variants instead:
-two of them share a variant exactly if they differ in at most two bits, so a link to the smallest
-fingerprint of each variant is exact, complete and linear.
+Keys with more than ``BUCKET`` fingerprints would give all pairs of a dense group. Segments that are
+held so often are counted first, and for links of up to two bits the fingerprints with or beside
+them are indexed by the whole fingerprint and its 64 one-bit variants instead: two of them share a
+variant exactly if they differ in at most two bits, so a link to the smallest fingerprint of each
+variant is exact, complete and linear.
 
 Defined cases: a null, empty or wordless text has fingerprint zero and links like any other; fewer
 words than a shingle are one shingle; copies are one node of the graph; a null id never names a
@@ -75,8 +76,7 @@ def _variants(fp: Column, max_bits: int) -> Column:
     """Keys of a fingerprint: each segment as it is (side 2) and with one bit masked (side: that bit)."""
     out = []
     for s, (low, width) in enumerate(_segments(max_bits)):
-        ones = -1 if width == 64 else (1 << width) - 1
-        value = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(ones).cast("long"))
+        value = F.shiftrightunsigned(fp, low).bitwiseAND(_ones(width))
         for bit in range(-1, width):
             masked = value if bit < 0 else value.bitwiseAND(F.lit(~(1 << bit) if bit < 63 else (1 << 63) - 1).cast("long"))
             side = F.lit(2) if bit < 0 else F.shiftrightunsigned(value, bit).bitwiseAND(F.lit(1).cast("long")).cast("int")
@@ -85,36 +85,72 @@ def _variants(fp: Column, max_bits: int) -> Column:
                 key = masked.bitwiseOR(F.lit(label << 48).cast("long"))
             else:
                 key = F.xxhash64(F.lit(label), masked)
-            out.append(F.struct(key.alias("key"), side.alias("side")))
+            out.append(F.struct(F.lit(s).alias("s"), key.alias("key"), side.alias("side")))
     return F.array(*out)
 
 
+def _segment_values(fp: Column, max_bits: int) -> Column:
+    """(s, value) of each segment."""
+    return F.array(*[
+        F.struct(F.lit(s).alias("s"), F.shiftrightunsigned(fp, low).bitwiseAND(_ones(width)).alias("value"))
+        for s, (low, width) in enumerate(_segments(max_bits))
+    ])
+
+
+def _with_flips(value: Column, width: int | Column) -> Column:
+    """The value and all that differ from it in one bit."""
+    bits = F.sequence(F.lit(0), F.lit(width) - 1)
+    return F.concat(F.array(value), F.transform(bits, lambda b: value.bitwiseXOR(_bit(b))))
+
+
+def _bit(b: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), b)
+
+
+def _ones(width: int) -> Column:
+    return F.lit(-1 if width == 64 else (1 << width) - 1).cast("long")
+
+
+def dense(fps: DataFrame, max_bits: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Which fingerprints have a segment that more than half a bucket of them hold, or are one bit from such.
+
+    Returns (fp, s) whose segment s is held that often, and (fp) of those and their neighbours. A key
+    with a wildcard joins two segment values, so without the former no key has more than ``bucket`` rows.
+    """
+    values = fps.select("fp", F.explode(_segment_values(F.col("fp"), max_bits)).alias("v")).select("fp", "v.s", "v.value")
+    hot = materialize(values.groupBy("s", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket // 2))
+    held = materialize(values.join(hot.select("s", "value"), ["s", "value"], "left_semi").select("fp", "s"))
+    widths = F.lit(0)
+    for s, (_, width) in enumerate(_segments(max_bits)):
+        widths = F.when(F.col("s") == s, width).otherwise(widths)
+    around = hot.select("s", F.explode(_with_flips(F.col("value"), widths)).alias("value")).distinct()
+    near = materialize(values.join(around, ["s", "value"], "left_semi").select("fp").distinct())
+    return held, near
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) with a < b between distinct fingerprints ``fp``: enough to connect all that are within ``max_bits``.
 
-    All links are returned but those inside keys of more than ``bucket`` fingerprints, where the
-    links to the smallest of each variant stand for them.
+    All links are returned but those between fingerprints of dense groups, where the links to the
+    smallest of each variant stand for them. The linear form proves up to two bits; beyond that
+    every key is joined whole.
     """
-    keyed = fps.select("fp", F.explode(_variants(F.col("fp"), max_bits)).alias("v")).select("fp", "v.key", "v.side")
-    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    whole = max_bits > 2  # the linear form below proves up to two bits
-    cold = shared if whole else shared.where(F.col("n") <= bucket)
-    members = materialize(keyed.join(cold.select("key"), "key"))
-    a, b = members.alias("a"), members.alias("b")
+    keyed = fps.select("fp", F.explode(_variants(F.col("fp"), max_bits)).alias("v")).select("fp", "v.s", "v.key", "v.side")
+    if max_bits <= 2:
+        held, near = dense(fps, max_bits, bucket)
+        keyed = keyed.join(held, ["fp", "s"], "left_anti")
+    keyed = keyed.select("fp", "key", "side")
+    a, b = keyed.alias("a"), keyed.alias("b")
     bits = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
     # with a masked bit only unequal bits need to meet; equal segments meet under the key without a wildcard
     sides = ((F.col("a.side") == 0) & (F.col("b.side") == 1)) | ((F.col("a.side") == 2) & (F.col("b.side") == 2))
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & sides & (F.col("a.fp") != F.col("b.fp")) & (bits <= max_bits))
     found = met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
-    if not whole:
-        hot = keyed.join(shared.where(F.col("n") > bucket).select("key"), "key", "left_semi").select("fp").distinct()
-        flips = [F.col("fp").bitwiseXOR(F.lit((1 << k) if k < 63 else -(1 << 63)).cast("long")) for k in range(64)]
-        near = materialize(hot).select("fp", F.explode(F.array(F.col("fp"), *flips)).alias("z"))
-        first = near.groupBy("z").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("z", "a")
-        star = near.join(first, "z").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
-        found = found.unionByName(star) if max_bits == 2 else found.unionByName(
-            star.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        )
+    if max_bits <= 2:
+        spread = near.select("fp", F.explode(_with_flips(F.col("fp"), 64)).alias("z"))
+        first = spread.groupBy("z").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("z", "a")
+        star = spread.join(first, "z").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
+        found = found.unionByName(star.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     return found.distinct()
 
 
