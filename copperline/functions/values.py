@@ -268,28 +268,35 @@ def group_is_blank(leaves: list[Column]) -> Column:
     return F.forall(F.array(*[leaf.cast("string") for leaf in leaves]), is_blank)
 
 
-# Arithmetic. Operands are cast to DECIMAL(38,10); an unknown operand makes the result unknown.
+# Arithmetic. Results are DECIMAL(38,10), exact to the last place; a result that does not fit is
+# unknown, and so is every result of an unknown operand. The types of the intermediate steps are
+# chosen so that Spark's rule for decimal types keeps all ten places.
+
+_TERM, _FACTOR = "decimal(37,10)", "decimal(28,10)"
+
 
 def number(col: Column) -> Column:
     return col.cast(DEC)
 
 
 def add(a: Column, b: Column) -> Column:
-    return number(number(a) + number(b))
+    return F.try_add(a.try_cast(_TERM), b.try_cast(_TERM)).try_cast(DEC)
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return number(number(a) - number(b))
+    return F.try_subtract(a.try_cast(_TERM), b.try_cast(_TERM)).try_cast(DEC)
 
 
 def multiply(a: Column, b: Column) -> Column:
-    return number(a.cast("decimal(19,5)") * b.cast("decimal(19,5)"))
+    """Operands keep the precision of their own types, as their pictures give them."""
+    return F.try_multiply(a, b).try_cast(DEC)
 
 
 def divide(a: Column, b: Column) -> Column:
     """Division by zero leaves the dividend as it is."""
-    quotient = number(number(a) / F.nullif(number(b), F.lit(0).cast(DEC)))
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast(DEC)).otherwise(F.coalesce(quotient, number(a)))
+    divisor = b.try_cast(_FACTOR)
+    quotient = F.try_divide(a.try_cast(_FACTOR), divisor).try_cast(DEC)
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast(DEC)).when(divisor == 0, a.try_cast(DEC)).otherwise(quotient)
 
 
 def power(base: Column, exponent: Column) -> Column:

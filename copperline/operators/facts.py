@@ -73,9 +73,11 @@ _INLINE_PERFORM = r"(?i)^PERFORM\s+(UNTIL|VARYING|WITH|TEST|\S+\s+TIMES)\b"
 
 
 def paragraph_order(division_rows: DataFrame) -> DataFrame:
-    """path, program and the paragraph names of its procedure division in order."""
+    """path, program and the paragraph and section names of its procedure division in order."""
+    sections = F.filter("div_sents", structure.is_section_header)
     return division_rows.where(F.col("division") == "PROCEDURE").select(
-        "path", "program", F.filter("div_sents", structure.is_paragraph_header).alias("paragraph_names")
+        "path", "program", F.filter("div_sents", structure.is_paragraph_header).alias("paragraph_names"),
+        F.transform(sections, lambda s: F.regexp_extract(s, r"^\s*(\S+)", 1)).alias("section_names"),
     )
 
 
@@ -84,6 +86,8 @@ def extract_control_flow(stmts: DataFrame, order: DataFrame) -> DataFrame:
 
     PERFORM ... THROUGH names every paragraph from the first to the last: those are a slice of
     the program's paragraph names (``order``, one row per program), so no range join is needed.
+    Sections count likewise. If an end is unknown, of the other kind or before the start, the two
+    names themselves are the targets: the row stays.
     """
     text = F.col("text")
     is_go = F.col("verb") == "GO"
@@ -96,11 +100,16 @@ def extract_control_flow(stmts: DataFrame, order: DataFrame) -> DataFrame:
         F.when(is_go, F.split(F.trim(body), r"\s+")).otherwise(F.array(F.regexp_extract(text, _PERFORM, 1))).alias("_names"),
         F.when(~is_go, F.nullif(F.regexp_extract(text, _THROUGH, 1), F.lit(""))).alias("_last"),
     )
-    names = order.select("path", "program", F.col("paragraph_names").alias("_order"))
-    joined = rows.join(names, ["path", "program"], "left").withColumn("_upper", F.transform("_order", F.upper))
-    lo = F.array_position("_upper", F.upper(F.get("_names", F.lit(0)))).cast("int")
-    hi = F.array_position("_upper", F.upper("_last")).cast("int")
-    span = F.when((lo > 0) & (hi >= lo), F.slice("_order", lo, hi - lo + 1))
+    upper = [F.transform(c, F.upper).alias(f"_upper_{c}") for c in ("paragraph_names", "section_names")]
+    names = order.select("path", "program", "paragraph_names", "section_names", *upper)
+    joined = rows.join(names, ["path", "program"], "left")
+
+    def span_of(kind: str) -> Column:
+        lo = F.array_position(f"_upper_{kind}", F.upper(F.get("_names", F.lit(0)))).cast("int")
+        hi = F.array_position(f"_upper_{kind}", F.upper("_last")).cast("int")
+        return F.when((lo > 0) & (hi >= lo), F.slice(kind, lo, hi - lo + 1))
+
+    span = F.coalesce(span_of("paragraph_names"), span_of("section_names"), F.array(F.get("_names", F.lit(0)), "_last"))
     targets = F.when(F.col("_last").isNull(), F.col("_names")).otherwise(span)
     out = joined.select(*_KEY, "verb", "mode", F.posexplode(F.coalesce(targets, F.array().cast("array<string>"))).alias("_p", "target"))
     same = F.coalesce(F.upper("target") == F.upper("paragraph"), F.lit(False))

@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from copperline.functions import naming, pictures as pic, values as val
 from copperline.functions.arrays import let
 from copperline.operators import data_items as di
+from copperline.session import materialize
 
 _PENDING = "ARRAY<STRUCT<level: INT, ddl: STRING>>"
 
 
 def has_children(items: DataFrame) -> DataFrame:
     """Items with at least one child that is no condition."""
-    parents = items.where(F.col("kind") != "CONDITION").select("path", "program", F.col("parent_no").alias("item_no"))
-    return items.join(parents.distinct(), ["path", "program", "item_no"], "left_semi")
+    return items.where("has_children")
 
 
 def layout_table(items: DataFrame) -> DataFrame:
@@ -180,10 +180,12 @@ def renames_alias(items: DataFrame) -> DataFrame:
     )
 
 
-def qualified_paths(items: DataFrame, max_levels: int = 50) -> DataFrame:
+def qualified_paths(items: DataFrame) -> DataFrame:
     """Ancestor chain of each item, root first, by walking up ``parent_no``.
 
     ``data_items`` carries the same path in ``qpath``; this form serves item tables from elsewhere.
+    Each level is a table of its own, so nothing is computed twice. Items that are their own
+    ancestors are an error: level numbers fall towards the root, so 98 steps always reach it.
     """
     own = F.when(F.col("filler_no").isNotNull(), F.concat(F.lit("filler"), F.col("filler_no").cast("string"))).otherwise(
         naming.column_name(F.col("name"))
@@ -191,17 +193,22 @@ def qualified_paths(items: DataFrame, max_levels: int = 50) -> DataFrame:
     nodes = items.select("path", "program", "item_no", own.alias("_own"), "parent_no",
                          naming.column_name(F.col("fd_name")).alias("_fd"))
     up = nodes.select("path", "program", F.col("item_no").alias("_at"), F.col("_own").alias("_name"), F.col("parent_no").alias("_up"))
-    walk = nodes.select("path", "program", "item_no", "_fd", F.array("_own").alias("_chain"), F.col("parent_no").alias("_at"))
-    done = None
-    for _ in range(max_levels):
+    walk = materialize(
+        nodes.select("path", "program", "item_no", "_fd", F.array("_own").alias("_chain"), F.col("parent_no").alias("_at"))
+    )
+    done, level = None, 0
+    while True:
         finished = walk.where(F.col("_at").isNull())
         done = finished if done is None else done.unionByName(finished)
         pending = walk.where(F.col("_at").isNotNull())
         if pending.isEmpty():
             break
-        walk = pending.join(up, ["path", "program", "_at"]).select(
+        level += 1
+        if level > 98:  # levels run from 01 to 49, 66, 77 and 88: each parent has a lower one
+            raise ValueError("data items are their own ancestors")
+        walk = materialize(pending.join(up, ["path", "program", "_at"]).select(
             "path", "program", "item_no", "_fd", F.concat(F.array("_name"), "_chain").alias("_chain"), F.col("_up").alias("_at")
-        )
+        ))
     return done.select("path", "program", "item_no", F.concat_ws(".", "_fd", F.array_join("_chain", ".")).alias("qualified_path"))
 
 

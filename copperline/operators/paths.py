@@ -17,12 +17,13 @@ def _step(frontier: DataFrame, edges: DataFrame, hot: list[str], carry: list[str
 
 
 def reachable_paths(
-    edges: DataFrame, src: str | None = None, dst: str | None = None, max_depth: int = 10
+    edges: DataFrame, src: str | None = None, dst: str | None = None, max_depth: int | None = None
 ) -> DataFrame:
-    """All paths of 1 to ``max_depth`` edges in which no edge repeats: source, target, length.
+    """All paths in which no edge repeats: source, target, length. One row per path.
 
-    One row per path. The number of paths can grow exponentially on dense cyclic graphs, so
-    the depth is part of the question; use ``reachability`` for the set of reachable pairs.
+    Without ``max_depth`` the walk ends when no path can grow; with it, paths of 1 to that many
+    edges are what is asked for. The number of paths can grow exponentially on dense cyclic graphs:
+    use ``reachability`` for the set of reachable pairs.
     """
     links = materialize(edges.select("source", "target").distinct())
     hot = hot_keys(links.select(F.col("target")), "target")
@@ -32,7 +33,9 @@ def reachable_paths(
         F.col("source").alias("start"), F.col("target").alias("at"), F.array(edge_id).alias("used"), F.lit(1).alias("length")
     )
     found = [frontier]
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while max_depth is None or depth < max_depth:
+        depth += 1
         nxt = materialize(_step(frontier, links, hot, ["start", "used"]).where(~F.array_contains("used", edge_id)).select(
             "start", F.col("target").alias("at"), F.array_append("used", edge_id).alias("used"), F.lit(depth).alias("length")
         ))

@@ -8,7 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-MAX_INLINE_QUERIES = 1024
+from copperline.operators.graph import union_all
+
+#: Queries that travel with a task at once; more are taken in turns, with the same scores and ranks.
+BLOCK_BYTES = 32 << 20
 
 
 def _pruned_scores(vectors: DataFrame, id_col: str, queries: list[tuple[str, list[float]]], n: int) -> DataFrame:
@@ -29,13 +32,13 @@ def _pruned_scores(vectors: DataFrame, id_col: str, queries: list[tuple[str, lis
                 continue
             data = np.asarray(batch["embedding"].tolist(), dtype=np.float64)
             norms = np.sqrt((data * data).sum(axis=1))
-            ok = norms > 0
+            ok = (norms > 0) & np.isfinite(norms)
             data, keys = data[ok] / norms[ok, None], batch["id"].to_numpy()[ok]
             if not len(keys):
                 continue
             sims = np.round(data @ unit.T, 12)
             for j, query in enumerate(ids):
-                if lengths[j] == 0:
+                if not 0 < lengths[j] < np.inf:
                     continue
                 column = sims[:, j]
                 if len(column) > n:
@@ -61,42 +64,28 @@ def vector_topk(vectors: DataFrame, query: list[float], n: int, id_col: str = "v
     return vectors.join(F.broadcast(best.select(F.col("id").alias(id_col), "score")), id_col)
 
 
-def vector_topk_batch(vectors: DataFrame, queries: DataFrame, n: int, id_col: str = "vec_id") -> DataFrame:
+def vector_topk_batch(
+    vectors: DataFrame, queries: DataFrame, n: int, id_col: str = "vec_id", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Per query the n nearest vectors: query_id, id, score, rank.
 
-    Up to ``MAX_INLINE_QUERIES`` queries travel with the tasks. A larger batch is cut into
-    blocks joined to the vectors on the block number, with no other change to the result.
+    The queries travel with the tasks in blocks of bounded size. Every block is scored and cut to
+    its n best by the same function, so their number changes nothing in the result.
     """
-    head = queries.select(F.col("query_id").cast("string"), "embedding").limit(MAX_INLINE_QUERIES + 1).collect()
-    if len(head) <= MAX_INLINE_QUERIES:
-        scored = _pruned_scores(vectors, id_col, [(r[0], list(r[1])) for r in head], n) if head else None
-        if scored is None:
-            scored = vectors.sparkSession.createDataFrame([], T.StructType([
-                T.StructField("query_id", T.StringType()), T.StructField("id", vectors.schema[id_col].dataType),
-                T.StructField("score", T.DoubleType()),
-            ]))
-    else:
-        scored = _blocked_scores(vectors, queries, id_col)
+    empty = vectors.sparkSession.createDataFrame([], T.StructType([
+        T.StructField("query_id", T.StringType()), T.StructField("id", vectors.schema[id_col].dataType),
+        T.StructField("score", T.DoubleType()),
+    ]))
+    scored, block, size = [], [], 0
+    for row in queries.select(F.col("query_id").cast("string"), "embedding").where("embedding is not null").toLocalIterator():
+        block.append((row[0], list(row[1])))
+        size += 8 * len(row[1])
+        if size >= block_bytes:
+            scored.append(_pruned_scores(vectors, id_col, block, n))
+            block, size = [], 0
+    if block:
+        scored.append(_pruned_scores(vectors, id_col, block, n))
+    best = union_all(scored) if scored else empty
     # the rank filter is pushed below the shuffle, so each task sends n rows per query
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-
-
-def _blocked_scores(vectors: DataFrame, queries: DataFrame, id_col: str, block: int = 32) -> DataFrame:
-    """Scores of all queries in blocks of bounded size, for batches too large for one task."""
-    from copperline.functions.vectors import cosine
-
-    n_blocks = max(-(-queries.count() // block), 1)
-    blocks = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"),
-        F.struct(F.col("query_id").cast("string").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")).alias("_q"),
-    ).groupBy("block").agg(F.collect_list("_q").alias("_qs"))
-    dealt = vectors.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("_v")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
-    scores = F.transform("_qs", lambda q: F.struct(
-        q["query_id"].alias("query_id"), F.round(cosine(F.col("_v"), q["q"]), 12).alias("score")
-    ))
-    return dealt.join(blocks, "block").select("id", F.inline(scores)).where(F.col("score").isNotNull()).select(
-        "query_id", "id", "score"
-    )
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

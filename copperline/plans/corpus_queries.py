@@ -355,17 +355,26 @@ def call_paths(spark, sf):
     halves = part_edges(spark, sf).where((F.col("source") != "P0") & (F.col("target") == F.concat(
         F.lit("P"), F.floor(F.substring("source", 2, 18).cast("long") / 2).cast("string")
     )))
-    found = paths.reachable_paths(halves, max_depth=40)
+    found = paths.reachable_paths(halves)
     return found.select("source", "target", "length")
 
 
+def long_paths(spark, sf):
+    """All paths in chains of 16 programs: up to 15 edges, without a limit of their own."""
+    k = F.col("p_partkey")
+    chain = parts(spark, sf).where((k + 1) % 16 != 0).select(
+        F.concat(F.lit("P"), k.cast("string")).alias("source"), F.concat(F.lit("P"), (k + 1).cast("string")).alias("target")
+    )
+    return paths.reachable_paths(chain)
+
+
 def cycle_paths(spark, sf):
     """Paths on a ring of seven programs, which end because no edge repeats."""
     k = F.col("p_partkey") % 7
     ring = parts(spark, sf).select(
         F.concat(F.lit("R"), k.cast("string")).alias("source"), F.concat(F.lit("R"), ((k + 1) % 7).cast("string")).alias("target")
     ).distinct()
-    return paths.reachable_paths(ring, max_depth=20)
+    return paths.reachable_paths(ring)
 
 
 def reachable(spark, sf):
@@ -414,6 +423,6 @@ QUERIES = {f.__name__: f for f in (
     file_descriptions, file_records, groups_with_children, renames, references, initial_values, condition_names, condition_names_provided,
     file_usage, file_control, control_flow, moves, exec_sql, file_lineage, uncovered_verbs, rule_choice, line_format,
     copybook_flag, rejects, code_lines, copybook_expansion, copy_edges, edge_build, program_stubs, callees,
-    relationship_counts, ordered_programs, first_edge, call_paths, cycle_paths, reachable, param_query, doc_meta,
+    relationship_counts, ordered_programs, first_edge, call_paths, long_paths, cycle_paths, reachable, param_query, doc_meta,
     stream_calls,
 )}

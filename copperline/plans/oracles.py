@@ -293,6 +293,10 @@ SQL: dict[str, str] = {
     "call_paths": """WITH RECURSIVE walk(s, t, n) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_partkey > 0
       UNION ALL SELECT s, t // 2, n + 1 FROM walk WHERE t > 0)
       SELECT 'P' || s AS source, 'P' || t AS target, n AS length FROM walk""",
+    "long_paths": """WITH e AS (SELECT DISTINCT p_partkey AS k FROM part WHERE (p_partkey + 1) % 16 <> 0)
+      SELECT 'P' || a.k AS source, 'P' || (b.k + 1) AS target, CAST(b.k - a.k + 1 AS INT) AS length
+      FROM e a JOIN e b ON b.k // 16 = a.k // 16 AND b.k >= a.k
+      WHERE (SELECT count(*) FROM e c WHERE c.k // 16 = a.k // 16 AND c.k BETWEEN a.k AND b.k) = b.k - a.k + 1""",
     "cycle_paths": """WITH RECURSIVE ring AS (SELECT DISTINCT p_partkey % 7 AS a, (p_partkey + 1) % 7 AS b FROM part),
       walk(s, t, n, used) AS (SELECT a, b, 1, [a] FROM ring UNION ALL SELECT s, b, n + 1, list_append(used, a) FROM walk JOIN ring ON a = t WHERE NOT list_contains(used, a))
       SELECT 'R' || s AS source, 'R' || t AS target, n AS length FROM walk""",
@@ -368,11 +372,15 @@ SQL: dict[str, str] = {
         CASE WHEN m IN (0, 4) THEN 'STRING' WHEN m IN (1, 2, 3, 5, 11) THEN 'DECIMAL' WHEN m = 6 THEN 'HIGH' WHEN m = 7 THEN 'LOW' WHEN m = 8 THEN 'BOOLEAN' END AS kind,
         CASE m WHEN 0 THEN 'it no. ' || s WHEN 1 THEN CAST(s AS VARCHAR) WHEN 2 THEN s || '.5' WHEN 3 THEN '-' || s WHEN 4 THEN ' ' WHEN 5 THEN '0' WHEN 6 THEN '' WHEN 7 THEN ''
           WHEN 8 THEN '1' WHEN 11 THEN CAST(s AS VARCHAR) END AS text FROM r""",
-    "arith_rows": """SELECT l_orderkey, l_linenumber, round(CAST(p + q AS DOUBLE), 2) AS total, round(CAST(CASE WHEN l_linenumber <> 5 THEN p - q END AS DOUBLE), 2) AS net,
-      round(CAST(CAST(p AS DECIMAL(18,2)) * q AS DOUBLE), 2) AS product,
-      round(CASE WHEN l_linenumber % 4 = 0 THEN CAST(p AS DOUBLE) ELSE CAST(p AS DOUBLE) / (l_linenumber % 4) END, 4) AS quotient,
-      round(CAST((l_linenumber % 4) * (l_linenumber % 4) AS DOUBLE), 2) AS square
-      FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(12,2)) AS p, CAST(l_quantity AS DECIMAL(12,2)) AS q FROM lineitem)""",
+    "arith_rows": """WITH l AS (SELECT *, CAST(l_extendedprice AS DECIMAL(12,2)) AS p, CAST(l_quantity AS DECIMAL(12,2)) AS q, l_linenumber % 4 AS d FROM lineitem),
+      h AS (SELECT *, CAST(p * 100 AS HUGEINT) * 100000000 AS scaled FROM l),
+      v AS (SELECT *, CASE WHEN d = 0 THEN scaled ELSE (2 * scaled + d) // (2 * d) END AS ratio FROM h)
+      SELECT l_orderkey, l_linenumber, CAST(CAST(p AS DECIMAL(38,10)) + CAST('0.000000000' || l_linenumber AS DECIMAL(38,10)) AS VARCHAR) AS total,
+      CASE WHEN l_linenumber <> 5 THEN CAST(CAST(p - q AS DECIMAL(38,10)) AS VARCHAR) END AS net,
+      CAST((CAST(l_orderkey AS HUGEINT) + 1000000000000000) * CAST(q * 100 AS HUGEINT) // 100 AS VARCHAR) || '.'
+        || lpad(CAST((CAST(l_orderkey AS HUGEINT) + 1000000000000000) * CAST(q * 100 AS HUGEINT) % 100 AS VARCHAR), 2, '0') || '00000000' AS product,
+      CAST(ratio // 10000000000 AS VARCHAR) || '.' || lpad(CAST(ratio % 10000000000 AS VARCHAR), 10, '0') AS quotient,
+      '0.000000000' || l_linenumber AS kept, CAST(CAST(d * d AS DECIMAL(38,10)) AS VARCHAR) AS square FROM v""",
     "expression_types": """SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'BOOLEAN' WHEN 1 THEN 'INTEGER' WHEN 2 THEN 'FLOAT' WHEN 3 THEN 'STRING' WHEN 4 THEN 'INTEGER'
       WHEN 5 THEN 'INTEGER' WHEN 6 THEN 'FLOAT' WHEN 7 THEN 'BOOLEAN' WHEN 8 THEN 'INTEGER' ELSE 'STRING' END AS type FROM part""",
     "constraint_violations": """WITH c AS (SELECT *, trunc(abs(CAST(c_acctbal AS DECIMAL(18,2)))) AS whole FROM customer)

@@ -329,11 +329,13 @@ def arith_rows(spark, sf):
     zero_or = (F.col("l_linenumber") % 4).cast("decimal(12,2)")
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     unknown = F.when(F.col("l_linenumber") != 5, q)
-    as_text = lambda c, digits: F.round(c.cast("double"), digits)
+    tiny = (F.col("l_linenumber").cast("decimal(2,0)") * F.lit("0.0000000001").cast("decimal(11,10)")).cast("decimal(13,10)")
+    large = F.col("l_orderkey").cast("decimal(16,0)") + F.lit("1000000000000000").cast("decimal(16,0)")
+    text = lambda c: c.cast("string")
     return li.select(
-        "l_orderkey", "l_linenumber", as_text(val.add(price, q), 2).alias("total"), as_text(val.subtract(price, unknown), 2).alias("net"),
-        as_text(val.multiply(price, q), 2).alias("product"), as_text(val.divide(price, zero_or), 4).alias("quotient"),
-        as_text(val.power(-zero_or, F.lit(2)), 2).alias("square"),
+        "l_orderkey", "l_linenumber", text(val.add(price, tiny)).alias("total"), text(val.subtract(price, unknown)).alias("net"),
+        text(val.multiply(large, q)).alias("product"), text(val.divide(price, zero_or)).alias("quotient"),
+        text(val.multiply(tiny, F.lit(1).cast("decimal(1,0)"))).alias("kept"), text(val.power(-zero_or, F.lit(2))).alias("square"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from copperline import schemas
 from copperline.functions import vectors as vec
 from copperline.operators import graph, topk
+from copperline.session import materialize
 
 _NAME = r"^[A-Za-z0-9_][A-Za-z0-9_.-]*$"
 
@@ -16,7 +17,8 @@ def _table(name: str) -> str:
 
     if not re.match(_NAME, name):
         raise ValueError(f"bad collection name: {name!r}")
-    return f"`{name.replace('-', '_')}`"
+    # table names have no - and no .: both are spelled out, so different collections stay different
+    return f"`{name.replace('_', '__').replace('-', '_m').replace('.', '_d')}`"
 
 
 def create_collection(spark: SparkSession, name: str) -> None:
@@ -37,15 +39,21 @@ def rows_from_lists(df: DataFrame, documents: str = "documents", metadatas: str
     return df.select(F.inline(zipped)).toDF(*lists)
 
 
-def add_embeddings(spark: SparkSession, name: str, docs: DataFrame, fn=None) -> None:
-    """Embed ``docs`` (id, document, metadata) and append them; of equal ids in ``docs`` one row is kept."""
-    unique = graph.latest(docs, ["id"], ["document"])
+def add_embeddings(spark: SparkSession, name: str, docs: DataFrame, fn=None, order: str | None = None) -> None:
+    """Embed ``docs`` (id, document, metadata) and upsert them by id.
+
+    New rows replace stored ones of the same id. Of equal ids in ``docs`` the one with the greatest
+    ``order`` stays; without such a column the rows are as good as each other and the greatest text stays.
+    """
+    unique = graph.latest(docs, ["id"], ["document"] if order is None else [order, "document"])
     meta = F.transform_values(F.col("metadata"), lambda k, v: v.cast("string"))
     out = vec.embed(unique, "document", fn).select(
         F.lit(name).alias("collection"), "id", "document", F.col("embedding").cast("array<double>").alias("embedding"),
         meta.alias("metadata"),
     )
-    out.write.mode("append").insertInto(_table(name))
+    # the new state is a table of its own before the old one is replaced
+    stored = spark.table(_table(name)).join(unique.select("id"), "id", "left_anti").select(*out.columns)
+    materialize(stored.unionByName(out)).write.mode("overwrite").insertInto(_table(name))
 
 
 def query_embeddings(spark: SparkSession, name: str, text: str, n: int, fn=None) -> DataFrame:

@@ -172,3 +172,22 @@ def test_hostile_text_is_cut_quickly(spark, hostile):
     start = time.time()
     structure.with_sentences(df, "TANDEM").select(F.size("sents")).collect()
     assert time.time() - start < 20
+
+
+def test_arithmetic_keeps_all_places(spark):
+    from decimal import Decimal
+
+    from copperline.functions import values as val
+
+    row = spark.createDataFrame(
+        [(Decimal("0.0000000001"), Decimal("1"), Decimal("3"), Decimal("1.0000001"), Decimal("1000000000000000"), Decimal("0"))],
+        "tiny decimal(38,10), one decimal(38,10), three decimal(12,0), near decimal(12,7), large decimal(16,0), zero decimal(38,10)")
+    c = __import__("pyspark").sql.functions.col
+    got = row.select(
+        val.add(c("tiny"), c("one")).alias("a"), val.subtract(c("tiny"), c("one")).alias("s"), val.multiply(c("near"), c("three")).alias("m"),
+        val.multiply(c("large"), c("three")).alias("l"), val.divide(c("one"), c("three")).alias("d"), val.divide(c("one"), c("zero")).alias("z"),
+        val.multiply(c("large"), c("large")).alias("o"),
+    ).first()
+    assert [str(got[x]) for x in "asmldz"] == [
+        "1.0000000001", "-0.9999999999", "3.0000003000", "3000000000000000.0000000000", "0.3333333333", "1.0000000000"]
+    assert got["o"] is None

@@ -75,6 +75,14 @@ def test_collection(spark, tmp_path):
     coll.add_embeddings(spark, name, coll.rows_from_lists(lists))
     best = coll.query_embeddings(spark, name, "which customer data?", 1).collect()
     assert [(r["id"], r["metadata"]["line"]) for r in best] == [("doc-1", "42")]
+    # the same ids again: new texts replace the old ones, and two rows are two different ids
+    again = spark.createDataFrame([(["stock list", "stock total"], [{"source": "a.cbl", "line": "1"}, {"source": "c.cbl", "line": "2"}], ["doc-1", "doc-3"])],
+                                  lists.schema)
+    for _ in range(2):
+        coll.add_embeddings(spark, name, coll.rows_from_lists(again))
+    found = coll.query_embeddings(spark, name, "stock list", 2).collect()
+    assert {r["id"] for r in found} == {"doc-1", "doc-2"} and {r["document"] for r in found} == {"stock list"}
+    assert spark.table("`sources_mtest`").count() == 3
     coll.drop_collection(spark, name)
     with pytest.raises(ValueError):
         coll.create_collection(spark, "x; drop")
