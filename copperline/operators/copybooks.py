@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from copperline.functions.arrays import let
 from copperline.operators.skew import hot_keys, salted_join
+from copperline.session import materialize
 
 # a line that holds a COPY sentence and nothing else, after an optional sequence area
 _COPY_LINE = r"""(?im)^(?:.{6}[^*/\n]|[^*/\n]|)[ \t]*COPY\s+["']?([A-Z0-9][A-Z0-9_#$@-]*)["']?(?:\.[A-Z0-9]+)?\s*\.[^\n]*$"""
@@ -21,20 +23,24 @@ def _references(texts: DataFrame, key: str) -> DataFrame:
 def _replace(content: Column, parts: Column) -> Column:
     """Put each copybook's text in place of the lines that name it.
 
-    ``parts`` is an array of (name, text). The text is cut at its COPY lines once, so a file
-    with many of them is rebuilt in one pass.
+    ``parts`` is an array of (name, text). Everything the loop over the lines needs is computed once
+    per file and bound before it.
     """
-    pieces = F.split(content, _COPY_LINE)
-    marks = F.regexp_extract_all(content, F.lit(_COPY_LINE), F.lit(0))
-    names = F.transform(F.regexp_extract_all(content, F.lit(_COPY_LINE), F.lit(1)), F.upper)
+    texts = F.map_from_entries(F.transform(parts, lambda p: F.struct(
+        p["name"], F.regexp_replace(p["text"], r"\r?\n$", "").alias("text")
+    )))
+    bound = F.struct(
+        F.split(content, _COPY_LINE).alias("pieces"), F.regexp_extract_all(content, F.lit(_COPY_LINE), F.lit(0)).alias("marks"),
+        F.transform(F.regexp_extract_all(content, F.lit(_COPY_LINE), F.lit(1)), F.upper).alias("names"), texts.alias("texts"),
+    )
 
-    def filled(mark: Column, i: Column) -> Column:
-        hit = F.filter(parts, lambda p: p["name"] == F.get(names, i))
-        text = F.get(hit, F.lit(0))["text"]
-        return F.concat(F.get(pieces, i), F.coalesce(F.regexp_replace(text, r"\r?\n$", ""), mark))
+    def rebuilt(b: Column) -> Column:
+        filled = F.transform(b["marks"], lambda mark, i: F.concat(
+            F.get(b["pieces"], i), F.coalesce(F.try_element_at(b["texts"], F.get(b["names"], i)), mark)
+        ))
+        return F.concat(F.array_join(filled, ""), F.element_at(b["pieces"], -1))
 
-    body = F.transform(marks, filled)
-    return F.concat(F.array_join(body, ""), F.element_at(pieces, -1))
+    return let(bound, rebuilt)
 
 
 def _expand_once(texts: DataFrame, key: str, copybooks: DataFrame) -> DataFrame:
@@ -49,21 +55,41 @@ def _expand_once(texts: DataFrame, key: str, copybooks: DataFrame) -> DataFrame:
     ).otherwise(F.col("content"))).drop("_parts")
 
 
-def expand_copybooks(sources: DataFrame, copybooks: DataFrame, max_depth: int = 32) -> DataFrame:
+def _check_no_circle(books: DataFrame) -> DataFrame:
+    """The references among copybooks; an error if some of them name each other in a circle.
+
+    Names alone are followed: references to copybooks that refer to none are taken away until none
+    is left, or none can be taken.
+    """
+    known = books.select("name")
+    refs = materialize(books.select(
+        F.col("name").alias("_by"),
+        F.explode(F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(_COPY_LINE), F.lit(1)), F.upper))).alias("name"),
+    ).join(known, "name", "left_semi"))
+    left, n = refs, refs.count()
+    while n:
+        left = materialize(left.join(left.select(F.col("_by").alias("name")).distinct(), "name", "left_semi"))
+        fewer = left.count()
+        if fewer == n:
+            raise ValueError("copybooks include each other in a circle")
+        n = fewer
+    return refs
+
+
+def expand_copybooks(sources: DataFrame, copybooks: DataFrame) -> DataFrame:
     """Replace COPY lines by the copybook's lines; unknown names stay as they are.
 
     Copybooks that name other copybooks are expanded first, among themselves, until none is
-    left; sources are then rewritten in a single pass. Copybooks that name each other in a
-    circle are an error.
+    left: each round doubles the depth and is a table of its own. Sources are then rewritten in a
+    single pass. Copybooks that name each other in a circle are an error, found on the names
+    before any text is put in.
     """
-    books = copybooks.groupBy("name").agg(F.min_by("content", "path").alias("content"))
-    for _ in range(max_depth):
-        open_refs = books.select(
-            F.col("name").alias("_by"),
-            F.explode(F.transform(F.regexp_extract_all("content", F.lit(_COPY_LINE), F.lit(1)), F.upper)).alias("name"),
-        )
-        if open_refs.join(books.select("name"), "name", "left_semi").isEmpty():
-            return _expand_once(sources, "path", books)
+    books = materialize(copybooks.groupBy("name").agg(F.min_by("content", "path").alias("content")))
+    open_refs = _check_no_circle(books)
+    while not open_refs.isEmpty():
         keyed = books.withColumnRenamed("name", "book")
-        books = _expand_once(keyed, "book", books).withColumnRenamed("book", "name")
-    raise ValueError("copybooks include each other in a circle or deeper than max_depth")
+        books = materialize(_expand_once(keyed, "book", books).withColumnRenamed("book", "name"))
+        open_refs = books.select(
+            F.explode(F.transform(F.regexp_extract_all("content", F.lit(_COPY_LINE), F.lit(1)), F.upper)).alias("name")
+        ).join(books.select("name"), "name", "left_semi")
+    return _expand_once(sources, "path", books)

@@ -124,7 +124,7 @@ def test_copybooks(spark, make):
 def test_copybook_circle_is_an_error(spark, make):
     books = spark.createDataFrame([("A", "1", fixed("COPY B.")), ("B", "2", fixed("COPY A."))], "name string, path string, content string")
     with pytest.raises(ValueError):
-        copybooks.expand_copybooks(make(u=P.SIMPLE), books, max_depth=3)
+        copybooks.expand_copybooks(make(u=P.SIMPLE), books)
 
 
 def procedure(make, *lines, data=(), env=()):
@@ -145,6 +145,20 @@ def test_open_modes_and_close(make):
     assert rows[-1]["into_name"] == "REC-A"
 
 
+def test_many_copy_lines_and_a_circle_of_several_lines(spark, make):
+    import time
+
+    books = spark.createDataFrame([(f"B{i}", f"/b{i}", f"000100 01 ITEM-{i} PIC X.") for i in range(50)], "name string, path string, content string")
+    text = "\n".join(f"000100 COPY B{i % 50}." for i in range(1000)) + "\n000200 COPY NOBODY."
+    start = time.time()
+    got = copybooks.expand_copybooks(make(big=text), books).first()["content"]
+    assert got.count("ITEM-7 ") == 20 and "COPY B" not in got and got.endswith("COPY NOBODY.") and time.time() - start < 60
+    ring = spark.createDataFrame([("A", "/a", "000100 COPY B.\n000200 COPY B."), ("B", "/b", "000100 COPY A.\n000200 COPY A.")],
+                                 "name string, path string, content string")
+    with pytest.raises(ValueError):
+        copybooks.expand_copybooks(make(u=text), ring)
+
+
 def test_perform_thru_sections_and_unknown_ends(make):
     div, _, st = procedure(
         make, "MAIN SECTION.", "BEGIN-IT.", "    PERFORM S-ONE THRU S-TWO.", "    PERFORM S-ONE THRU NOWHERE.", "    PERFORM P-TWO THRU P-ONE.", "    STOP RUN.",
