@@ -24,7 +24,7 @@ from copperline.session import materialize
 BUCKETS = 1 << 14
 SAMPLE = 6000
 SHARDS = 6
-ROUNDS = 2
+ROUNDS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
 _SPACE = 32
@@ -137,18 +137,21 @@ def _grams(texts: pd.Series) -> pd.DataFrame:
 
 def fit(
     labelled: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, rounds: int = ROUNDS, text_col: str = "text",
-    lang_col: str = "lang",
+    lang_col: str = "lang", id_col: str = "doc_id",
 ) -> Model:
-    """Train on rows with a non-null language; the caller leaves out what must not be learnt from."""
+    """Train on rows with a non-null language; the caller leaves out what must not be learnt from.
+
+    Rows are picked by a hash of id, text and language: copies of a text are picked apart from each other.
+    """
     known = labelled.where(F.col(lang_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     total = known.count()
-    pick = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30))
+    pick = F.pmod(F.xxhash64("id", "text", "lang"), F.lit(1 << 30))
     share = min(1.0, sample / total) if total else 0.0
     picked = known.where(pick < int(share * (1 << 30))).withColumn("_g", _grams("text"))
     rows = materialize(picked.select(
-        "lang", pick.alias("pick"), F.pmod(F.hash("text"), F.lit(shards + 1)).alias("shard"),
+        "lang", pick.alias("pick"), F.pmod(F.hash("id", "text"), F.lit(shards + 1)).alias("shard"),
         F.col("_g.at").alias("at"), F.col("_g.n").alias("n"),
     ).where("at is not null"))
     classes = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
