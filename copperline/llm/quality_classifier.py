@@ -86,11 +86,19 @@ class Model:
             return 1 / (1 + np.exp(logs[0] - logs[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learn from ``docs`` joined with ``labels``; the caller leaves out what must not be learnt from."""
+def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``statistics`` in place of the text: what training and scoring read instead of it."""
+    kept = [c for c in docs.columns if c not in (text_col, "statistics")]
+    return docs.select(*kept, _statistics(F.col(text_col)).alias("statistics"))
+
+
+def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
+    """Learn from measured rows joined with ``labels``; the caller leaves out what must not be learnt from.
+
+    Only ids and statistics are shuffled to the labels, never texts.
+    """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    seen = texts.join(known, "_id").select("_label", _statistics("_text").alias("x"))
+    seen = measured.select(F.col(id_col).alias("_id"), F.col("statistics").alias("x")).join(known, "_id").select("_label", "x")
     d = len(FEATURES)
     columns = [F.get("x", F.lit(i)).alias(f"x{i}") for i in range(d)]
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(d)] + [
@@ -123,14 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(means, factors, offsets)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score and predicted; columns of these names are replaced."""
+def score(measured: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Measured rows with score and predicted; columns of these names are replaced."""
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        rows = [statistics(t if isinstance(t, str) else None) for t in texts]
-        return pd.Series(model.scores(np.array(rows).reshape(-1, len(FEATURES))))
+    def scored(rows: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array(rows.tolist(), dtype=float).reshape(-1, len(FEATURES))))
 
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    return docs.select(*kept, scored(F.col(text_col)).alias("score")).withColumn(
+    kept = [c for c in measured.columns if c not in ("score", "predicted")]
+    return measured.select(*kept, scored(F.col("statistics")).alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int")
     )

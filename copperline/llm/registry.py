@@ -9,6 +9,7 @@ from copperline.llm import (
     token_counts, url_filters,
 )
 from copperline.llm.text import held_out
+from copperline.session import materialize
 
 #: Curated rules of the URL query: host and path, verdict.
 CURATED = [
@@ -61,9 +62,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality_classifier.fit(docs.where(~held_out(F.col("doc_id"))), _table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    # texts are read once: training and scoring share one narrow table
+    rows = materialize(quality_classifier.measure(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    model = quality_classifier.fit(rows.where(~held_out(F.col("doc_id"))), _table(spark, sf_dir, "labels"))
+    return quality_classifier.score(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,14 +49,14 @@ def test_language_on_held_out_rows(spark):
 
 
 def test_quality_on_held_out_rows(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = quality_classifier.measure(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality_classifier.fit(docs.where(~held_out(F.col("doc_id"))), labels)
     judged = quality_classifier.score(docs, model).where(held_out(F.col("doc_id"))).join(labels, "doc_id")
     right = judged.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
     assert right >= 0.9
     none = quality_classifier.fit(docs, labels.limit(0))
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 100_000)], "doc_id long, text string")
+    odd = quality_classifier.measure(spark.createDataFrame([(1, None), (2, ""), (3, "x " * 100_000)], "doc_id long, text string"))
     assert {r["score"] for r in quality_classifier.score(odd, none).collect()} == {0.5}
     assert quality_classifier.score(odd, model).where("score between 0 and 1").count() == 3
 
