@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+BROADCAST_RULES = 100_000
+
 
 def file_lineage(usage: DataFrame, records: DataFrame, file_control: DataFrame) -> DataFrame:
     """File usage with the file and external name behind each row.
@@ -36,11 +38,14 @@ def first_rule(stmts: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame
 
     ``rules`` has verb, pattern, rule and priority: a rule matches when the verb is equal and its
     pattern, where given, is found in the text. Rules of a verb travel as one array, so no
-    statement row is multiplied or grouped.
+    statement row is multiplied or grouped. Up to ``BROADCAST_RULES`` rules are broadcast, so the texts
+    of a frequent verb are not shuffled into one task.
     """
     by_verb = rules.groupBy("verb").agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("priority")).alias("_rank"), "rule", "priority", "pattern"
     ))).alias("_rules"))
+    if rules.count() <= BROADCAST_RULES:
+        by_verb = F.broadcast(by_verb)
     joined = stmts.join(by_verb, "verb", "left")
     hit = F.try_element_at(
         F.filter("_rules", lambda r: r["pattern"].isNull() | F.regexp_like(F.col("text"), r["pattern"])), F.lit(1)

@@ -11,9 +11,11 @@ from copperline.operators import (
     calls, copybooks, data_items as di, entities, facts, graph, layout, lineage, paths, statements as stm, structure,
 )
 from copperline.operators.skew import spread
+from copperline.plans import ingest as plan
 from copperline.sources import files
-from copperline.session import scratch_dir
+from copperline.session import materialize, scratch_dir
 from copperline.sources.synthetic import corpus_from_parts
+from copperline.streaming import incremental
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,6 +42,16 @@ def _items(spark, sf):
     return di.data_items(_divisions(spark, sf))
 
 
+def _parsed(spark, sf):
+    """The divisions as a table, for queries that read them more than once."""
+    return materialize(_divisions(spark, sf))
+
+
+def _stored_items(spark, sf):
+    """The items as a table, for queries that join them with themselves."""
+    return materialize(_items(spark, sf))
+
+
 def part_edges(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus's CALL edges straight from the part keys."""
     k = F.col("p_partkey")
@@ -85,8 +97,8 @@ def entity_counts(spark, sf):
 
 
 def containment(spark, sf):
-    div = _divisions(spark, sf)
-    known = structure.programs(structure.units(corpus(spark, sf)))
+    div = _parsed(spark, sf)
+    known = div.select("path", F.col("program").alias("name")).distinct()
     return graph.containment(entities.extract_entities(div), known)
 
 
@@ -129,8 +141,7 @@ def layout_paths(spark, sf):
 
 
 def qualified_paths(spark, sf):
-    items = _items(spark, sf)
-    return layout.qualified_paths(items.where(F.col("section") == "WORKING-STORAGE")).select("program", "qualified_path")
+    return layout.qualified_paths(_stored_items(spark, sf)).select("program", "qualified_path")
 
 
 def layout_ddl(spark, sf):
@@ -162,12 +173,13 @@ def groups_with_children(spark, sf):
 
 
 def renames(spark, sf):
-    return layout.renames_alias(_items(spark, sf)).select("program", "name", "renames_from", "source_path")
+    return layout.renames_alias(_stored_items(spark, sf)).select("program", "name", "renames_from", "source_path")
 
 
 def references(spark, sf):
-    items = _items(spark, sf)
-    moved = facts.extract_moves(_statements(spark, sf, r"(?i)(^|\s)MOVE\s"))
+    div = _parsed(spark, sf)
+    items = materialize(di.data_items(div))
+    moved = facts.extract_moves(stm.statements(structure.sections(div), r"(?i)(^|\s)MOVE\s"))
     aliases = items.where(F.col("kind").isin("RENAME", "CONDITION")).select("path", "program", "name")
     refs = moved.select("path", "program", F.col("receiver").alias("name")).unionByName(aliases)
     found = layout.resolve_references(refs, items)
@@ -186,7 +198,7 @@ def initial_values(spark, sf):
 
 def condition_names(spark, sf):
     """Level 88 names against the initial values of their items."""
-    return layout.condition_names(_items(spark, sf)).select("program", "name", "holds")
+    return layout.condition_names(_stored_items(spark, sf)).select("program", "name", "holds")
 
 
 def condition_names_provided(spark, sf):
@@ -195,7 +207,7 @@ def condition_names_provided(spark, sf):
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("program"), F.lit("WS-FLAG").alias("name"),
         val.string_value(F.when(F.col("p_size") > 30, "Y").when(F.col("p_size") > 10, "y")).alias("value"),
     )
-    return layout.condition_names(_items(spark, sf), given).select("program", "name", "holds")
+    return layout.condition_names(_stored_items(spark, sf), given).select("program", "name", "holds")
 
 
 def file_usage(spark, sf):
@@ -208,15 +220,15 @@ def file_control(spark, sf):
 
 
 def control_flow(spark, sf):
-    div = _divisions(spark, sf)
+    div = _parsed(spark, sf)
     stmts = stm.statements(structure.sections(div), r"(?i)(^|\s)(PERFORM|GO)\s")
     flow = facts.extract_control_flow(stmts, facts.paragraph_order(div))
     return flow.select("program", "paragraph", "verb", "mode", "position", "target", "self_loop")
 
 
 def moves(spark, sf):
-    sec_items = _items(spark, sf)
-    moved = facts.extract_moves(_statements(spark, sf, r"(?i)(^|\s)MOVE\s"), sec_items)
+    div = _parsed(spark, sf)
+    moved = facts.extract_moves(stm.statements(structure.sections(div), r"(?i)(^|\s)MOVE\s"), di.data_items(div))
     return moved.select("program", "sending", "position", "receiver", "corresponding", "to_group")
 
 
@@ -225,10 +237,11 @@ def exec_sql(spark, sf):
 
 
 def file_lineage(spark, sf):
-    sec = _sections(spark, sf)
+    div = _parsed(spark, sf)
+    sec = structure.sections(div)
     usage = facts.extract_file_usage(stm.statements(sec, r"(?i)(^|\s)(OPEN|CLOSE|READ|WRITE|REWRITE)\s"))
     control = facts.extract_file_control(structure.sentences_of(sec))
-    return lineage.file_lineage(usage, di.file_records(_items(spark, sf)), control).select(
+    return lineage.file_lineage(usage, di.file_records(di.data_items(div)), control).select(
         "program", "verb", "mode", "file_name", "fd_name", "external_name"
     )
 
@@ -282,8 +295,8 @@ def _suppliers_as_copybooks(spark, sf):
         F.concat(F.lit("CB"), k).alias("name"), F.concat(F.lit("/copy/cb"), k, F.lit(".cpy")).alias("path"),
         F.concat(
             F.lit("000100 01  REC-"), k, F.lit(".\n000200     05 CODE-"), k, F.lit(" PIC 9(5)."),
-            # every fourth copybook names the next one, which names no other
-            F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("\n000300 COPY CB"), (F.col("s_suppkey") + 1).cast("string"), F.lit(".")))
+            # three of four copybooks name the next one: up to four are nested
+            F.when(F.col("s_suppkey") % 4 < 3, F.concat(F.lit("\n000300 COPY CB"), (F.col("s_suppkey") + 1).cast("string"), F.lit(".")))
             .otherwise(F.lit("")),
         ).alias("content"),
     )
@@ -292,8 +305,8 @@ def _suppliers_as_copybooks(spark, sf):
 def _customers_as_programs(spark, sf):
     c = F.col("c_custkey")
     k = c.cast("string")
-    # a third of all programs name one copybook, the others one each
-    book = F.when(c % 3 == 0, F.lit("0")).otherwise((c % 97).cast("string"))
+    # a third of all programs name one copybook, the others share all of them evenly
+    book = F.when(c % 3 == 0, F.lit("0")).otherwise(F.floor(c / 15).cast("string"))
     text = F.concat(
         F.lit("000100 IDENTIFICATION DIVISION.\n000200 PROGRAM-ID. C"), k,
         F.lit(".\n000300 DATA DIVISION.\n000400 WORKING-STORAGE SECTION.\n000500 COPY CB"), book,
@@ -369,12 +382,13 @@ def long_paths(spark, sf):
 
 
 def cycle_paths(spark, sf):
-    """Paths on a ring of seven programs, which end because no edge repeats."""
-    k = F.col("p_partkey") % 7
-    ring = parts(spark, sf).select(
-        F.concat(F.lit("R"), k.cast("string")).alias("source"), F.concat(F.lit("R"), ((k + 1) % 7).cast("string")).alias("target")
-    ).distinct()
-    return paths.reachable_paths(ring)
+    """Paths on rings of seven programs each, which end because no edge repeats."""
+    k = F.col("p_partkey")
+    following = F.when(k % 7 == 6, k - 6).otherwise(k + 1)
+    rings = parts(spark, sf).select(
+        F.concat(F.lit("R"), k.cast("string")).alias("source"), F.concat(F.lit("R"), following.cast("string")).alias("target")
+    )
+    return paths.reachable_paths(rings)
 
 
 def reachable(spark, sf):
@@ -383,7 +397,10 @@ def reachable(spark, sf):
 
 
 def param_query(spark, sf):
-    tables = {"calls": part_edges(spark, sf), "programs": _known_programs(spark, sf)}
+    name = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    path = F.concat(F.lit("/corpus/p"), F.col("p_partkey").cast("string"), F.lit(".cbl"))
+    programs = parts(spark, sf).select(name.alias("name"), path.alias("file_path"))
+    tables = {"calls": part_edges(spark, sf), "programs": programs}
     text = (
         "SELECT p.name, c.target FROM programs p JOIN calls c ON c.source = p.name "
         "WHERE p.file_path LIKE :pattern AND c.rel_type = :kind"
@@ -416,6 +433,38 @@ def stream_calls(spark, sf):
     return spark.read.parquet(f"{root}/edges").groupBy("source", "target", "rel_type").agg(F.count(F.lit(1)).alias("n")).drop("n")
 
 
+def _write_sources(spark, sf, root, formats):
+    """The corpus as source files of up to 200 programs each, one folder per line format."""
+    fmt = F.regexp_extract("file_name", r"(\d+)", 1).cast("long") % 3
+    rows = corpus(spark, sf).select(fmt.alias("fmt"), "content").where(F.col("fmt").isin(formats))
+    rows.write.mode("append").option("maxRecordsPerFile", 200).partitionBy("fmt").text(f"{root}/sources")
+
+
+def _ingested(spark, sf):
+    root = f"{scratch_dir(spark)}/copperline-job-{uuid.uuid4().hex}"
+    _write_sources(spark, sf, root, [0, 1, 2])
+    return plan.ingest(spark, f"{root}/sources", f"{root}/tables", exts=("txt",))
+
+
+def ingest_calls(spark, sf):
+    """CALL edges after the whole job: files scanned, decoded, parsed, upserted, written, read back."""
+    return _ingested(spark, sf)["calls"].select("source", "target", "rel_type")
+
+
+def ingest_entities(spark, sf):
+    """Entities after the whole job."""
+    return _ingested(spark, sf)["entities"].select("id", "program", "name", "type", "section", "description")
+
+
+def incremental_calls(spark, sf):
+    """CALL edges after two runs of the incremental job, with new files in between."""
+    root = f"{scratch_dir(spark)}/copperline-job-{uuid.uuid4().hex}"
+    for formats in ([0, 1], [2]):
+        _write_sources(spark, sf, root, formats)
+        incremental.incremental_ingest(spark, f"{root}/sources", f"{root}/tables", f"{root}/state", exts=("txt",))
+    return incremental.current_tables(spark, f"{root}/tables", 2)["calls"].select("source", "target", "rel_type")
+
+
 QUERIES = {f.__name__: f for f in (
     call_edges_all, call_edges_flat, call_statements, programs, entity_rows, entity_rows_flat, entity_counts, containment,
     statement_census, statement_census_flat, statement_nesting, statement_scopes, sentence_kinds, section_headers,
@@ -424,5 +473,5 @@ QUERIES = {f.__name__: f for f in (
     file_usage, file_control, control_flow, moves, exec_sql, file_lineage, uncovered_verbs, rule_choice, line_format,
     copybook_flag, rejects, code_lines, copybook_expansion, copy_edges, edge_build, program_stubs, callees,
     relationship_counts, ordered_programs, first_edge, call_paths, long_paths, cycle_paths, reachable, param_query, doc_meta,
-    stream_calls,
+    stream_calls, ingest_calls, ingest_entities, incremental_calls,
 )}

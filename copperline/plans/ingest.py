@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from copperline.operators import calls, copybooks, entities, graph, structure
@@ -17,7 +19,8 @@ def graph_tables(
 
     The code is parsed once, into a table of divisions that all outputs read.
     """
-    stamp = F.current_timestamp() if as_of is None else as_of
+    # one literal: all tables of a run carry the same stamp, however often a plan runs
+    stamp = F.lit(datetime.now(timezone.utc)) if as_of is None else as_of
     divisions = materialize(structure.divisions(structure.units(sources, fmt)))
     named = divisions.select("path", F.col("program").alias("name")).distinct()
     programs = graph.upsert_programs(named, stamp)
@@ -42,17 +45,21 @@ def with_main_program(sources: DataFrame, fmt: str | None = None) -> DataFrame:
 
 def ingest(
     spark: SparkSession, directory: str, out_dir: str, copybook_files: list[str] | None = None,
-    fmt: str | None = None, scope: str = "all",
+    fmt: str | None = None, scope: str = "all", exts: tuple[str, ...] = files.EXTENSIONS,
 ) -> dict[str, DataFrame]:
-    """Scan a directory and write graph tables, vectors and rejects below ``out_dir``."""
-    raw = files.scan_sources(spark, directory)
-    decoded, undecodable = files.decode_sources(raw)
-    usable, unparsable = files.split_rejects(decoded, fmt)
+    """Scan a directory and write graph tables, vectors and rejects below ``out_dir``.
+
+    Rejects name the sources and copybooks left out: not decodable, or without a program and data items.
+    """
+    decoded, rejects = files.decode_sources(files.scan_sources(spark, directory, exts))
+    usable, unparsable = files.split_marked(materialize(files.mark_usable(decoded, fmt)), decoded.columns)
+    rejects = rejects.unionByName(unparsable)
     expanded = usable
     if copybook_files:
+        rejects = rejects.unionByName(files.copybook_rejects(spark, copybook_files))
         expanded = copybooks.expand_copybooks(usable, files.scan_copybooks(spark, copybook_files))
     tables = graph_tables(expanded, fmt, scope)
     graph.write_graph(tables, out_dir)
     ask.doc_vectors(with_main_program(usable, fmt)).write.parquet(f"{out_dir}/vectors")
-    undecodable.unionByName(unparsable).write.parquet(f"{out_dir}/rejects")
+    rejects.write.parquet(f"{out_dir}/rejects")
     return graph.read_graph(spark, out_dir, ["programs", "entities", "contains", "calls", "vectors", "rejects"])

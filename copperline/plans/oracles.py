@@ -221,7 +221,7 @@ SQL: dict[str, str] = {
         CASE WHEN name = 'WS-TAB' THEN s % 4 + 2 ELSE 1 END AS max_occurs,
         CASE name WHEN 'WS-QTY' THEN CAST(k % 10 AS VARCHAR) WHEN 'WS-NAME' THEN 'Part no. ' || k WHEN 'FILLER' THEN ' ' WHEN 'WS-FLAG' THEN 'N' WHEN 'WS-ON' THEN 'Y' END AS default_text
       FROM l""",
-    "qualified_paths": f"WITH {_ITEMS} SELECT p AS program, q AS qualified_path FROM items WHERE sec = 'WORKING-STORAGE'",
+    "qualified_paths": f"WITH {_ITEMS} SELECT p AS program, q AS qualified_path FROM items",
     "layout_ddl": f"""WITH {_P} SELECT p AS program, 'ws_qty' AS name, {_DDL_DIGITS} AS ddl FROM corpus
       UNION ALL SELECT p, 'ws_name', 'STRING' FROM corpus
       UNION ALL SELECT p, 'ws_group', 'STRUCT<`ws_price`: DECIMAL(7,2), `ws_tab`: ARRAY<STRUCT<`ws_cell`: DECIMAL(3,0), `filler0`: STRING>>, `ws_flag`: STRING>' FROM corpus
@@ -275,13 +275,14 @@ SQL: dict[str, str] = {
       SELECT f AS file_name, false AS is_copybook FROM corpus
       UNION ALL SELECT CAST(o.doc_id AS VARCHAR), d.doc_id IS NULL FROM documents o LEFT JOIN d USING (doc_id)""",
     "rejects": "SELECT CAST(doc_id AS VARCHAR) AS path, 'no program and no data items' AS reason FROM documents",
-    "copybook_expansion": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 97 END AS b FROM customer),
+    "copybook_expansion": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey // 15 END AS b FROM customer),
       known AS (SELECT s_suppkey AS b FROM supplier),
-      books AS (SELECT b, b AS src FROM known UNION ALL SELECT b, b + 1 FROM known WHERE b % 4 = 0 AND b + 1 IN (SELECT b FROM known))
+      books AS (SELECT x.b, y.b AS src FROM known x JOIN known y ON y.b // 4 = x.b // 4 AND y.b >= x.b
+                WHERE (SELECT count(*) FROM known z WHERE z.b BETWEEN x.b AND y.b) = y.b - x.b + 1)
       SELECT 'C' || k AS program, 1 AS level, 'REC-' || src AS name, CAST(NULL AS VARCHAR) AS pic FROM c JOIN books USING (b)
       UNION ALL SELECT 'C' || k, 5, 'CODE-' || src, '9(5)' FROM c JOIN books USING (b)
       UNION ALL SELECT 'C' || k, 1, 'LAST-ITEM', 'X' FROM c""",
-    "copy_edges": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 97 END AS b FROM customer)
+    "copy_edges": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey // 15 END AS b FROM customer)
       SELECT 'C' || k AS source, 'CB' || b AS target, 'COPIES' AS rel_type FROM c UNION ALL SELECT 'C' || k, 'UNKNOWN-BOOK', 'COPIES' FROM c""",
     "edge_build": f"WITH {_EDGES} SELECT edges.* FROM edges JOIN corpus ON p = source WHERE s >= 20",
     "program_stubs": f"""WITH {_EDGES}, known AS (SELECT p AS name, '/corpus/' || f AS file_path FROM corpus WHERE s >= 20)
@@ -297,15 +298,18 @@ SQL: dict[str, str] = {
       SELECT 'P' || a.k AS source, 'P' || (b.k + 1) AS target, CAST(b.k - a.k + 1 AS INT) AS length
       FROM e a JOIN e b ON b.k // 16 = a.k // 16 AND b.k >= a.k
       WHERE (SELECT count(*) FROM e c WHERE c.k // 16 = a.k // 16 AND c.k BETWEEN a.k AND b.k) = b.k - a.k + 1""",
-    "cycle_paths": """WITH RECURSIVE ring AS (SELECT DISTINCT p_partkey % 7 AS a, (p_partkey + 1) % 7 AS b FROM part),
+    "cycle_paths": """WITH RECURSIVE ring AS (SELECT DISTINCT p_partkey AS a, CASE WHEN p_partkey % 7 = 6 THEN p_partkey - 6 ELSE p_partkey + 1 END AS b FROM part),
       walk(s, t, n, used) AS (SELECT a, b, 1, [a] FROM ring UNION ALL SELECT s, b, n + 1, list_append(used, a) FROM walk JOIN ring ON a = t WHERE NOT list_contains(used, a))
       SELECT 'R' || s AS source, 'R' || t AS target, n AS length FROM walk""",
     "reachable": f"""WITH RECURSIVE {_EDGES}, walk(s, t, n) AS (SELECT source, target, 1 FROM edges
       UNION SELECT s, target, n + 1 FROM walk JOIN edges ON source = t WHERE t <> 'P0')
       SELECT s AS source, t AS target, min(n) AS length FROM walk GROUP BY s, t""",
-    "param_query": f"""WITH {_EDGES} SELECT source AS name, target FROM edges JOIN corpus ON p = source WHERE s >= 20 AND f LIKE '%1.cbl'""",
+    "param_query": f"""WITH {_EDGES} SELECT source AS name, target FROM edges JOIN corpus ON p = source WHERE f LIKE '%1.cbl'""",
     "doc_meta": f"WITH {_P} SELECT p || '_' || f AS id, p AS program, '/corpus/' || f AS file_path, f AS file_name, 'COBOL' AS language, f AS source FROM corpus",
+    "ingest_entities": f"WITH {_entities(False)} SELECT p || ':' || name AS id, p AS program, name, type, section, description FROM ents",
     "stream_calls": f"WITH {_EDGES} SELECT * FROM edges",
+    "ingest_calls": f"WITH {_EDGES} SELECT * FROM edges",
+    "incremental_calls": f"WITH {_EDGES} SELECT * FROM edges",
     "program_upsert": """SELECT 'U' || user_id AS name, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",
     "entity_upsert": """SELECT 'U' || user_id || ':' || event_type AS id, 'U' || user_id AS program, event_type AS name, CAST(event_id AS VARCHAR) AS description
       FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",

@@ -18,14 +18,19 @@ def _named(df: DataFrame) -> DataFrame:
     return df.select("path", F.regexp_extract("path", r"([^/\\]+)$", 1).alias("file_name"), "content")
 
 
+def any_case_glob(exts: tuple[str, ...]) -> str:
+    """A file name pattern for the extensions in any case, so that other files are not even opened."""
+    each = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in exts]
+    return f"*.{{{','.join(each)}}}"
+
+
 def scan_sources(spark: SparkSession, directory: str, exts: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """All source files below a directory, as raw bytes. Extensions match in any case."""
     fs, path = _hadoop_path(spark, directory)
     if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise ValueError(f"Path must be a directory: {directory}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
-    pattern = rf"\.({'|'.join(exts)})$"
-    return _named(files.where(F.lower("path").rlike(pattern)))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", any_case_glob(exts))
+    return _named(files.load(directory))
 
 
 def decode_sources(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,29 +50,43 @@ def scan_copybooks(spark: SparkSession, files: list[str]) -> DataFrame:
     return read.where(F.is_valid_utf8(text)).select(F.upper(stem).alias("name"), "path", text.alias("content"))
 
 
+def copybook_rejects(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The given copybook files that ``scan_copybooks`` leaves out, with a reason."""
+    _, rejects = decode_sources(spark.read.format("binaryFile").load(files))
+    return rejects
+
+
 def sources_from_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A table of named code texts in the shape of a source scan."""
     name = F.col(id_col).cast("string")
     return df.select(name.alias("path"), name.alias("file_name"), F.col(text_col).alias("content"))
 
 
-def split_rejects(sources: DataFrame, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sources, rejects): texts with a program or data items, and the rest with a reason."""
+def mark_usable(sources: DataFrame, fmt: str | None = None) -> DataFrame:
+    """``_source`` (the row) and ``_ok``: whether the text has a program or data items."""
     usable = F.exists("sents", lambda s: s.rlike(structure.PROGRAM_ID) | (
         s.rlike(structure.ITEM) & s.rlike(r"^((0?1|77)\s+\S|\d+(\s+\S+)+\s+\S)")
     ))
     kept = F.struct(*sources.columns)
-    marked = structure.with_sentences(sources.withColumn("_source", kept), fmt).select(
+    return structure.with_sentences(sources.withColumn("_source", kept), fmt).select(
         "_source", F.coalesce(usable, F.lit(False)).alias("_ok")
     )
 
+
+def split_rejects(sources: DataFrame, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sources, rejects): texts with a program or data items, and the rest with a reason."""
+    return split_marked(mark_usable(sources, fmt), sources.columns)
+
+
+def split_marked(marked: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(sources, rejects) of marked rows; a job that reads both keeps the marks as a table first."""
     def side(ok: Column) -> DataFrame:
         # rows are chosen by a generator: a filter would be pushed down into the text steps and
         # repeat each of them as often as its result is used
         return marked.select(F.inline_outer(F.when(ok, F.array("_source")))).where(F.col("path").isNotNull())
 
     rejected = side(~F.col("_ok")).select("path", F.lit("no program and no data items").alias("reason"))
-    return side(F.col("_ok")).select(*sources.columns), rejected
+    return side(F.col("_ok")).select(*columns), rejected
 
 
 def lines(sources: DataFrame, fmt: str | None = None) -> DataFrame:

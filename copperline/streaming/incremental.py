@@ -1,11 +1,12 @@
-"""Incremental ingest: new files only, into the same tables as a full run."""
+"""Incremental ingest: new files only, into the same tables as a full run, vectors and rejects included."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from copperline.operators import graph
-from copperline.plans import ingest as plan
+from copperline.plans import ask, ingest as plan
+from copperline.session import materialize
 from copperline.sources import files
 
 _ORDER = {
@@ -14,6 +15,8 @@ _ORDER = {
     "contains": (["program", "entity_id"], ["program"]),
     "calls": (["source", "target", "rel_type"], ["last_updated"]),
 }
+#: Tables without a stamp: new rows replace stored ones of the same key.
+_REPLACED = {"vectors": "id", "rejects": "path"}
 # Fixed value: the schema of Spark's binary file source.
 _BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
@@ -22,8 +25,10 @@ def _version_dir(out_dir: str, version: int) -> str:
     return f"{out_dir}/v{version:08d}"
 
 
-def merge_batch(spark: SparkSession, sources: DataFrame, out_dir: str, batch_id: int, fmt: str | None = None) -> None:
-    """Merge one batch of sources into a new version of the tables.
+def merge_batch(
+    spark: SparkSession, sources: DataFrame, out_dir: str, batch_id: int, fmt: str | None = None, rejects: DataFrame | None = None
+) -> None:
+    """Merge one batch of sources, and of ``rejects`` (path, reason), into a new version of the tables.
 
     A batch writes ``v<batch + 1>`` from ``v<batch>``, so a retried batch rewrites its own
     version from the same input and nothing is read and overwritten at the same time.
@@ -39,21 +44,31 @@ def merge_batch(spark: SparkSession, sources: DataFrame, out_dir: str, batch_id:
             # a stub never replaces a program: it has no stamp, and nulls order first
             merged = graph.merge_tables(stored, fresh, keys, order)
         merged.write.mode("overwrite").parquet(f"{target}/{name}")
+    if rejects is None:
+        rejects = spark.createDataFrame([], "path string, reason string")
+    for name, fresh in (("vectors", ask.doc_vectors(plan.with_main_program(sources, fmt))), ("rejects", rejects)):
+        merged, key = fresh, _REPLACED[name]
+        if batch_id > 0:
+            stored = spark.read.parquet(f"{previous}/{name}")
+            merged = stored.join(fresh.select(key), key, "left_anti").select(*fresh.columns).unionByName(fresh)
+        merged.write.mode("overwrite").parquet(f"{target}/{name}")
 
 
-def incremental_ingest(spark: SparkSession, directory: str, out_dir: str, checkpoint: str, fmt: str | None = None) -> None:
+def incremental_ingest(
+    spark: SparkSession, directory: str, out_dir: str, checkpoint: str, fmt: str | None = None,
+    exts: tuple[str, ...] = files.EXTENSIONS,
+) -> None:
     """Take in the files that arrived since the last run, then stop."""
-    pattern = rf"\.({'|'.join(files.EXTENSIONS)})$"
     stream = (
-        spark.readStream.format("binaryFile").schema(_BINARY_FILE).option("recursiveFileLookup", True).load(directory)
-        .where(F.lower("path").rlike(pattern))
+        spark.readStream.format("binaryFile").schema(_BINARY_FILE).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", files.any_case_glob(exts)).load(directory)
     )
 
     def take(batch: DataFrame, batch_id: int) -> None:
         named = batch.select("path", F.regexp_extract("path", r"([^/\\]+)$", 1).alias("file_name"), "content")
-        decoded, _ = files.decode_sources(named)
-        sources, _ = files.split_rejects(decoded, fmt)
-        merge_batch(batch.sparkSession, sources, out_dir, batch_id, fmt)
+        decoded, undecodable = files.decode_sources(named)
+        sources, unparsable = files.split_marked(materialize(files.mark_usable(decoded, fmt)), decoded.columns)
+        merge_batch(batch.sparkSession, sources, out_dir, batch_id, fmt, undecodable.unionByName(unparsable))
 
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -61,4 +76,4 @@ def incremental_ingest(spark: SparkSession, directory: str, out_dir: str, checkp
 
 def current_tables(spark: SparkSession, out_dir: str, version: int) -> dict[str, DataFrame]:
     """The tables as of a version: the number of batches taken in."""
-    return {n: spark.read.parquet(f"{_version_dir(out_dir, version)}/{n}") for n in _ORDER}
+    return {n: spark.read.parquet(f"{_version_dir(out_dir, version)}/{n}") for n in [*_ORDER, *_REPLACED]}
