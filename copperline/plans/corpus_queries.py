@@ -12,7 +12,7 @@ from copperline.operators import (
 )
 from copperline.operators.skew import spread
 from copperline.plans import ingest as plan
-from copperline.sources import files
+from copperline.sources import collections, files
 from copperline.session import materialize, scratch_dir
 from copperline.sources.synthetic import corpus_from_parts
 from copperline.streaming import incremental
@@ -465,6 +465,25 @@ def incremental_calls(spark, sf):
     return incremental.current_tables(spark, f"{root}/tables", 2)["calls"].select("source", "target", "rel_type")
 
 
+def collection_upsert(spark, sf):
+    """A collection after a first load and a second one with new texts for half of its ids."""
+    name = f"c{uuid.uuid4().hex}"
+    first = parts(spark, sf).select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("document"),
+        F.create_map(F.lit("load"), F.lit("1")).alias("metadata"), "p_size",
+    )
+    again = first.where(F.col("p_size") % 2 == 0).select(
+        "id", F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("document"),
+        F.create_map(F.lit("load"), F.lit("2")).alias("metadata"),
+    )
+    collections.create_collection(spark, name)
+    collections.add_embeddings(spark, name, first.drop("p_size"))
+    collections.add_embeddings(spark, name, again)
+    rows = materialize(collections.stored(spark, name).select("id", "document", F.col("metadata")["load"].alias("load")))
+    collections.drop_collection(spark, name)
+    return rows
+
+
 QUERIES = {f.__name__: f for f in (
     call_edges_all, call_edges_flat, call_statements, programs, entity_rows, entity_rows_flat, entity_counts, containment,
     statement_census, statement_census_flat, statement_nesting, statement_scopes, sentence_kinds, section_headers,
@@ -473,5 +492,5 @@ QUERIES = {f.__name__: f for f in (
     file_usage, file_control, control_flow, moves, exec_sql, file_lineage, uncovered_verbs, rule_choice, line_format,
     copybook_flag, rejects, code_lines, copybook_expansion, copy_edges, edge_build, program_stubs, callees,
     relationship_counts, ordered_programs, first_edge, call_paths, long_paths, cycle_paths, reachable, param_query, doc_meta,
-    stream_calls, ingest_calls, ingest_entities, incremental_calls,
+    stream_calls, ingest_calls, ingest_entities, incremental_calls, collection_upsert,
 )}

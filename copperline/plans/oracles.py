@@ -308,6 +308,8 @@ SQL: dict[str, str] = {
     "doc_meta": f"WITH {_P} SELECT p || '_' || f AS id, p AS program, '/corpus/' || f AS file_path, f AS file_name, 'COBOL' AS language, f AS source FROM corpus",
     "ingest_entities": f"WITH {_entities(False)} SELECT p || ':' || name AS id, p AS program, name, type, section, description FROM ents",
     "stream_calls": f"WITH {_EDGES} SELECT * FROM edges",
+    "collection_upsert": """SELECT 'P' || p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'size ' || p_size ELSE p_brand END AS document,
+      CASE WHEN p_size % 2 = 0 THEN '2' ELSE '1' END AS load FROM part""",
     "ingest_calls": f"WITH {_EDGES} SELECT * FROM edges",
     "incremental_calls": f"WITH {_EDGES} SELECT * FROM edges",
     "program_upsert": """SELECT 'U' || user_id AS name, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",

@@ -52,8 +52,13 @@ def add_embeddings(spark: SparkSession, name: str, docs: DataFrame, fn=None, ord
         meta.alias("metadata"),
     )
     # the new state is a table of its own before the old one is replaced
-    stored = spark.table(_table(name)).join(unique.select("id"), "id", "left_anti").select(*out.columns)
-    materialize(stored.unionByName(out)).write.mode("overwrite").insertInto(_table(name))
+    others = stored(spark, name).join(unique.select("id"), "id", "left_anti").select(*out.columns)
+    materialize(others.unionByName(out)).write.mode("overwrite").insertInto(_table(name))
+
+
+def stored(spark: SparkSession, name: str) -> DataFrame:
+    """All rows of a collection."""
+    return spark.table(_table(name))
 
 
 def query_embeddings(spark: SparkSession, name: str, text: str, n: int, fn=None) -> DataFrame:
@@ -61,4 +66,4 @@ def query_embeddings(spark: SparkSession, name: str, text: str, n: int, fn=None)
     import pandas as pd
 
     query = vec.embed_question(text) if fn is None else list(fn(pd.Series([text])).iloc[0])
-    return topk.vector_topk(spark.table(_table(name)), query, n, id_col="id")
+    return topk.vector_topk(stored(spark, name), query, n, id_col="id")

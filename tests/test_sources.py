@@ -41,6 +41,10 @@ def test_rejects(spark, tmp_path):
 def test_copybook_scan_and_tables(spark, tmp_path):
     put(tmp_path, "cust.cpy", fixed("01 X PIC 9."))
     assert files.scan_copybooks(spark, [str(tmp_path / "cust.cpy")]).first()["name"] == "CUST"
+    put(tmp_path, "bad.cpy", b"\xff\xfe\xc3")
+    both = [str(tmp_path / n) for n in ("cust.cpy", "bad.cpy")]
+    assert [r["name"] for r in files.scan_copybooks(spark, both).collect()] == ["CUST"]
+    assert [os.path.basename(r["path"]) for r in files.copybook_rejects(spark, both).collect()] == ["bad.cpy"]
     df = spark.createDataFrame([("u1", "text")], "unit string, code string")
     assert tuple(files.sources_from_table(df, "unit", "code").first()) == ("u1", "u1", "text")
 
@@ -91,14 +95,20 @@ def test_collection(spark, tmp_path):
 def test_incremental_equals_full_run(spark, tmp_path):
     src, out, state = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "state")
     put(src, "m.cbl", P.CALLS)
+    put(src, "bytes.COB", b"\xff\xfe\x00bad\xc3")
+    put(src, "notes.txt", P.PROSE)
     incremental.incremental_ingest(spark, str(src), out, state, "FIXED")
     put(src, "n.cbl", P.NESTED)
+    put(src, "x.cbl", P.PROSE)
     put(src, "h.cbl", P.program("HELPER-A", procedure=["    CALL 'MASTER'.", "    GOBACK."]))
     incremental.incremental_ingest(spark, str(src), out, state, "FIXED")
     incremental.incremental_ingest(spark, str(src), out, state, "FIXED")
     parts = incremental.current_tables(spark, out, 2)
-    decoded, _ = files.decode_sources(files.scan_sources(spark, str(src)))
-    full = ingest.graph_tables(decoded, "FIXED")
+    full = ingest.ingest(spark, str(src), str(tmp_path / "full"), fmt="FIXED")
+    names = lambda df: sorted(os.path.basename(r["path"]) for r in df.collect())
+    assert names(parts["rejects"]) == names(full["rejects"]) == ["bytes.COB", "x.cbl"]
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(parts["vectors"]) == ids(full["vectors"]) and len(ids(parts["vectors"])) == 3
     for name, key in (("programs", "name"), ("entities", "id"), ("contains", "entity_id")):
         cols = [c for c in full[name].columns if c != "last_updated"]
         assert sorted(map(str, parts[name].select(cols).collect())) == sorted(map(str, full[name].select(cols).collect())), name
