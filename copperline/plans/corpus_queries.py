@@ -364,12 +364,8 @@ def first_edge(spark, sf):
 
 
 def call_paths(spark, sf):
-    """All paths along the halving edges, counted per program and length."""
-    halves = part_edges(spark, sf).where((F.col("source") != "P0") & (F.col("target") == F.concat(
-        F.lit("P"), F.floor(F.substring("source", 2, 18).cast("long") / 2).cast("string")
-    )))
-    found = paths.reachable_paths(halves)
-    return found.select("source", "target", "length")
+    """All paths along all CALL edges, one row each."""
+    return paths.reachable_paths(part_edges(spark, sf))
 
 
 def long_paths(spark, sf):

@@ -291,8 +291,11 @@ SQL: dict[str, str] = {
     "relationship_counts": f"WITH {_EDGES} SELECT source, count(*) AS n_relationships FROM edges GROUP BY source",
     "ordered_programs": f"WITH {_P} SELECT p AS name FROM corpus ORDER BY p",
     "first_edge": f"WITH {_EDGES} SELECT source, target, rel_type FROM edges WHERE source = 'P6' ORDER BY target LIMIT 1",
-    "call_paths": """WITH RECURSIVE walk(s, t, n) AS (SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_partkey > 0
-      UNION ALL SELECT s, t // 2, n + 1 FROM walk WHERE t > 0)
+    "call_paths": """WITH RECURSIVE e AS (SELECT p_partkey AS s, p_partkey // 2 AS t FROM part WHERE p_partkey > 0
+        UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 3 = 0),
+      -- P0 calling itself is the only circle
+      walk(s, t, n, looped) AS (SELECT s, t, 1, s = t FROM e UNION ALL SELECT walk.s, e.t, n + 1, looped OR e.s = e.t
+        FROM walk JOIN e ON e.s = walk.t WHERE NOT (looped AND e.s = e.t))
       SELECT 'P' || s AS source, 'P' || t AS target, n AS length FROM walk""",
     "long_paths": """WITH e AS (SELECT DISTINCT p_partkey AS k FROM part WHERE (p_partkey + 1) % 16 <> 0)
       SELECT 'P' || a.k AS source, 'P' || (b.k + 1) AS target, CAST(b.k - a.k + 1 AS INT) AS length
