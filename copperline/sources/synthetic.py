@@ -84,3 +84,58 @@ def corpus_from_parts(parts: DataFrame) -> DataFrame:
         F.concat(F.lit("/corpus/"), name).alias("path"), name.alias("file_name"),
         F.array_join(shaped, "\n").alias("content"),
     )
+
+
+def forms_from_parts(parts: DataFrame) -> DataFrame:
+    """A second program per part, of the forms that the first corpus lacks: path, file_name, content.
+
+    All storage sections, levels 77 and 88 with ranges, REDEFINES, all identification facts, the decimal
+    comma, statements outside of paragraphs, EVALUATE, dynamic calls, all modes of OPEN and PERFORM,
+    jumps by number, CORRESPONDING, qualified names and a continued literal.
+    """
+    k = F.col("p_partkey")
+    ks = k.cast("string")
+    size = F.col("p_size").cast("string")
+
+    def line(*text: Column | str) -> Column:
+        return F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text])
+
+    # the first character of a line is its indicator
+    body = F.array(
+        line(" IDENTIFICATION DIVISION."), line(" PROGRAM-ID. W", ks, "."), line(" AUTHOR. ", F.col("p_brand"), "."),
+        line(" INSTALLATION. Plant ", size, "."), line(" DATE-WRITTEN. 2001-01-", (k % 28 + 1).cast("string"), "."),
+        line(" DATE-COMPILED. Day ", (k % 365).cast("string"), "."), line(" SECURITY. Level ", (k % 4).cast("string"), "."),
+        line(" REMARKS. Part ", ks, " of all forms."),
+        line(" ENVIRONMENT DIVISION."), line(" CONFIGURATION SECTION."), line(" SOURCE-COMPUTER. BOX-", size, "."),
+        F.when(k % 3 == 0, line(" SPECIAL-NAMES. DECIMAL-POINT IS COMMA.")),
+        line(" INPUT-OUTPUT SECTION."), line(" FILE-CONTROL."), line("     SELECT F", ks, " ASSIGN TO 'f", ks, ".dat'."),
+        line(" DATA DIVISION."), line(" FILE SECTION."), line(" FD  F", ks, "."), line(" 01  R", ks, "."),
+        line("     05 R-KEY PIC 9(4)."),
+        line(" WORKING-STORAGE SECTION."), line(" 77  WS-COUNT PIC 9(3) VALUE ", (k % 50).cast("string"), "."),
+        line("     88 WS-LOW VALUE 0 THRU 9."), line("     88 WS-MID VALUES 7 12 THRU 29."),
+        line(" 01  WS-NUM PIC 9(6)."), line(" 01  WS-TEXT REDEFINES WS-NUM PIC X(6)."),
+        line(" 01  WS-PROG PIC X(8) VALUE 'W", F.floor(k / 2).cast("string"), "'."),
+        line(" 01  WS-FROM."), line("     05 WS-A PIC X."), line(" 01  WS-TO."), line("     05 WS-A PIC X."),
+        line(" LOCAL-STORAGE SECTION."), line(" 01  LS-WORK PIC 9(5)."),
+        line(" LINKAGE SECTION."), line(" 01  LK-AREA PIC X(", size, ")."),
+        line(" PROCEDURE DIVISION."), line(" FIRST-PART SECTION."),
+        line("     OPEN I-O F", ks, "."), line("     MOVE CORRESPONDING WS-FROM TO WS-TO."),
+        line(" STEP-A."), line("     READ F", ks, " INTO LK-AREA."),
+        line("     EVALUATE WS-COUNT"), line("        WHEN 1 CALL WS-PROG"), line("        WHEN OTHER DISPLAY 'none'"),
+        line("     END-EVALUATE."),
+        line("     PERFORM STEP-B 3 TIMES."), line("     PERFORM STEP-B UNTIL WS-COUNT > 5."),
+        line("     PERFORM STEP-B VARYING WS-NUM FROM 1 BY 1 UNTIL WS-NUM > 9."),
+        line("     PERFORM STEP-B WITH TEST AFTER UNTIL WS-COUNT > 5."),
+        line("     PERFORM FIRST-PART THRU LAST-PART."),
+        line("     GO TO STEP-A STEP-B DEPENDING ON WS-COUNT."),
+        line(" STEP-B."), line("     MOVE WS-A OF WS-FROM TO WS-A OF WS-TO."),
+        line("     MOVE 'abc"), line("-    'def' TO WS-TEXT."),
+        line("     REWRITE R", ks, "."), line("     CALL 'W", F.floor(k / 3).cast("string"), "'."), line("     CLOSE F", ks, "."),
+        line(" LAST-PART SECTION."), line("     OPEN EXTEND F", ks, "."), line("     DISPLAY 'end'."),
+        line(" STEP-C."), line("     STOP RUN."),
+    )
+    numbered = F.transform(F.array_compact(body), lambda x, i: F.concat(F.lpad((i * 10 + 10).cast("string"), 6, "0"), x))
+    name = F.concat(F.lit("w"), ks, F.lit(".cbl"))
+    return parts.select(
+        F.concat(F.lit("/forms/"), name).alias("path"), name.alias("file_name"), F.array_join(numbered, "\n").alias("content")
+    )
