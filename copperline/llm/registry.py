@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from copperline.llm import (
-    chat_format, decontamination, hard_negatives, html_extraction, language_id, mixing, quality_classifier, quality_rules, secret_scan,
+    chat_format, conversation_repair, decontamination, hard_negatives, html_extraction, language_id, mixing, quality_classifier, quality_rules, secret_scan,
     simhash, token_counts, url_filters,
 )
 from copperline.llm.text import held_out
@@ -111,6 +111,34 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(formatted, ["turn", "role", "text"])
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations as the query damages them, each row by a hash of its place."""
+    place = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    rows = conversations.select("conv_id", "turn", "role", "text", (F.crc32(F.concat_ws(":", *place)) % 20).alias("damage"))
+    hurt = F.col("damage")
+    rows = rows.where(hurt != 0)
+    text = F.when(hurt == 1, "").when(hurt == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(hurt == 4, "user").otherwise(F.col("role"))
+    times = F.when(hurt == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times)).drop("col")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    repaired = conversation_repair.repair(damaged(turns))
+    reports = repaired.reports.withColumnRenamed("conv_id", "r_id")
+    hashes = conversation_repair.digests(repaired.rows).withColumnRenamed("conv_id", "h_id")
+    every = turns.select("conv_id").distinct()
+    known = every.join(reports, F.col("conv_id").eqNullSafe(F.col("r_id")), "left").join(
+        hashes, F.col("conv_id").eqNullSafe(F.col("h_id")), "left"
+    )
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return known.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -141,6 +169,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_secret_scan": op12_secret_scan,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -148,6 +177,56 @@ QUERIES = {
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+# CRC-32 of a short ASCII string, bit by bit; DuckDB has no function for it
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295)"""
+# how a stack is written: cost, audit, text so far; the roles that an inserted or reroled turn gets on each top
+_STACK = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+_TOPS = {"e": ("u", "user"), "s": ("u", "user"), "u": ("p", "assistant"), "p": ("u", "user")}
+
+
+def _turn(stack: str, cost: str, letter: str, line: str | None) -> str:
+    text = f"{stack}.t" if line is None else f"{stack}.t || CASE WHEN {stack}.t = '' THEN '' ELSE chr(10) END || {line}"
+    return f"CASE WHEN {stack} IS NOT NULL THEN CAST({{'c': {stack}.c + {cost}, 'a': {stack}.a || '{letter}', 't': {text}}} AS {_STACK}) END"
+
+
+def _least(*stacks: str) -> str:
+    return f"list_sort(list_filter([{', '.join(stacks)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _parse_sql() -> str:
+    """One step of the parse as SQL: inserts into a stack, then the row's own edit, each top kept at its least."""
+    def inserted(before: str, after: str) -> str:
+        columns = []
+        for top in _TOPS:
+            coming = [_turn(f"{before}{below}", "5", "I", f"'{role}:'") for below, (to, role) in _TOPS.items() if to == top]
+            columns.append(f"{_least(f'{before}{top}', *coming)} AS {after}{top}")
+        return ", ".join(columns)
+
+    free = "NOT coalesce(fault IN ('blank', 'duplicate'), false)"
+    extra = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    shifts = {"e": [], "s": [("e", "s")], "u": [("e", "u"), ("s", "u"), ("p", "u")], "p": [("u", "a")]}
+    edited = []
+    for top in _TOPS:
+        found = [_turn(f"y{top}", "2", "D", None)]
+        for below, initial in shifts[top]:
+            kept = _turn(f"y{below}", extra, "K", "role || ':' || text")
+            found.append(f"CASE WHEN {free} AND substr(role, 1, 1) = '{initial}' THEN {kept} END")
+            if initial != "s":
+                new = _turn(f"y{below}", f"1 + {extra}", "R", f"'{_TOPS[below][1]}:' || text")
+                found.append(f"CASE WHEN {free} THEN {new} END")
+        edited.append(f"{_least(*found)} AS {top}")
+    none = f"CAST(NULL AS {_STACK})"
+    return f"""
+p AS (SELECT k, 0 AS i, CAST({{'c': 0, 'a': '', 't': ''}} AS {_STACK}) AS e, {none} AS s, {none} AS u, {none} AS p FROM ids
+      UNION ALL
+      SELECT k, rn AS i, {', '.join(edited)}
+      FROM (SELECT k, rn, role, text, fault, {inserted('x', 'y')}
+            FROM (SELECT k, rn, role, text, fault, {inserted('z', 'x')}
+                  FROM (SELECT p.k, rn, role, text, fault, p.e AS ze, p.s AS zs, p.u AS zu, p.p AS zp
+                        FROM p JOIN f ON f.k = p.k AND f.rn = p.i + 1))))"""
+
+
 SQL = {
     "op1_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORD}') AS w FROM documents),
@@ -208,6 +287,27 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM e GROUP BY conv_id""",
+    "op11_conversation_repair": rf"""
+WITH RECURSIVE ids AS (SELECT row_number() OVER () AS k, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+d AS (SELECT k, c.*, {_CRC32.format("coalesce(CAST(c.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS h
+      FROM conversations c JOIN ids ON ids.conv_id IS NOT DISTINCT FROM c.conv_id),
+r AS (SELECT k, turn, CASE WHEN h = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+             CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+             unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM d WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, copy) AS rn FROM r),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                     WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY rn) > 1 THEN 'duplicate'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+             lag(substr(role, 1, 1)) OVER (PARTITION BY k ORDER BY rn) || substr(role, 1, 1) AS two FROM o),
+n AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, max(rn) AS n FROM f GROUP BY k),{_parse_sql()},
+z AS (SELECT p.k, {_least("e", "p", _turn("u", "5", "I", "'assistant:'"), _turn(f"({_turn('s', '5', 'I', chr(39) + 'user:' + chr(39))})", "5", "I", "'assistant:'"))} AS best
+      FROM p JOIN n ON n.k = p.k AND n.n = p.i)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+       sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM ids LEFT JOIN n USING (k) LEFT JOIN z USING (k)""",
     "op13_hard_negatives": """
 WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
