@@ -151,6 +151,10 @@ def parse_items(entries: DataFrame) -> DataFrame:
         clause(occurs, 1).cast("int").alias("occurs_from"), clause(occurs, 2).cast("int").alias("occurs_to"),
         clause(r"(?i)\sREDEFINES\s+(\S+)").alias("redefines"),
         clause(r"(?i)\sRENAMES\s+(\S+)").alias("renames_from"),
+        F.filter(
+            F.split(F.trim(F.regexp_replace(F.regexp_extract(bare, r"(?i)\sRENAMES\s+\S+((?:\s+(?:OF|IN)\s+\S+)*)", 1), r"(?i)(?:^|\s+)(?:OF|IN)\s+", " ")), r"\s+"),
+            lambda w: w != "",
+        ).alias("renames_of"),
         clause(r"(?i)\s(?:THRU|THROUGH)\s+(\S+)").alias("renames_thru_any"),
         clause(r"(?i)\b(COMP(?:UTATIONAL)?(?:-[1-6X])?|BINARY|PACKED-DECIMAL)\b").alias("usage"),
         "parent_no", "qpath", kind.alias("kind"), "has_children",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copperline.functions import source_text as st
-from copperline.operators import structure
+from copperline.operators import references, structure
 
 _KEY = ["path", "program", "section", "paragraph", "sent_no", "stmt_no"]
 # Words of OPEN and CLOSE that are no file names.
@@ -119,33 +119,34 @@ def extract_control_flow(stmts: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def extract_moves(stmts: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """One row per receiving item of a MOVE: sending, receiver, corresponding.
+    """One row per receiving item of a MOVE: sending, receiver, its qualifiers, corresponding.
 
-    With ``items`` each row tells whether the receiver is a group of that program.
+    With ``items`` each row tells whether the receiver is a group of that program (unknown if no single item fits).
     """
     rows = stmts.where(F.col("verb") == "MOVE")
     words = st.tokens(F.col("text"))
     moved = rows.withColumn("_w", words).withColumn("_to", F.array_position(F.transform("_w", F.upper), "TO").cast("int"))
     corr = F.upper(F.get("_w", F.lit(1))).isin("CORRESPONDING", "CORR")
     start = F.when(corr, 3).otherwise(2)
+    receivers = F.array_join(F.slice("_w", F.col("_to") + 1, F.size("_w")), " ")
     cleaned = moved.where(F.col("_to") > 1).select(
         *_KEY, corr.alias("corresponding"),
         F.array_join(F.slice("_w", start, F.col("_to") - start), " ").alias("sending"),
-        # subscripts and qualifiers belong to the name before them
-        F.regexp_replace(
-            F.array_join(F.slice("_w", F.col("_to") + 1, F.size("_w")), " "),
-            r"(?i)\s*\([^)]*\)|\s+(OF|IN)\s+\S+", "",
+        # subscripts say nothing of the item; qualifiers belong to the name before them
+        F.regexp_extract_all(
+            F.regexp_replace(receivers, r"\s*\([^)]*\)", ""), F.lit(r"(?i)(?!(?:OF|IN)\s)\S+(?:\s+(?:OF|IN)\s+\S+)*"), F.lit(0)
         ).alias("_receivers"),
     )
-    out = cleaned.select(
-        *_KEY, "corresponding", "sending", F.posexplode(F.split(F.trim("_receivers"), r"\s+")).alias("position", "receiver")
-    ).where(F.col("receiver") != "")
+    parts = references.split_reference(F.col("_r"))
+    out = cleaned.select(*_KEY, "corresponding", "sending", F.posexplode("_receivers").alias("position", "_r")).select(
+        *_KEY, "corresponding", "sending", "position", parts["name"].alias("receiver"), parts["qualifiers"].alias("qualifiers")
+    )
     if items is None:
         return out
-    kinds = items.where(~F.col("kind").isin("CONDITION", "RENAME")).groupBy("path", "program", F.upper("name").alias("_name")).agg(
-        F.max("has_children").alias("to_group")
-    )
-    return out.withColumn("_name", F.upper("receiver")).join(kinds, ["path", "program", "_name"], "left").drop("_name")
+    real = items.where(~F.col("kind").isin("CONDITION", "RENAME"))
+    found = references.look_up(out.withColumn("name", F.col("receiver")), references.item_index(real))
+    group = F.when(F.size("candidates") == 1, F.get("candidates", F.lit(0))["kind"] == "GROUP")
+    return found.withColumn("to_group", group).drop("name", "candidates")
 
 
 def extract_exec_sql(stmts: DataFrame) -> DataFrame:

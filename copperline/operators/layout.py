@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from copperline.functions import naming, pictures as pic, values as val
 from copperline.functions.arrays import let
-from copperline.operators import data_items as di
+from copperline.operators import data_items as di, references
 from copperline.session import materialize
 
 _PENDING = "ARRAY<STRUCT<level: INT, ddl: STRING>>"
@@ -128,24 +128,16 @@ def spark_schema(records: DataFrame, program: str, name: str) -> T.StructType:
 
 
 def resolve_references(refs: DataFrame, items: DataFrame) -> DataFrame:
-    """Resolve (path, program, name) references to items, through renames to what they rename.
+    """The items that (path, program, name) references mean, through renames to what they rename. One row each.
 
-    Conditions resolve to themselves and name the item they belong to in ``parent_no``.
+    A name may be qualified (``A OF B``). Conditions resolve to themselves and name the item they belong to in
+    ``parent_no``. Unknown and ambiguous names are left out; ``references.resolve`` tells them apart.
     """
-    named = items.select("path", "program", F.upper("name").alias("_key"), "item_no", "kind", "parent_no",
-                         F.upper("renames_from").alias("_from"))
-    found = refs.withColumn("_key", F.upper("name")).join(named, ["path", "program", "_key"])
-    target = named.where(F.col("kind") != "RENAME").groupBy("path", "program", F.col("_key").alias("_from")).agg(
-        F.min(F.struct("item_no", "kind", "parent_no")).alias("_target")
-    )
-    hop = found.join(target, ["path", "program", "_from"], "left")
-    renamed = F.col("kind") == "RENAME"
-    return hop.select(
-        *refs.columns, F.col("item_no").alias("declared_no"), renamed.alias("via_rename"),
-        F.when(renamed, F.col("_target.item_no")).otherwise(F.col("item_no")).alias("item_no"),
-        F.when(renamed, F.col("_target.kind")).otherwise(F.col("kind")).alias("kind"),
-        F.when(renamed, F.col("_target.parent_no")).otherwise(F.col("parent_no")).alias("parent_no"),
-    )
+    words = references.split_reference(F.col("name"))
+    asked = refs.select(*[F.col(c).alias(f"_{c}" if c == "name" else c) for c in refs.columns], *[c.alias(n) for n, c in words.items()])
+    found = references.resolve(asked, items).where("status = 'resolved'")
+    kept = [F.col("_name").alias("name") if c == "name" else F.col(c) for c in refs.columns]
+    return found.select(*kept, "declared_no", "via_rename", "item_no", "kind", "parent_no")
 
 
 def current_values(items: DataFrame, provided: DataFrame | None = None) -> DataFrame:

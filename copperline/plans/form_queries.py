@@ -10,13 +10,13 @@ from copperline.session import materialize
 from copperline.sources.synthetic import forms_from_parts
 
 
-def _divisions(spark: SparkSession, sf: str) -> DataFrame:
+def divisions(spark: SparkSession, sf: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_size", "p_brand")
     return structure.divisions(structure.units(forms_from_parts(spread(parts))))
 
 
 def _sections(spark, sf):
-    return structure.sections(_divisions(spark, sf))
+    return structure.sections(divisions(spark, sf))
 
 
 def _statements(spark, sf, pattern=None):
@@ -25,7 +25,7 @@ def _statements(spark, sf, pattern=None):
 
 def form_identification(spark, sf):
     """All six facts of the identification division."""
-    return structure.identification_facts(_divisions(spark, sf)).drop("path")
+    return structure.identification_facts(divisions(spark, sf)).drop("path")
 
 
 def form_headers(spark, sf):
@@ -38,14 +38,14 @@ def form_decimal_comma(spark, sf):
 
 def form_items(spark, sf):
     """Items of all four sections."""
-    return di.all_data_items(di.data_items(_divisions(spark, sf))).select(
+    return di.all_data_items(di.data_items(divisions(spark, sf))).select(
         "program", "section", "level", "name", "qpath", "kind", "redefines"
     )
 
 
 def form_conditions(spark, sf):
     """Condition names against the initial values: the first value counts, a range in its place is unknown."""
-    return layout.condition_names(materialize(di.data_items(_divisions(spark, sf)))).select("program", "name", "holds")
+    return layout.condition_names(materialize(di.data_items(divisions(spark, sf)))).select("program", "name", "holds")
 
 
 def form_scopes(spark, sf):
@@ -63,14 +63,14 @@ def form_file_usage(spark, sf):
 
 
 def form_control_flow(spark, sf):
-    div = materialize(_divisions(spark, sf))
+    div = materialize(divisions(spark, sf))
     stmts = stm.statements(structure.sections(div), r"(?i)(^|\s)(PERFORM|GO)\s")
     flow = facts.extract_control_flow(stmts, facts.paragraph_order(div))
     return flow.select("program", "paragraph", "verb", "mode", "position", "target", "self_loop")
 
 
 def form_moves(spark, sf):
-    div = materialize(_divisions(spark, sf))
+    div = materialize(divisions(spark, sf))
     moved = facts.extract_moves(stm.statements(structure.sections(div), r"(?i)(^|\s)MOVE\s"), di.data_items(div))
     return moved.select("program", "sending", "position", "receiver", "corresponding", "to_group")
 
@@ -80,19 +80,19 @@ QUERIES = {f.__name__: f for f in (
     form_control_flow, form_moves,
 )}
 
-_W = "w AS (SELECT p_partkey AS k, p_size AS s, p_brand AS b, 'W' || p_partkey AS program FROM part)"
+PROGRAMS = "w AS (SELECT p_partkey AS k, p_size AS s, p_brand AS b, 'W' || p_partkey AS program FROM part)"
 
 
 def _rows(columns: str, *rows: str) -> str:
     """One row per program and line of values; the values may use k, s and b."""
-    return f"WITH {_W} " + " UNION ALL ".join(f"SELECT * FROM (SELECT program, {r} FROM w) t(program, {columns})" for r in rows)
+    return f"WITH {PROGRAMS} " + " UNION ALL ".join(f"SELECT * FROM (SELECT program, {r} FROM w) t(program, {columns})" for r in rows)
 
 
 _NO = "CAST(NULL AS VARCHAR)"
 _ID, _ENV, _DATA, _PROC = "'IDENTIFICATION'", "'ENVIRONMENT'", "'DATA'", "'PROCEDURE'"
 
 SQL = {
-    "form_identification": f"""WITH {_W} SELECT program, b AS author, 'Plant ' || s AS installation, '2001-01-' || (k % 28 + 1) AS date_written,
+    "form_identification": f"""WITH {PROGRAMS} SELECT program, b AS author, 'Plant ' || s AS installation, '2001-01-' || (k % 28 + 1) AS date_written,
       'Day ' || (k % 365) AS date_compiled, 'Level ' || (k % 4) AS security, 'Part ' || k || ' of all forms' AS remarks FROM w""",
     "form_headers": _rows(
         "division, kind, text",
@@ -104,7 +104,7 @@ SQL = {
         *[f"{_ENV}, 'PARAGRAPH', '{n}'" for n in ("SOURCE-COMPUTER", "FILE-CONTROL")],
         *[f"{_PROC}, 'PARAGRAPH', '{n}'" for n in ("STEP-A", "STEP-B", "STEP-C")],
     ) + f" UNION ALL SELECT program, {_ENV}, 'PARAGRAPH', 'SPECIAL-NAMES' FROM w WHERE k % 3 = 0",
-    "form_decimal_comma": f"WITH {_W} SELECT program FROM w WHERE k % 3 = 0",
+    "form_decimal_comma": f"WITH {PROGRAMS} SELECT program FROM w WHERE k % 3 = 0",
     "form_items": _rows(
         "section, level, name, qpath, kind, redefines",
         f"'FILE', 1, 'R' || k, 'f' || k || '.r' || k, 'GROUP', {_NO}",

@@ -139,3 +139,63 @@ def forms_from_parts(parts: DataFrame) -> DataFrame:
     return parts.select(
         F.concat(F.lit("/forms/"), name).alias("path"), name.alias("file_name"), F.array_join(numbered, "\n").alias("content")
     )
+
+
+def cases_from_parts(parts: DataFrame) -> DataFrame:
+    """A third program per part: path, file_name, content.
+
+    Names that occur more than once and their qualified references (levels skipped, subscripts, conditions, a renamed
+    group, ambiguous and unknown ones), all clauses that open a nested statement, numbers in both notations, and paragraphs
+    that only a PERFORM, a jump or falling through can reach, or nothing.
+    """
+    k = F.col("p_partkey")
+    ks = k.cast("string")
+    size = F.col("p_size").cast("string")
+    comma = k % 3 == 0
+
+    def line(*text: Column | str) -> Column:
+        return F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text])
+
+    body = F.array(
+        line(" IDENTIFICATION DIVISION."), line(" PROGRAM-ID. X", ks, "."),
+        line(" ENVIRONMENT DIVISION."), F.when(comma, line(" CONFIGURATION SECTION.")),
+        F.when(comma, line(" SPECIAL-NAMES. DECIMAL-POINT IS COMMA.")),
+        line(" DATA DIVISION."), line(" FILE SECTION."), line(" FD  M", ks, "."), line(" 01  M-REC."),
+        line("     05 M-KEY PIC 9(4)."), line("     05 M-TEXT PIC X(", size, ")."),
+        line(" WORKING-STORAGE SECTION."),
+        line(" 01  ORDER-IN."), line("     05 HEAD."), line("        10 ITEM-CODE PIC X(3)."), line("        10 AMOUNT PIC 9(5)V99."),
+        line("     05 BODY."), line("        10 ITEM-CODE PIC X(4)."), line("        10 M-KEY PIC 9(", size, ")."),
+        line(" 66  HEAD-ALIAS RENAMES HEAD OF ORDER-IN."),
+        line(" 01  ORDER-OUT."), line("     05 HEAD."), line("        10 ITEM-CODE PIC X(3)."),
+        line("     05 LINES OCCURS ", (F.col("p_size") % 4 + 2).cast("string"), " TIMES."),
+        line("        10 LINE-QTY PIC 9(3)."), line("        10 LINE-COST PIC 9(3)V99."),
+        line(" 77  IX PIC 9(3) VALUE ", (k % 7).cast("string"), "."),
+        line(" 77  RATE PIC 9V9 VALUE ", (k % 9).cast("string"), F.when(comma, ",").otherwise("."), "5."),
+        line(" 77  STATE-FLAG PIC X VALUE 'A'."), line("     88 IS-OPEN VALUE 'A'."), line("     88 IS-DONE VALUE 'B'."),
+        line(" PROCEDURE DIVISION."), line(" MAIN-PART."),
+        line("     MOVE ITEM-CODE OF HEAD OF ORDER-IN TO ITEM-CODE IN ORDER-OUT."),
+        line("     MOVE ITEM-CODE OF ORDER-IN TO M-TEXT."),
+        line("     MOVE LINE-QTY OF LINES (IX) TO M-KEY OF M-REC OF M", ks, "."),
+        line("     MOVE M-KEY TO IX."), line("     MOVE NO-SUCH-", ks, " TO RATE."),
+        line("     IF IS-OPEN OF STATE-FLAG AND LINE-COST (IX) > RATE"), line("        DISPLAY HEAD-ALIAS"), line("     END-IF."),
+        line("     COMPUTE AMOUNT = LENGTH OF BODY + IX * 2."), line("     COMPUTE RATE = LINE-COST (1) / ", size, "."),
+        line("     COMPUTE IX = ", size, " + RATE."),
+        line("     READ M", ks, " AT END MOVE 1 TO IX"), line("       NOT AT END ADD 1 TO IX END-READ."),
+        line("     REWRITE M-REC INVALID KEY DISPLAY 'bad' END-REWRITE."),
+        line("     SEARCH LINES AT END DISPLAY 'none'"), line("       WHEN LINE-QTY (IX) = 3 MOVE 2 TO IX END-SEARCH."),
+        line("     STRING STATE-FLAG DELIMITED BY SIZE INTO M-TEXT"), line("       ON OVERFLOW DISPLAY 'long' END-STRING."),
+        line("     PERFORM UNTIL IX > 9 ADD 1 TO IX END-PERFORM."),
+        line("     CALL 'X", F.floor(k / 2).cast("string"), "' ON EXCEPTION DISPLAY 'no call' END-CALL."),
+        line("     PERFORM WORK-A THRU WORK-B."), F.when(k % 2 == 0, line("     PERFORM SIDE-STEP.")),
+        line("     GO TO WRAP-UP."),
+        line(" WORK-A."), line("     DISPLAY 'a'."), line(" WORK-B."), line("     IF IX > 5 GO TO EARLY-OUT."), line("     DISPLAY 'b'."),
+        line(" SIDE-STEP."), line("     DISPLAY 's'."), line(" NEVER-RUN."), line("     PERFORM ONLY-FROM-NEVER."),
+        line(" ONLY-FROM-NEVER."), line("     DISPLAY 'n'."),
+        line(" EARLY-OUT."), line("     DISPLAY 'early'."), line(" WRAP-UP."), F.when(k % 5 == 0, line("     PERFORM CLOSING.")),
+        line("     STOP RUN."), line(" CLOSING."), line("     DISPLAY 'closing'."),
+    )
+    numbered = F.transform(F.array_compact(body), lambda x, i: F.concat(F.lpad((i * 10 + 10).cast("string"), 6, "0"), x))
+    name = F.concat(F.lit("x"), ks, F.lit(".cbl"))
+    return parts.select(
+        F.concat(F.lit("/cases/"), name).alias("path"), name.alias("file_name"), F.array_join(numbered, "\n").alias("content")
+    )
