@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from copperline.operators.skew import salted_join
+from copperline.sources import snapshots
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -100,22 +101,37 @@ def run_query(spark: SparkSession, tables: dict[str, DataFrame], text: str, para
     return spark.sql(text, args=params or {})
 
 
-def write_graph(tables: dict[str, DataFrame], directory: str, keys: dict[str, list[str]] | None = None) -> None:
-    """One parquet folder per table, clustered by key so that key lookups skip files.
+def write_graph(
+    tables: dict[str, DataFrame], directory: str, keys: dict[str, list[str]] | None = None, spark: SparkSession | None = None
+) -> None:
+    """Stage, audit, publish: each table is written once, keys are checked on what was written, then a manifest names it.
 
-    Keys must be unique; a table that breaks this is not written.
+    A table with repeated keys raises ValueError and nothing is published; so does a directory with a published graph.
+    Rows are dealt by key and sorted, so that key lookups skip row groups and no pass over the rows is needed for ranges.
     """
+    spark = spark or next(iter(tables.values())).sparkSession
     keys = keys or {"programs": ["name"], "entities": ["id"]}
-    broken = [n for n, k in keys.items() if n in tables and not duplicate_keys(tables[n], k).isEmpty()]
-    if broken:
-        raise ValueError(f"duplicate keys in {broken}")
+    if snapshots.versions(spark, directory):
+        raise ValueError(f"{directory} holds a graph already")
+    folders = {}
     for name, df in tables.items():
         key = [c for c in ("name", "id", "source", "program") if c in df.columns][:1]
-        df.repartitionByRange(*key).sortWithinPartitions(*key).write.mode("errorifexists").parquet(f"{directory}/{name}")
+        staged = df.repartition(*key).sortWithinPartitions(*key) if key else df
+        folders[name] = snapshots.new_folder(name)
+        staged.write.parquet(f"{directory}/{folders[name]}")
+    written = {n: spark.read.schema(tables[n].schema).parquet(f"{directory}/{folders[n]}") for n in keys if n in tables}
+    broken = [n for n, df in written.items() if not duplicate_keys(df, keys[n]).isEmpty()]
+    if broken:
+        raise ValueError(f"duplicate keys in {broken}")
+    snapshots.publish(spark, directory, {"version": 1, "tables": {n: [{"folder": f}] for n, f in folders.items()}})
 
 
 def read_graph(spark: SparkSession, directory: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{directory}/{n}") for n in names}
+    """Tables of the published state."""
+    state = snapshots.read(spark, directory)
+    if state is None:
+        raise ValueError(f"{directory}: nothing is published")
+    return {n: snapshots.table(spark, directory, state, n) for n in names}
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -458,7 +458,30 @@ def incremental_calls(spark, sf):
     for formats in ([0, 1], [2]):
         _write_sources(spark, sf, root, formats)
         incremental.incremental_ingest(spark, f"{root}/sources", f"{root}/tables", f"{root}/state", exts=("txt",))
-    return incremental.current_tables(spark, f"{root}/tables", 2)["calls"].select("source", "target", "rel_type")
+    return incremental.current_tables(spark, f"{root}/tables")["calls"].select("source", "target", "rel_type")
+
+
+def incremental_tables(spark, sf):
+    """All six tables after three batches: the last brings some programs again, and other reasons for some rejects."""
+    root = f"{scratch_dir(spark)}/copperline-job-{uuid.uuid4().hex}"
+    sources = materialize(corpus(spark, sf).withColumn("k", F.regexp_extract("file_name", r"(\d+)", 1).cast("long")))
+    bad = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 3).alias("k"))
+    k = F.col("k")
+    for batch, (mine, left_out) in enumerate(((k % 3 == 0, k == 0), (k % 3 == 1, k == 1), ((k % 3 == 2) | (k % 6 == 0), k != 1))):
+        rejects = bad.where(left_out).select("path", F.lit(f"batch {batch}").alias("reason"))
+        incremental.merge_batch(spark, sources.where(mine).drop("k"), root, batch, rejects=rejects)
+    # a batch that comes again is not taken twice
+    incremental.merge_batch(spark, sources.drop("k"), root, 2, rejects=bad.select("path", F.lit("again").alias("reason")))
+    now = incremental.current_tables(spark, root)
+    text = {
+        "programs": ("name", ["file_path"]), "entities": ("id", ["program", "name", "type", "section", "description"]),
+        "contains": ("entity_id", ["program"]), "calls": ("source", ["target", "rel_type"]), "vectors": ("id", [F.col("metadata")["program"]]),
+        "rejects": ("path", ["reason"]),
+    }
+    return graph.union_all([
+        now[name].select(F.lit(name).alias("tab"), F.col(key).alias("key"), F.concat_ws("|", *rest).alias("rest"))
+        for name, (key, rest) in text.items()
+    ])
 
 
 def collection_upsert(spark, sf):
@@ -488,5 +511,5 @@ QUERIES = {f.__name__: f for f in (
     file_usage, file_control, control_flow, moves, exec_sql, file_lineage, uncovered_verbs, rule_choice, line_format,
     copybook_flag, rejects, code_lines, copybook_expansion, copy_edges, edge_build, program_stubs, callees,
     relationship_counts, ordered_programs, first_edge, call_paths, long_paths, cycle_paths, reachable, param_query, doc_meta,
-    stream_calls, ingest_calls, ingest_entities, incremental_calls, collection_upsert,
+    stream_calls, ingest_calls, ingest_entities, incremental_calls, incremental_tables, collection_upsert,
 )}

@@ -59,7 +59,7 @@ def ingest(
         rejects = rejects.unionByName(files.copybook_rejects(spark, copybook_files))
         expanded = copybooks.expand_copybooks(usable, files.scan_copybooks(spark, copybook_files))
     tables = graph_tables(expanded, fmt, scope)
+    tables["vectors"] = ask.doc_vectors(with_main_program(usable, fmt))
+    tables["rejects"] = rejects
     graph.write_graph(tables, out_dir)
-    ask.doc_vectors(with_main_program(usable, fmt)).write.parquet(f"{out_dir}/vectors")
-    rejects.write.parquet(f"{out_dir}/rejects")
     return graph.read_graph(spark, out_dir, ["programs", "entities", "contains", "calls", "vectors", "rejects"])

@@ -315,6 +315,14 @@ SQL: dict[str, str] = {
       CASE WHEN p_size % 2 = 0 THEN '2' ELSE '1' END AS load FROM part""",
     "ingest_calls": f"WITH {_EDGES} SELECT * FROM edges",
     "incremental_calls": f"WITH {_EDGES} SELECT * FROM edges",
+    "incremental_tables": f"""
+      SELECT 'programs' AS tab, p AS key, '/corpus/' || f AS rest FROM (WITH {_EDGES} SELECT p, f FROM corpus)
+      UNION ALL SELECT 'programs', target, '' FROM (WITH {_EDGES} SELECT DISTINCT target FROM edges WHERE target NOT IN (SELECT p FROM corpus))
+      UNION ALL SELECT DISTINCT 'entities', p || ':' || name, concat_ws('|', p, name, type, section, description) FROM (WITH {_entities(False)} SELECT * FROM ents)
+      UNION ALL SELECT DISTINCT 'contains', p || ':' || name, p FROM (WITH {_entities(False)} SELECT * FROM ents)
+      UNION ALL SELECT 'calls', source, target || '|' || rel_type FROM (WITH {_EDGES} SELECT * FROM edges)
+      UNION ALL SELECT 'vectors', p || '_' || f, p FROM (WITH {_P} SELECT * FROM corpus)
+      UNION ALL SELECT 'rejects', CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 3 = 1 THEN 'batch 1' ELSE 'batch 2' END FROM documents""",
     "program_upsert": """SELECT 'U' || user_id AS name, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",
     "entity_upsert": """SELECT 'U' || user_id || ':' || event_type AS id, 'U' || user_id AS program, event_type AS name, CAST(event_id AS VARCHAR) AS description
       FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",

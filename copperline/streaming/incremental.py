@@ -2,56 +2,47 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from copperline.operators import graph
 from copperline.plans import ask, ingest as plan
 from copperline.session import materialize
 from copperline.sources import files
+from copperline.streaming import delta_log
 
-_ORDER = {
-    "programs": (["name"], ["last_updated", "file_path"]),
-    "entities": (["id"], ["last_updated"]),
-    "contains": (["program", "entity_id"], ["program"]),
-    "calls": (["source", "target", "rel_type"], ["last_updated"]),
+#: A stub never replaces a program: it has no stamp, and nulls order first. Vectors and rejects have no stamp: the later batch wins.
+TABLES = {
+    "programs": delta_log.Keyed(["name"], ["last_updated", "file_path"]),
+    "entities": delta_log.Keyed(["id"], ["last_updated"]),
+    "contains": delta_log.Keyed(["program", "entity_id"], []),
+    "calls": delta_log.Keyed(["source", "target", "rel_type"], ["last_updated"]),
+    "vectors": delta_log.Keyed(["id"], []),
+    "rejects": delta_log.Keyed(["path"], []),
 }
-#: Tables without a stamp: new rows replace stored ones of the same key.
-_REPLACED = {"vectors": "id", "rejects": "path"}
 # Fixed value: the schema of Spark's binary file source.
 _BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
 
-def _version_dir(out_dir: str, version: int) -> str:
-    return f"{out_dir}/v{version:08d}"
-
-
 def merge_batch(
-    spark: SparkSession, sources: DataFrame, out_dir: str, batch_id: int, fmt: str | None = None, rejects: DataFrame | None = None
-) -> None:
-    """Merge one batch of sources, and of ``rejects`` (path, reason), into a new version of the tables.
+    spark: SparkSession, sources: DataFrame, out_dir: str, batch_id: int, fmt: str | None = None, rejects: DataFrame | None = None,
+    stream: str = "batch",
+) -> int:
+    """Add one batch of sources, and of ``rejects`` (path, reason), to the tables; returns the version it is in.
 
-    A batch writes ``v<batch + 1>`` from ``v<batch>``, so a retried batch rewrites its own
-    version from the same input and nothing is read and overwritten at the same time.
+    The batch's rows are appended and nothing stored is rewritten but buckets due for compaction. A batch of a
+    ``stream`` whose id is in already is skipped. A stream that starts anew under another name brings its files
+    again: rows replace their equals, so nothing is lost or doubled.
     """
-    new = plan.graph_tables(sources, fmt)
-    previous = _version_dir(out_dir, batch_id)
-    target = _version_dir(out_dir, batch_id + 1)
-    for name, fresh in new.items():
-        keys, order = _ORDER[name]
-        merged = fresh
-        if batch_id > 0:
-            stored = spark.read.parquet(f"{previous}/{name}")
-            # a stub never replaces a program: it has no stamp, and nulls order first
-            merged = graph.merge_tables(stored, fresh, keys, order)
-        merged.write.mode("overwrite").parquet(f"{target}/{name}")
-    if rejects is None:
-        rejects = spark.createDataFrame([], "path string, reason string")
-    for name, fresh in (("vectors", ask.doc_vectors(plan.with_main_program(sources, fmt))), ("rejects", rejects)):
-        merged, key = fresh, _REPLACED[name]
-        if batch_id > 0:
-            stored = spark.read.parquet(f"{previous}/{name}")
-            merged = stored.join(fresh.select(key), key, "left_anti").select(*fresh.columns).unionByName(fresh)
-        merged.write.mode("overwrite").parquet(f"{target}/{name}")
+    rows = plan.graph_tables(sources, fmt)
+    rows["vectors"] = ask.doc_vectors(plan.with_main_program(sources, fmt))
+    rows["rejects"] = spark.createDataFrame([], "path string, reason string") if rejects is None else rejects
+    return delta_log.append(spark, out_dir, rows, TABLES, stream, batch_id)
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream of this checkpoint folder; a lost folder means another stream."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
 
 
 def incremental_ingest(
@@ -68,12 +59,14 @@ def incremental_ingest(
         named = batch.select("path", F.regexp_extract("path", r"([^/\\]+)$", 1).alias("file_name"), "content")
         decoded, undecodable = files.decode_sources(named)
         sources, unparsable = files.split_marked(materialize(files.mark_usable(decoded, fmt)), decoded.columns)
-        merge_batch(batch.sparkSession, sources, out_dir, batch_id, fmt, undecodable.unionByName(unparsable))
+        merge_batch(
+            spark, sources, out_dir, batch_id, fmt, undecodable.unionByName(unparsable), _stream_id(spark, checkpoint)
+        )
 
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def current_tables(spark: SparkSession, out_dir: str, version: int) -> dict[str, DataFrame]:
-    """The tables as of a version: the number of batches taken in."""
-    return {n: spark.read.parquet(f"{_version_dir(out_dir, version)}/{n}") for n in [*_ORDER, *_REPLACED]}
+def current_tables(spark: SparkSession, out_dir: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables as they are now, or as of a version: every batch taken in makes one."""
+    return {name: delta_log.current(spark, out_dir, name, table, version) for name, table in TABLES.items()}

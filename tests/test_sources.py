@@ -2,9 +2,11 @@ import os
 
 import pytest
 
+from copperline import schemas
+from copperline.operators import graph
 from copperline.plans import ingest
-from copperline.sources import collections as coll, files
-from copperline.streaming import incremental
+from copperline.sources import collections as coll, files, snapshots
+from copperline.streaming import delta_log, incremental
 from tests import programs as P
 from tests.conftest import fixed
 
@@ -103,7 +105,7 @@ def test_incremental_equals_full_run(spark, tmp_path):
     put(src, "h.cbl", P.program("HELPER-A", procedure=["    CALL 'MASTER'.", "    GOBACK."]))
     incremental.incremental_ingest(spark, str(src), out, state, "FIXED")
     incremental.incremental_ingest(spark, str(src), out, state, "FIXED")
-    parts = incremental.current_tables(spark, out, 2)
+    parts = incremental.current_tables(spark, out)
     full = ingest.ingest(spark, str(src), str(tmp_path / "full"), fmt="FIXED")
     names = lambda df: sorted(os.path.basename(r["path"]) for r in df.collect())
     assert names(parts["rejects"]) == names(full["rejects"]) == ["bytes.COB", "x.cbl"]
@@ -114,3 +116,82 @@ def test_incremental_equals_full_run(spark, tmp_path):
         assert sorted(map(str, parts[name].select(cols).collect())) == sorted(map(str, full[name].select(cols).collect())), name
     pair = lambda df: sorted((r["source"], r["target"]) for r in df.collect())
     assert pair(parts["calls"]) == pair(full["calls"])
+    # the state folder is lost: all files come again under a new stream, and nothing is lost or doubled
+    before = {n: df.count() for n, df in parts.items()}
+    incremental.incremental_ingest(spark, str(src), out, str(tmp_path / "state2"), "FIXED")
+    assert {n: df.count() for n, df in incremental.current_tables(spark, out).items()} == before
+    assert {n: df.count() for n, df in incremental.current_tables(spark, out, 2).items()} == before
+
+
+def data_files(root):
+    return {os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+
+def test_delta_log_costs_what_a_batch_brings(spark, tmp_path):
+    root = str(tmp_path / "log")
+    table = {"t": delta_log.Keyed(["id"], ["stamp"])}
+
+    def rows(ids, stamp, value):
+        return {"t": spark.createDataFrame([(i, stamp, value) for i in ids], "id long, stamp long, value string")}
+
+    def now(version=None):
+        return {r["id"]: r["value"] for r in delta_log.current(spark, root, "t", table["t"], version).collect()}
+
+    delta_log.append(spark, root, rows(range(400), 1, "old"), table, "s", 0, buckets=8, max_deltas=3)
+    first = data_files(root)
+    assert 0 < len(first) <= 8
+    for batch in range(1, 4):
+        before = data_files(root)
+        delta_log.append(spark, root, rows([batch], 1 + batch, "new"), table, "s", batch, max_deltas=3)
+        # one row: one file, whatever the table holds; nothing stored is touched
+        assert before < data_files(root) and len(data_files(root) - before) <= 2
+    expected = {i: "new" if i in (1, 2, 3) else "old" for i in range(400)}
+    assert now() == expected
+    # an older row does not replace a newer one, an equal one does
+    delta_log.append(spark, root, rows([1, 5], 1, "late"), table, "s", 4, max_deltas=3)
+    assert now() == expected | {5: "late"} and now(4) == expected
+    # a batch that is in already changes nothing
+    before = data_files(root)
+    assert delta_log.append(spark, root, rows(range(400), 9, "again"), table, "s", 4) == 5
+    assert data_files(root) == before and now() == expected | {5: "late"}
+    # deltas pile up on one bucket only: that one is compacted
+    for batch in range(5, 12):
+        before = data_files(root)
+        delta_log.append(spark, root, rows([7], 20 + batch, f"v{batch}"), table, "s", batch, max_deltas=3)
+        assert len(data_files(root) - before) <= 2
+    assert now() == expected | {5: "late", 7: "v11"}
+    state = snapshots.read(spark, root)
+    assert max(delta_log._held(state["tables"]["t"]).values()) <= 3
+    left = snapshots.vacuum(spark, root)
+    assert left and now() == expected | {5: "late", 7: "v11"} and snapshots.unreferenced(spark, root) == []
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    root = str(tmp_path / "w")
+    snapshots.publish(spark, root, {"version": 1, "tables": {}})
+    with pytest.raises(snapshots.Conflict):
+        snapshots.publish(spark, root, {"version": 1, "tables": {"x": []}})
+    assert snapshots.read(spark, root) == {"version": 1, "tables": {}} and snapshots.versions(spark, root) == [1]
+
+
+def test_nothing_is_published_with_repeated_keys(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            runs.add(len(pdf))
+            yield pdf
+
+    root = str(tmp_path / "g")
+    rows = spark.createDataFrame([(f"P{i}", None, None) for i in range(50)], schemas.PROGRAMS)
+    twice = rows.unionByName(rows.limit(1)).mapInPandas(counted, schemas.PROGRAMS)
+    with pytest.raises(ValueError):
+        graph.write_graph({"programs": twice}, root)
+    # one computation for the audit and the write, and a reader sees nothing
+    assert runs.value == 51 and snapshots.versions(spark, root) == []
+    with pytest.raises(ValueError):
+        graph.read_graph(spark, root, ["programs"])
+    graph.write_graph({"programs": rows}, root)
+    assert graph.read_graph(spark, root, ["programs"])["programs"].count() == 50
+    with pytest.raises(ValueError):
+        graph.write_graph({"programs": rows}, root)
