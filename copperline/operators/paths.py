@@ -2,20 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, functions as F
 
 from copperline.operators.graph import union_all
-from copperline.operators.skew import hot_keys, salted_join
+from copperline.operators.skew import hot_shares, salted_join
 from copperline.session import materialize
 
 
-def _step(frontier: DataFrame, edges: DataFrame, hot: list[str], carry: list[str]) -> DataFrame:
-    """Join the frontier's ends to outgoing edges; frontier rows at a hot program are spread."""
+def _step(frontier: DataFrame, edges: DataFrame, carry: list[str]) -> DataFrame:
+    """Join the frontier's ends to outgoing edges; rows at a program where many paths end are spread.
+
+    The frontier is a table, and its own counts say which programs those are.
+    """
     return salted_join(
-        frontier.withColumnRenamed("at", "source"), edges, "source", F.struct(*carry), hot
+        frontier.withColumnRenamed("at", "source"), edges, "source", F.struct(*carry), hot_shares(frontier, "at")
     )
 
 
+def _walks(links: DataFrame, first: DataFrame, may_arrive: DataFrame | None, max_depth: int | None) -> Iterator[DataFrame]:
+    """Rounds of paths (start, at, goal, used, length), each a table: ``first`` and what grows from it.
+
+    ``may_arrive`` (at, goal) names the programs from which a goal can be reached: a path that cannot arrive is never made.
+    """
+    edge_id = F.struct(F.col("source").alias("s"), F.col("target").alias("t"))
+    columns = ["start", "at", "goal", "used", "length"]
+
+    def kept(paths: DataFrame) -> DataFrame:
+        return materialize((paths if may_arrive is None else paths.join(may_arrive, ["at", "goal"], "left_semi")).select(*columns))
+
+    depth = 1
+    frontier = kept(first.select("start", F.col("target").alias("at"), "goal", F.array(edge_id).alias("used"), F.lit(1).alias("length")))
+    while not frontier.isEmpty():
+        yield frontier
+        if max_depth is not None and depth >= max_depth:
+            return
+        depth += 1
+        grown = _step(frontier, links, ["start", "goal", "used"]).where(~F.array_contains("used", edge_id))
+        frontier = kept(grown.select(
+            "start", F.col("target").alias("at"), "goal", F.array_append("used", edge_id).alias("used"), F.lit(depth).alias("length")
+        ))
+
+
+def _ends(links: DataFrame, goals: DataFrame) -> DataFrame:
+    """(at, goal) of all programs from which a goal (column ``goal``) can be reached, the goals themselves included."""
+    back = links.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    reached = reachability(back, starts=goals.select(F.col("goal").alias("source")))
+    return materialize(reached.select(F.col("target").alias("at"), F.col("source").alias("goal")).unionByName(
+        goals.select(F.col("goal").alias("at"), "goal")
+    ).distinct())
+
+
+def paths_between(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """All paths in which no edge repeats for many (source, target) pairs: source, target, length. One row per path.
+
+    The search starts from both ends: first everything that leads to a target is found, as a set; then paths grow
+    from the sources, and only along that set.
+    """
+    links = materialize(edges.select("source", "target").distinct())
+    wanted = materialize(pairs.select(F.col("source").alias("start"), F.col("target").alias("goal")).distinct())
+    first = wanted.join(links, F.col("start") == F.col("source"))
+    rounds = list(_walks(links, first, _ends(links, wanted.select("goal").distinct()), max_depth))
+    return _paths(edges, [r.where(F.col("at") == F.col("goal")) for r in rounds])
+
+
+def _paths(edges: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    if not rounds:
+        return edges.select("source", "target", F.lit(1).alias("length")).limit(0)
+    return union_all([r.select(F.col("start").alias("source"), F.col("at").alias("target"), "length") for r in rounds])
+
+
 def reachable_paths(
     edges: DataFrame, src: str | None = None, dst: str | None = None, max_depth: int | None = None
 ) -> DataFrame:
@@ -26,46 +83,34 @@ def reachable_paths(
     use ``reachability`` for the set of reachable pairs.
     """
     links = materialize(edges.select("source", "target").distinct())
-    hot = hot_keys(links.select(F.col("target")), "target")
     seed = links if src is None else links.where(F.col("source") == src)
-    edge_id = F.struct(F.col("source").alias("s"), F.col("target").alias("t"))
-    frontier = seed.select(
-        F.col("source").alias("start"), F.col("target").alias("at"), F.array(edge_id).alias("used"), F.lit(1).alias("length")
-    )
-    found = [frontier]
-    depth = 1
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        nxt = materialize(_step(frontier, links, hot, ["start", "used"]).where(~F.array_contains("used", edge_id)).select(
-            "start", F.col("target").alias("at"), F.array_append("used", edge_id).alias("used"), F.lit(depth).alias("length")
-        ))
-        if nxt.isEmpty():
-            break
-        found.append(nxt)
-        frontier = nxt
-    out = union_all([f.select(F.col("start").alias("source"), F.col("at").alias("target"), "length") for f in found])
-    return out if dst is None else out.where(F.col("target") == dst)
+    first = seed.select(F.col("source").alias("start"), "source", "target", F.lit(dst).cast("string").alias("goal"))
+    goals = None if dst is None else _ends(links, edges.sparkSession.range(1).select(F.lit(dst).alias("goal")))
+    rounds = list(_walks(links, first, goals, max_depth))
+    return _paths(edges, rounds if dst is None else [r.where(F.col("at") == dst) for r in rounds])
 
 
-def reachability(edges: DataFrame, src: str | None = None, max_depth: int | None = None) -> DataFrame:
+def reachability(
+    edges: DataFrame, src: str | None = None, max_depth: int | None = None, starts: DataFrame | None = None
+) -> DataFrame:
     """Distinct reachable pairs with the length of the shortest path, safe on any graph.
 
-    Breadth first: a pair leaves the frontier once seen, so cycles end by themselves.
+    From one program, from those of ``starts`` (source), or from all. Breadth first: a pair leaves the frontier once
+    seen, so cycles end by themselves.
     """
     links = materialize(edges.select("source", "target").distinct())
-    hot = hot_keys(links.select(F.col("target")), "target")
     seed = links if src is None else links.where(F.col("source") == src)
-    frontier = seed.select(F.col("source").alias("start"), F.col("target").alias("at"), F.lit(1).alias("length"))
-    seen = frontier
+    if starts is not None:
+        seed = seed.join(starts.select("source").distinct(), "source", "left_semi")
+    seen = materialize(seed.select(F.col("source").alias("start"), F.col("target").alias("at"), F.lit(1).alias("length")))
+    frontier = seen
     depth = 1
-    while max_depth is None or depth < max_depth:
+    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
-        step = _step(frontier, links, hot, ["start"]).select("start", F.col("target").alias("at")).distinct()
+        step = _step(frontier, links, ["start"]).select("start", F.col("target").alias("at")).distinct()
         frontier = materialize(step.join(seen.select("start", "at"), ["start", "at"], "left_anti").withColumn(
             "length", F.lit(depth)
         ))
-        if frontier.isEmpty():
-            break
         # every round is a table of its own, so the union stays a plain list of scans
         seen = seen.unionByName(frontier)
     return seen.select(F.col("start").alias("source"), F.col("at").alias("target"), "length")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 _SALTS = 32
-_FEW_SALTS = 8
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -28,26 +27,33 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> list[str]:
     return [r[key] for r in counts.where((F.col("n") > limit) & F.col(key).isNotNull()).select(key).collect()]
 
 
+def hot_shares(df: DataFrame, key: str) -> dict[str, int]:
+    """Keys that hold more than one partition's share of the rows, with how many shares they hold.
+
+    Both grow with the job: there are at most as many such keys as shuffle partitions. One counting pass, combined
+    before the shuffle; read ``df`` from a table.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    share = max(-(-df.count() // partitions), 1)
+    return {r[key]: -(-r["n"] // share) for r in counts.where(F.col("n") > share).collect()}
+
+
 def salted_join(
-    many: DataFrame, one: DataFrame, key: str, spread: Column, hot: list[str] | None = None, how: str = "inner",
+    many: DataFrame, one: DataFrame, key: str, spread: Column, hot: list[str] | dict[str, int] | None = None, how: str = "inner",
     salts: int = _SALTS,
 ) -> DataFrame:
     """Join on ``key`` with the rows of hot keys spread over several tasks.
 
-    ``many`` rows of a hot key are dealt out by ``spread``; the matching rows of ``one`` are
-    repeated once per salt. Other keys have a single salt, so nothing else is repeated. Without
-    a list of hot keys all keys get a few salts: for a narrow ``one`` that is cheaper than a
-    counting pass.
+    ``many`` rows of a hot key are dealt out by ``spread``, over ``salts`` or as many tasks as ``hot`` says per key; the
+    matching rows of ``one`` are repeated once per salt. Other keys have a single salt, so nothing else is
+    repeated. Without hot keys this is a plain join, whose oversized partitions adaptive execution splits.
     """
-    if hot is not None and not hot:
+    if not hot:
         return many.join(one, key, how)
-    if hot is None:
-        salts = _FEW_SALTS
-        left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-        right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        return left.join(right, [key, "_salt"], how).drop("_salt")
-    is_hot = F.col(key).isin(hot)
-    left = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int"))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = one.withColumn("_salt", F.explode(copies))
+    shares = hot if isinstance(hot, dict) else dict.fromkeys(hot, salts)
+    known = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    n = F.coalesce(F.try_element_at(known, F.col(key)), F.lit(1))
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), n).cast("int"))
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
     return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -387,6 +387,16 @@ def cycle_paths(spark, sf):
     return paths.reachable_paths(rings)
 
 
+def paths_between(spark, sf):
+    """Paths between pairs of programs: from each one to the program of an eighth of its number and to that of a ninth."""
+    k = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    pairs = parts(spark, sf).where(k > 0).select(name(k).alias("source"), F.explode(F.array(F.floor(k / 8), F.floor(k / 9))).alias("_t")).select(
+        "source", name(F.col("_t")).alias("target")
+    )
+    return paths.paths_between(part_edges(spark, sf), pairs)
+
+
 def reachable(spark, sf):
     """Programs reachable over all CALL edges, with the shortest length."""
     return paths.reachability(part_edges(spark, sf))
@@ -510,6 +520,6 @@ QUERIES = {f.__name__: f for f in (
     file_descriptions, file_records, groups_with_children, renames, references, initial_values, condition_names, condition_names_provided,
     file_usage, file_control, control_flow, moves, exec_sql, file_lineage, uncovered_verbs, rule_choice, line_format,
     copybook_flag, rejects, code_lines, copybook_expansion, copy_edges, edge_build, program_stubs, callees,
-    relationship_counts, ordered_programs, first_edge, call_paths, long_paths, cycle_paths, reachable, param_query, doc_meta,
+    relationship_counts, ordered_programs, first_edge, call_paths, long_paths, cycle_paths, paths_between, reachable, param_query, doc_meta,
     stream_calls, ingest_calls, ingest_entities, incremental_calls, incremental_tables, collection_upsert,
 )}

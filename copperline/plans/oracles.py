@@ -10,6 +10,12 @@ _EDGES = f"""{_P}, edges AS (
   SELECT p AS source, 'P' || (k // 2) AS target, 'CALLS' AS rel_type FROM corpus WHERE k > 0
   UNION SELECT p, 'P' || (k // 3), 'CALLS' FROM corpus WHERE k % 3 = 0)"""
 
+# all paths along CALL edges; P0 calling itself is the only circle
+_WALK = """e AS (SELECT p_partkey AS s, p_partkey // 2 AS t FROM part WHERE p_partkey > 0
+        UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 3 = 0),
+      walk(s, t, n, looped) AS (SELECT s, t, 1, s = t FROM e UNION ALL SELECT walk.s, e.t, n + 1, looped OR e.s = e.t
+        FROM walk JOIN e ON e.s = walk.t WHERE NOT (looped AND e.s = e.t))"""
+
 # data items of one program: name, level, path below the program, picture, VALUE, order, condition on k
 _ITEMS = f"""{_P}, items AS (
   SELECT p, k, 'FILE' AS sec, 'R' || k AS name, 1 AS lvl, 'f' || k || '.r' || k AS q, NULL AS pic, 'GROUP' AS kind FROM corpus WHERE k % 5 = 0
@@ -291,12 +297,10 @@ SQL: dict[str, str] = {
     "relationship_counts": f"WITH {_EDGES} SELECT source, count(*) AS n_relationships FROM edges GROUP BY source",
     "ordered_programs": f"WITH {_P} SELECT p AS name FROM corpus ORDER BY p",
     "first_edge": f"WITH {_EDGES} SELECT source, target, rel_type FROM edges WHERE source = 'P6' ORDER BY target LIMIT 1",
-    "call_paths": """WITH RECURSIVE e AS (SELECT p_partkey AS s, p_partkey // 2 AS t FROM part WHERE p_partkey > 0
-        UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 3 = 0),
-      -- P0 calling itself is the only circle
-      walk(s, t, n, looped) AS (SELECT s, t, 1, s = t FROM e UNION ALL SELECT walk.s, e.t, n + 1, looped OR e.s = e.t
-        FROM walk JOIN e ON e.s = walk.t WHERE NOT (looped AND e.s = e.t))
-      SELECT 'P' || s AS source, 'P' || t AS target, n AS length FROM walk""",
+    "call_paths": f"""WITH RECURSIVE {_WALK} SELECT 'P' || s AS source, 'P' || t AS target, n AS length FROM walk""",
+    "paths_between": f"""WITH RECURSIVE {_WALK}, pairs AS (SELECT p_partkey AS a, p_partkey // 8 AS b FROM part WHERE p_partkey > 0
+        UNION SELECT p_partkey, p_partkey // 9 FROM part WHERE p_partkey > 0)
+      SELECT 'P' || s AS source, 'P' || t AS target, n AS length FROM walk JOIN pairs ON s = a AND t = b""",
     "long_paths": """WITH e AS (SELECT DISTINCT p_partkey AS k FROM part WHERE (p_partkey + 1) % 16 <> 0)
       SELECT 'P' || a.k AS source, 'P' || (b.k + 1) AS target, CAST(b.k - a.k + 1 AS INT) AS length
       FROM e a JOIN e b ON b.k // 16 = a.k // 16 AND b.k >= a.k

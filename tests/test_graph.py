@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from copperline.operators import calls, copybooks, data_items as di, facts, graph, layout, lineage, paths, statements as stm, structure, topk
-from copperline.operators.skew import hot_keys, salted_join
+from copperline.operators.skew import hot_keys, hot_shares, salted_join
+from copperline.session import materialize
 from copperline.plans import ask, ingest
 from tests import programs as P
 from tests.conftest import fixed
@@ -79,6 +80,42 @@ def test_paths_against_brute_force(spark, pairs):
     assert reach == shortest
 
 
+def test_paths_between_named_ends(spark, monkeypatch):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "e"), ("e", "d"), ("a", "x1"), ("x1", "x2"), ("x2", "x1"), ("c", "e")]
+    pairs += [(f"n{i}", "a") for i in range(30)] + [("e", f"leaf{i}") for i in range(30)]
+    every = brute_paths(pairs, 12)
+    wanted = [("a", "d"), ("n1", "c"), ("n2", "e"), ("a", "a"), ("x1", "a"), ("a", "nowhere"), ("a", "d")]
+    made = []
+
+    def seen(df):
+        out = materialize(df)
+        if "goal" in out.columns and "used" in out.columns:
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(paths, "materialize", seen)
+    got = sorted(map(tuple, paths.paths_between(edges(spark, *pairs), spark.createDataFrame(wanted, "source string, target string")).collect()))
+    assert got == sorted(p for p in every if p[:2] in set(wanted)) and {p[:2] for p in got} == {("a", "d"), ("n1", "c"), ("n2", "e"), ("a", "a")}
+    # no round holds a path that cannot arrive
+    arrives = {(s, t) for s, t, _ in every}
+    rows = [r for df in made for r in df.collect()]
+    assert rows and all(r["at"] == r["goal"] or (r["at"], r["goal"]) in arrives for r in rows)
+    assert sorted(map(tuple, paths.reachable_paths(edges(spark, *pairs), "a", "e").collect())) == sorted(p for p in every if p[:2] == ("a", "e"))
+    assert sorted(map(tuple, paths.reachable_paths(edges(spark, *pairs), dst="c", max_depth=3).collect())) == sorted(
+        p for p in every if p[1] == "c" and p[2] <= 3)
+    assert paths.paths_between(edges(spark, *pairs), spark.createDataFrame([("x1", "a")], "source string, target string")).isEmpty()
+
+
+def test_hot_shares_follow_the_counts(spark):
+    many = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"), "id")
+    hot = hot_shares(many, "key")
+    assert list(hot) == ["hot"] and hot["hot"] >= 2
+    one = spark.createDataFrame([("hot", 1), ("k1", 2)], "key string, v int")
+    for how in ("inner", "left"):
+        a = sorted(map(str, salted_join(many, one, "key", F.col("id"), hot, how).select("key", "id", "v").collect()))
+        assert a == sorted(map(str, many.join(one, "key", how).select("key", "id", "v").collect()))
+
+
 def test_salted_join_keeps_everything(spark):
     many = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50))).alias("key"), "id")
     one = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "key string, v int")
