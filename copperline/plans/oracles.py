@@ -339,6 +339,10 @@ SQL: dict[str, str] = {
     "vector_topk_batch": f"""WITH q AS ({_means('label')}), s AS (SELECT CAST(q.label AS VARCHAR) AS query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v), 12) AS score
       FROM embeddings, q), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
       SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""",
+    "vector_topk_fiftieth": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      s AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, v.vec_id, round(list_cosine_similarity(v.e, q.e), 12) AS score FROM v, v q WHERE q.vec_id % 50 = 0),
+      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+      SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""",
     "embed_documents": f"""WITH e AS ({_bag('documents', 'doc_id', 'text')})
       SELECT doc_id, array_to_string(list_transform(v, lambda x: CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR)), ',') AS vector FROM e""",
     "doc_topk": f"""WITH {_Q}, dv AS ({_bag('documents', 'doc_id', 'text')}), qv AS ({_bag('questions', 'query_id', 'question')}),

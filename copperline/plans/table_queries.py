@@ -89,6 +89,14 @@ def vector_topk_batch(spark, sf):
     return best.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
+def vector_topk_fiftieth(spark, sf):
+    """Every fiftieth vector as a query against all."""
+    vectors = table(spark, sf, "embeddings")
+    queries = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    best = topk.vector_topk_batch(vectors, queries, 5)
+    return best.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
 def embed_documents(spark, sf):
     rows = vec.embed(spread(table(spark, sf, "documents").select("doc_id", "text")), "text")
     scaled = F.array_join(F.transform("embedding", lambda x: F.round(x * 1000000).cast("long").cast("string")), ",")
@@ -359,7 +367,7 @@ def constraint_violations(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    program_upsert, entity_upsert, edge_upsert, merge_versions, duplicate_keys, vector_topk, vector_topk_batch, embed_documents,
+    program_upsert, entity_upsert, edge_upsert, merge_versions, duplicate_keys, vector_topk, vector_topk_batch, vector_topk_fiftieth, embed_documents,
     doc_topk, context_segments, dependency_context, filled_prompts, markdown_segments, question_guard, list_rows, split_lines,
     normalized_lines, pic_types, pic_lengths, occurs_max, column_names, name_labels, sign_rows, combined_rows, compare_rows,
     value_texts, condition_chain, condition_chain_rows, blank_rows, literal_rows, arith_rows, expression_types, constraint_violations,
