@@ -129,10 +129,11 @@ def plain_decimal(d: Column) -> Column:
     return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
-def as_string(value: Column, comma: bool = False) -> Column:
-    """Text of a value; "1"/"0" for booleans, empty for null, HIGH and LOW."""
+def as_string(value: Column, comma: bool | Column = False) -> Column:
+    """Text of a value; "1"/"0" for booleans, empty for null, HIGH and LOW. ``comma`` writes a decimal comma."""
     number = plain_decimal(value["d"])
-    number = F.replace(number, F.lit("."), F.lit(",")) if comma else number
+    with_comma = F.replace(number, F.lit("."), F.lit(","))
+    number = F.when(comma, with_comma).otherwise(number) if isinstance(comma, Column) else with_comma if comma else number
     return (
         F.when(value["kind"] == "STRING", value["s"])
         .when(value["kind"] == "DECIMAL", number)

@@ -20,14 +20,17 @@ WORD = r"[a-z0-9]+"
 def bucket_counts(buckets: Column, dim: int) -> Column:
     """How often each of the values 0 to dim - 1 occurs in an array.
 
-    With every value and an end mark added once, the sorted array holds each value's run, and
-    a count is the distance between the starts of two runs.
+    With every value and an end mark added once, the sorted array holds each value's run. One pass finds
+    where runs start, and a count is the distance between two starts.
     """
     marks = F.sequence(F.lit(0), F.lit(dim))
-    return let(F.sort_array(F.concat(buckets, marks)), lambda runs: F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda d: (F.array_position(runs, d + 1) - F.array_position(runs, d) - 1).cast("double"),
-    ))
+
+    def starts(runs: Column) -> Column:
+        return F.filter(F.transform(runs, lambda x, i: F.when((i == 0) | (F.get(runs, i - 1) < x), i).otherwise(-1)), lambda i: i >= 0)
+
+    return let(F.sort_array(F.concat(buckets, marks)), lambda runs: let(starts(runs), lambda at: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (F.get(at, d + 1) - F.get(at, d) - 1).cast("double"),
+    )))
 
 
 def embed_question(text: str, dim: int = DEFAULT_DIM) -> list[float]:

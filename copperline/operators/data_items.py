@@ -111,13 +111,13 @@ def scan_entries(events: str) -> Column:
 
 
 def item_arrays(division_rows: DataFrame) -> DataFrame:
-    """path, program and ``entries``: the data entries of each unit in source order, with their context.
+    """path, program, decimal_comma and ``entries``: the data entries of each unit in source order, with their context.
 
     Copybooks have no division header; their items are taken too.
     """
     data = division_rows.where(F.col("division").isNull() | (F.col("division") == "DATA"))
-    events = data.select("path", "program", data_events("div_sents", "base").alias("events"))
-    return events.select("path", "program", scan_entries("events").alias("entries"))
+    events = data.select("path", "program", "decimal_comma", data_events("div_sents", "base").alias("events"))
+    return events.select("path", "program", "decimal_comma", scan_entries("events").alias("entries"))
 
 
 # the rest of a VALUE clause: literals and words up to the next clause
@@ -129,7 +129,7 @@ _VALUE = (
 
 def parse_items(entries: DataFrame) -> DataFrame:
     """Data item rows from ``entries`` arrays."""
-    rows = entries.select("path", "program", F.inline_outer("entries")).where(F.col("level").isNotNull())
+    rows = entries.select("path", "program", "decimal_comma", F.inline_outer("entries")).where(F.col("level").isNotNull())
     # clause keywords are looked for outside the quoted text
     text = F.col("text")
     bare = F.regexp_replace(text, r"""(["'])[^"']*\1""", "''")
@@ -157,7 +157,7 @@ def parse_items(entries: DataFrame) -> DataFrame:
         ).alias("renames_of"),
         clause(r"(?i)\s(?:THRU|THROUGH)\s+(\S+)").alias("renames_thru_any"),
         clause(r"(?i)\b(COMP(?:UTATIONAL)?(?:-[1-6X])?|BINARY|PACKED-DECIMAL)\b").alias("usage"),
-        "parent_no", "qpath", kind.alias("kind"), "has_children",
+        "parent_no", "qpath", kind.alias("kind"), "has_children", "decimal_comma",
     ).withColumn("renames_thru", F.when(F.col("kind") == "RENAME", F.col("renames_thru_any"))).drop("renames_thru_any")
 
 
@@ -177,7 +177,7 @@ def with_child_marks(entries: DataFrame) -> DataFrame:
         "has_children", F.coalesce(F.get(F.col("_tree"), i + 1)["parent_no"] == e["no"], F.lit(False))
     ))
     rest = F.transform(F.col("_rest"), lambda e: e.withField("has_children", F.lit(False)))
-    return split.select("path", "program", F.concat(tree, rest).alias("entries"))
+    return split.select("path", "program", "decimal_comma", F.concat(tree, rest).alias("entries"))
 
 
 def data_items(division_rows: DataFrame) -> DataFrame:

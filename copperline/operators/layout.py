@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from copperline.functions import naming, pictures as pic, values as val
-from copperline.functions.arrays import let
+from copperline.functions.arrays import let, scan_states, slice_array
 from copperline.operators import data_items as di, references
 from copperline.session import materialize
 
-_PENDING = "ARRAY<STRUCT<level: INT, ddl: STRING>>"
-
 
 def has_children(items: DataFrame) -> DataFrame:
     """Items with at least one child that is no condition."""
@@ -21,7 +19,7 @@ def layout_table(items: DataFrame) -> DataFrame:
     """One row per item: qualified path, type, lengths, largest repetition, default."""
     p = F.col("pic")
     kind = val.item_type(p, F.col("value_raw"), F.col("has_children"))
-    default = let(val.value_clause(F.col("value_raw")), lambda v: F.when(v.isNotNull(), val.as_string(v)))
+    default = let(val.value_clause(F.col("value_raw")), lambda v: F.when(v.isNotNull(), val.as_string(v, F.col("decimal_comma"))))
     return items.select(
         "path", "program", "item_no", "section", "fd_name", "level", "name", "qpath", "kind", "pic",
         kind.alias("type"), pic.pic_integer_len(p).alias("integer_len"), pic.pic_fraction_len(p).alias("fraction_len"),
@@ -60,8 +58,8 @@ _OCCURS = r"(?i)\sOCCURS\s+(\d+)(?:\s+TO\s+(\d+))?"
 def record_ddl(division_rows: DataFrame) -> DataFrame:
     """path, program, record_no, name and ``ddl`` of every record: a group is a struct, OCCURS an array.
 
-    Works on the item arrays before they are exploded: read backwards, the items after a
-    group with higher levels are its fields, so one fold per unit builds all records.
+    Works on the item arrays before they are exploded: one fold per unit writes the pieces of all records in order.
+    It carries the groups that are open, so its cost is linear in the items.
     """
     arrays = di.item_arrays(division_rows)
     wanted = F.filter("entries", lambda e: e["level"].between(1, 49) | (e["level"] == 77))
@@ -81,37 +79,56 @@ def record_ddl(division_rows: DataFrame) -> DataFrame:
             e["no"].alias("no"),
         )
 
-    prepared = arrays.select("path", "program", F.reverse(F.transform(wanted, part)).alias("_items"))
-
-    def fold(pending: Column, x: Column) -> Column:
-        # the leading entries with higher levels are the fields of this item
-        stop = F.array_position(F.transform(pending, lambda q: q["level"] <= x["level"]), True).cast("int")
-        n_fields = F.when(stop == 0, F.size(pending)).otherwise(stop - 1)
-        fields = F.slice(pending, 1, n_fields)
-        rest = F.slice(pending, n_fields + 1, F.size(pending))
-        own = F.when(n_fields > 0, F.concat(
-            F.lit("STRUCT<"), F.array_join(F.transform(fields, lambda q: q["ddl"]), ", "), F.lit(">")
-        )).otherwise(x["scalar"])
-        typed = F.when(x["repeats"], F.concat(F.lit("ARRAY<"), own, F.lit(">"))).otherwise(own)
-        ddl = F.concat(F.lit("`"), x["name"], F.lit("`: "), typed)
-        entry = F.array(F.struct(x["level"].alias("level"), ddl.alias("ddl")))
-        return F.concat(entry, rest).cast(_PENDING)
-
-    # fold each record on its own: cut the reversed items behind every level 1
-    folded = prepared.select("path", "program", "_items", F.filter(
-        F.transform("_items", lambda x, i: F.when(x["level"] == 1, i).otherwise(-1)), lambda i: i >= 0
-    ).alias("_ends"))
-    records = F.transform("_ends", lambda end, k: F.struct(
-        F.get("_items", end)["no"].alias("record_no"), F.get("_items", end)["name"].alias("name"),
-        F.element_at(F.aggregate(
-            F.slice("_items", F.coalesce(F.get("_ends", k - 1), F.lit(-1)) + 2, end - F.coalesce(F.get("_ends", k - 1), F.lit(-1))),
-            F.array().cast(_PENDING), fold,
-        ), 1)["ddl"].alias("_field"),
-    ))
-    return folded.select("path", "program", F.inline_outer(records)).where(F.col("record_no").isNotNull()).select(
-        "path", "program", "record_no", "name",
-        F.regexp_replace("_field", r"^`[^`]*`: ", "").alias("ddl"),
-    )
+    prepared = arrays.select("path", "program", F.transform(wanted, part).alias("_parts"))
+    # an item is a group if the next one lies deeper
+    items = prepared.select("path", "program", F.transform("_parts", lambda x, i: x.withField(
+        "opens", F.coalesce(F.get("_parts", i + 1)["level"] > x["level"], F.lit(False))
+    )).alias("_items"))
+    start = F.struct(
+        F.array().cast(_OPEN).alias("open"), F.lit(False).alias("opened"), *[F.lit(None).alias(c) for c in ("level", "no", "name", "text", "closers")],
+    ).cast(_STATE)
+    states = items.select("path", "program", scan_states(F.col("_items"), _STATE, start, _ddl_step).alias("_states"))
+    whole = states.select("path", "program", F.transform(
+        slice_array(F.col("_states"), lambda x: x["level"] == 1), lambda r: F.struct(
+            F.get(r["part"], F.lit(0))["no"].alias("record_no"), F.get(r["part"], F.lit(0))["name"].alias("name"),
+            F.concat(F.array_join(F.transform(r["part"], lambda x: x["text"]), ""), F.element_at(r["part"], -1)["closers"]).alias("ddl"),
+            F.get(r["part"], F.lit(0))["level"].alias("level"),
+        )
+    ).alias("_records"))
+    # items ahead of the first record belong to none
+    return whole.select("path", "program", F.inline_outer("_records")).where(F.col("level") == 1).drop("level")
+
+
+_OPEN = "ARRAY<STRUCT<level: INT, repeats: BOOLEAN>>"
+_STATE = (
+    f"STRUCT<open: {_OPEN}, opened: BOOLEAN, level: INT, no: INT, name: STRING, text: STRING, closers: STRING>"
+)
+
+
+def _closers(groups: Column) -> Column:
+    """What ends open groups, the innermost first."""
+    return F.array_join(F.transform(F.reverse(groups), lambda g: F.when(g["repeats"], ">>").otherwise(">")), "")
+
+
+def _ddl_step(prev: Column, x: Column) -> Column:
+    """The next piece of a record's DDL. Only the open groups are carried, at most one per level."""
+    first = x["level"] == 1
+
+    def with_open(still: Column) -> Column:
+        ended = F.when(first, "").otherwise(_closers(F.filter(prev["open"], lambda g: g["level"] >= x["level"])))
+        comma = F.when(first | prev["opened"], "").otherwise(", ")
+        named = F.when(first, "").otherwise(F.concat(F.lit("`"), x["name"], F.lit("`: ")))
+        body = (
+            F.when(x["opens"] & x["repeats"], "ARRAY<STRUCT<").when(x["opens"], "STRUCT<")
+            .when(x["repeats"], F.concat(F.lit("ARRAY<"), x["scalar"], F.lit(">"))).otherwise(x["scalar"])
+        )
+        mine = F.array(F.struct(x["level"].alias("level"), x["repeats"].alias("repeats")))
+        return let(F.when(x["opens"], F.concat(still, mine)).otherwise(still), lambda now: F.struct(
+            now.alias("open"), x["opens"].alias("opened"), x["level"].alias("level"), x["no"].alias("no"), x["name"].alias("name"),
+            F.concat(ended, comma, named, body).alias("text"), _closers(now).alias("closers"),
+        ).cast(_STATE))
+
+    return let(F.when(first, F.array().cast(_OPEN)).otherwise(F.filter(prev["open"], lambda g: g["level"] < x["level"])), with_open)
 
 
 def spark_schema(records: DataFrame, program: str, name: str) -> T.StructType:
@@ -152,6 +169,12 @@ def current_values(items: DataFrame, provided: DataFrame | None = None) -> DataF
     ).drop("_key", "_given", "_start")
 
 
+def item_texts(items: DataFrame, provided: DataFrame | None = None) -> DataFrame:
+    """path, program, item_no, name and ``text``, the current value as the program writes it: with its decimal comma or point."""
+    text = F.when(F.col("value").isNotNull(), val.as_string(F.col("value"), F.col("decimal_comma")))
+    return current_values(items, provided).select("path", "program", "item_no", "name", text.alias("text"))
+
+
 def condition_names(items: DataFrame, provided: DataFrame | None = None) -> DataFrame:
     """Level 88 names with ``holds``: whether their item has the condition's first value."""
     owners = current_values(items, provided).select("path", "program", F.col("item_no").alias("parent_no"), "value")

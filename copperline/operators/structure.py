@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copperline.functions import naming, source_text as st
-from copperline.functions.arrays import built_once, explode_slices, let
+from copperline.functions.arrays import built_once, explode_slices, let, slice_array
 
 # Division names and the one-word imperatives that are no paragraph headers.
 DIVISION_HEADER = r"(?i)^(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION\b"
@@ -25,6 +25,7 @@ ITEM = (
     r"|LEADING|TRAILING)\b[\s\S]*)?$"
 )
 PROGRAM_ID = r"(?i)^PROGRAM-ID\b"
+DECIMAL_COMMA = r"(?i)\bDECIMAL-POINT\s+(IS\s+)?COMMA\b"
 
 
 def with_code(sources: DataFrame, fmt: str | Column | None = None) -> DataFrame:
@@ -70,22 +71,22 @@ def _program_id(sents_name: str) -> Column:
 
 
 def units(sources: DataFrame, fmt: str | Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per program unit: path, file_name, ``keep``, base, unit_sents, program_id, unit_name, program."""
+    """One row per program unit: path, file_name, ``keep``, base, unit_sents, program_id, unit_name, decimal_comma, program."""
     cut = explode_slices(
         with_sentences(sources, fmt), "sents", is_unit_header,
         ["path", "file_name", *keep], absorb_lead=True, part="unit_sents",
     )
     named = cut.withColumn("program_id", _program_id("unit_sents")).withColumn(
         "unit_name", naming.unit_name(F.col("file_name"))
-    )
+    ).withColumn("decimal_comma", F.coalesce(F.exists("unit_sents", lambda s: s.rlike(DECIMAL_COMMA)), F.lit(False)))
     return named.withColumn("program", naming.program_name(F.col("program_id"), F.col("unit_name")))
 
 
 def divisions(unit_rows: DataFrame) -> DataFrame:
-    """One row per division: path, program, unit_base, division, base, sents."""
+    """One row per division: path, program, unit_base, decimal_comma, division, base, sents."""
     cut = explode_slices(
         unit_rows.withColumn("unit_base", F.col("base")), "unit_sents",
-        is_division_header, ["path", "program", "unit_base"], F.col("base"), part="div_sents",
+        is_division_header, ["path", "program", "unit_base", "decimal_comma"], F.col("base"), part="div_sents",
     )
     name = F.upper(F.nullif(F.regexp_extract(F.get("div_sents", F.lit(0)), DIVISION_HEADER, 1), F.lit("")))
     return cut.withColumn("division", F.when(name == "ID", "IDENTIFICATION").otherwise(name))
@@ -164,7 +165,7 @@ def headers(sentence_rows: DataFrame, kind: str | None = None) -> DataFrame:
 def decimal_comma_programs(sentence_rows: DataFrame) -> DataFrame:
     """Programs whose numbers are written with a decimal comma."""
     return sentence_rows.where(
-        (F.col("division") == "ENVIRONMENT") & F.col("text").rlike(r"(?i)\bDECIMAL-POINT\s+(IS\s+)?COMMA\b")
+        (F.col("division") == "ENVIRONMENT") & F.col("text").rlike(DECIMAL_COMMA)
     ).select("path", "program").distinct()
 
 
@@ -185,21 +186,21 @@ def _starts_fact(sentence: Column) -> Column:
 
 
 def identification_facts(division_rows: DataFrame) -> DataFrame:
-    """Comment entries of the identification division, one column each.
+    """Comment entries of the identification division, one column each; all from the division's own row.
 
-    The entry of a paragraph is all text up to the next identification paragraph.
+    The entry of a paragraph is all text up to the next identification paragraph; of two entries of
+    one name the greater counts.
     """
-    facts = explode_slices(
-        division_rows.where(F.col("division") == "IDENTIFICATION"), "div_sents",
-        _starts_fact, ["path", "program"], F.col("base"), part="fact",
-    )
-    head = F.get("fact", F.lit(0))
-    rows = facts.select(
-        "path", "program",
-        F.upper(F.regexp_extract(head, rf"(?i)^({_FACT_NAMES})\b", 1)).alias("name"),
-        F.trim(F.regexp_replace(F.array_join("fact", ". "), rf"(?i)^({_FACT_NAMES})\s*\.?\s*", "")).alias("entry"),
+    cut = division_rows.where(F.col("division") == "IDENTIFICATION").select(
+        "path", "program", slice_array(F.col("div_sents"), _starts_fact).alias("_facts")
     )
-    return rows.groupBy("path", "program").agg(*[
-        F.max(F.when(F.col("name") == n, F.col("entry"))).alias(n.lower().replace("-", "_"))
-        for n in IDENTIFICATION_PARAGRAPHS
-    ])
+    head = rf"(?i)^({_FACT_NAMES})\b"
+    named = cut.select("path", "program", F.transform("_facts", lambda f: F.struct(
+        F.upper(F.regexp_extract(F.get(f["part"], F.lit(0)), head, 1)).alias("name"),
+        F.trim(F.regexp_replace(F.array_join(f["part"], ". "), rf"{head}\s*\.?\s*", "")).alias("entry"),
+    )).alias("_named"))
+
+    def entry(fact: str) -> Column:
+        return F.array_max(F.transform(F.filter("_named", lambda f: f["name"] == fact), lambda f: f["entry"]))
+
+    return named.select("path", "program", *[entry(n).alias(n.lower().replace("-", "_")) for n in IDENTIFICATION_PARAGRAPHS])
