@@ -203,11 +203,6 @@ def flat_statements(stmts: DataFrame) -> DataFrame:
     return stmts.where(F.col("depth") == 0)
 
 
-def statements_in(stmts: DataFrame, scope: str) -> DataFrame:
-    """Statements of one scope: division, section or paragraph."""
-    return stmts.where(F.col("scope") == scope)
-
-
 def statement_census(stmts: DataFrame, nested: bool = True) -> DataFrame:
     """Statements per program and verb."""
     rows = stmts if nested else flat_statements(stmts)

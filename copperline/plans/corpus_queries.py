@@ -12,7 +12,7 @@ from copperline.operators import (
 )
 from copperline.operators.skew import spread
 from copperline.plans import ingest as plan
-from copperline.sources import collections, files
+from copperline.sources import collections, files, snapshots
 from copperline.session import materialize, scratch_dir
 from copperline.sources.synthetic import corpus_from_parts
 from copperline.streaming import incremental
@@ -130,7 +130,7 @@ def section_headers(spark, sf):
 
 
 def identification(spark, sf):
-    return structure.identification_facts(_divisions(spark, sf)).select("program", "author", "remarks")
+    return structure.identification_facts(_divisions(spark, sf)).drop("path")
 
 
 def layout_paths(spark, sf):
@@ -429,7 +429,7 @@ def stream_calls(spark, sf):
     """CALL edges of a stream of programs, taken in by micro-batches and merged by key."""
     root = f"{scratch_dir(spark)}/copperline-stream-{uuid.uuid4().hex}"
     schema = parts(spark, sf).schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf}/part*.parquet")
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/part[.]parquet")  # a stream wants a pattern or a folder
 
     def take(batch, batch_id):
         found = calls.extract_calls(structure.sections(structure.divisions(structure.units(corpus_from_parts(spread(batch))))))
@@ -462,6 +462,41 @@ def ingest_entities(spark, sf):
     return _ingested(spark, sf)["entities"].select("id", "program", "name", "type", "section", "description")
 
 
+def ingest_copybooks(spark, sf):
+    """Entities after the whole job with copybooks: eight files of items, each program copying one by its file's name."""
+    root = f"{scratch_dir(spark)}/copperline-job-{uuid.uuid4().hex}"
+    paths = [f"{root}/books/PBOOK{i}.cpy" for i in range(8)]
+    for i, path in enumerate(paths):
+        fs, target = files._hadoop_path(spark, path)
+        out = fs.create(target)
+        out.write(bytearray(f"       01  BOOK-{i}.\n           05 CODE-{i} PIC 9(5).\n".encode()))
+        out.close()
+    k = F.col("p_partkey")
+    rows = parts(spark, sf)
+    program = F.concat(
+        F.lit("       IDENTIFICATION DIVISION.\n       PROGRAM-ID. Q"), k.cast("string"),
+        F.lit(".\n       DATA DIVISION.\n       WORKING-STORAGE SECTION.\n       COPY PBOOK"), (k % 8).cast("string"),
+        F.lit(".\n       01  OWN-ITEM PIC X.\n       PROCEDURE DIVISION.\n       ONLY.\n           GOBACK."),
+    )
+    rows.select(program).write.option("maxRecordsPerFile", 200).text(f"{root}/sources")
+    done = plan.ingest(spark, f"{root}/sources", f"{root}/tables", copybook_files=paths, fmt="VARIABLE", exts=("txt",))
+    return done["entities"].select("id", "program", "name", "type")
+
+
+def publish_audit(spark, sf):
+    """Programs of a published graph. A first write with a repeated key is refused, and readers see nothing of it."""
+    root = f"{scratch_dir(spark)}/copperline-job-{uuid.uuid4().hex}"
+    good = _known_programs(spark, sf)
+    try:
+        graph.write_graph({"programs": good.unionByName(good.orderBy("name").limit(1))}, root)
+        refused = False
+    except ValueError:
+        refused = True
+    before = len(snapshots.versions(spark, root))
+    graph.write_graph({"programs": good}, root)
+    return graph.read_graph(spark, root, ["programs"])["programs"].select("name", F.lit(refused).alias("refused"), F.lit(before).alias("seen_before"))
+
+
 def incremental_calls(spark, sf):
     """CALL edges after two runs of the incremental job, with new files in between."""
     root = f"{scratch_dir(spark)}/copperline-job-{uuid.uuid4().hex}"
@@ -521,5 +556,5 @@ QUERIES = {f.__name__: f for f in (
     file_usage, file_control, control_flow, moves, exec_sql, file_lineage, uncovered_verbs, rule_choice, line_format,
     copybook_flag, rejects, code_lines, copybook_expansion, copy_edges, edge_build, program_stubs, callees,
     relationship_counts, ordered_programs, first_edge, call_paths, long_paths, cycle_paths, paths_between, reachable, param_query, doc_meta,
-    stream_calls, ingest_calls, ingest_entities, incremental_calls, incremental_tables, collection_upsert,
+    stream_calls, ingest_calls, ingest_entities, ingest_copybooks, publish_audit, incremental_calls, incremental_tables, collection_upsert,
 )}

@@ -219,7 +219,8 @@ SQL: dict[str, str] = {
       UNION ALL SELECT p, 'DATA', 'FILE' FROM corpus WHERE k % 5 = 0
       UNION ALL SELECT p, 'ENVIRONMENT', 'INPUT-OUTPUT' FROM corpus WHERE k % 5 = 0
       UNION ALL SELECT p, 'PROCEDURE', 'MAIN-LOGIC' FROM corpus WHERE k % 2 = 0""",
-    "identification": f"WITH {_P} SELECT p AS program, b AS author, CAST(NULL AS VARCHAR) AS remarks FROM corpus",
+    "identification": f"WITH {_P} SELECT p AS program, b AS author, " + ", ".join(f"CAST(NULL AS VARCHAR) AS {n}" for n in (
+        "installation", "date_written", "date_compiled", "security", "remarks")) + " FROM corpus",
     "layout_paths": f"""WITH {_ITEMS}, t AS (SELECT i.*, c.s, CASE WHEN pic IS NULL THEN CASE WHEN i.kind = 'GROUP' THEN 'GROUP' WHEN i.kind = 'CONDITION' THEN 'STRING' END
         ELSE {_TYPE} END AS type FROM items i JOIN corpus c USING (k)),
       w AS (SELECT *, {_PARTS} FROM t), l AS (SELECT *, {_ILEN} AS ilen, {_FLEN} AS flen, {_SLEN} AS slen FROM w)
@@ -317,6 +318,9 @@ SQL: dict[str, str] = {
     "stream_calls": f"WITH {_EDGES} SELECT * FROM edges",
     "collection_upsert": """SELECT 'P' || p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'size ' || p_size ELSE p_brand END AS document,
       CASE WHEN p_size % 2 = 0 THEN '2' ELSE '1' END AS load FROM part""",
+    "publish_audit": "SELECT 'P' || p_partkey AS name, true AS refused, 0 AS seen_before FROM part WHERE p_size >= 20",
+    "ingest_copybooks": """SELECT 'Q' || k || ':' || name AS id, 'Q' || k AS program, name, type FROM (SELECT p_partkey AS k, p_partkey % 8 AS b FROM part),
+      LATERAL (VALUES ('BOOK-' || b, 'VARIABLE'), ('CODE-' || b, 'VARIABLE'), ('OWN-ITEM', 'VARIABLE'), ('WORKING-STORAGE SECTION', 'SECTION'), ('ONLY', 'PARAGRAPH')) AS t(name, type)""",
     "ingest_calls": f"WITH {_EDGES} SELECT * FROM edges",
     "incremental_calls": f"WITH {_EDGES} SELECT * FROM edges",
     "incremental_tables": f"""
@@ -354,7 +358,7 @@ SQL: dict[str, str] = {
       SELECT query_id, {_quote(_HEAD)} || context || {_quote(_MIDDLE)} || deps || {_quote(_BEFORE)} || question || {_quote(_TAIL)} AS prompt FROM g JOIN questions USING (query_id)
       UNION ALL SELECT '3', {_quote(prompts.EMPTY_QUESTION_HINT)}""",
     "markdown_segments": """SELECT doc_id, '**Source**: ' || source || chr(10) || '**Type**: null' || chr(10) || '**Code**:' || chr(10) || '```' || chr(10) || text || chr(10) || '```' AS segment FROM documents""",
-    "question_guard": rf"""SELECT conv_id, turn, CASE WHEN role = 'user' AND NOT regexp_full_match(text, '[\x00-\x20]*') THEN text ELSE {_quote(prompts.EMPTY_QUESTION_HINT)} END AS question FROM conversations""",
+    "question_guard": rf"""SELECT conv_id, turn, CASE WHEN NOT regexp_full_match(text, '[\x00-\x20]*') THEN text ELSE {_quote(prompts.EMPTY_QUESTION_HINT)} END AS question FROM conversations""",
     "list_rows": f"WITH {_LINES} SELECT doc_id || '_' || line_no AS id, raw AS document, CAST(line_no AS VARCHAR) AS line FROM lines",
     "split_lines": f"WITH {_LINES} SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line_no AS INT) AS line_no, raw FROM lines",
     "normalized_lines": f"""WITH {_LINES} SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line_no AS INT) AS line_no, substr(raw, 1, 6) AS seq, substr(raw, 7, 1) AS indicator,
@@ -415,3 +419,5 @@ SQL: dict[str, str] = {
       UNION ALL SELECT c_custkey, 'c_nationkey', 'digits<=1.0', CAST(c_nationkey AS VARCHAR) FROM c WHERE c_nationkey >= 10
       UNION ALL SELECT c_custkey, 'c_mktsegment', 'size<=9', c_mktsegment FROM c WHERE length(c_mktsegment) > 9""",
 }
+
+SQL["collection_query"] = SQL["doc_topk"]

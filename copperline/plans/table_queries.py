@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from copperline.functions import naming, pictures as pic, prompts, source_text as st, values as val, vectors as vec
@@ -9,6 +11,7 @@ from copperline.operators import graph, layout, topk
 from copperline.operators.skew import spread
 from copperline.plans import ask
 from copperline.plans.corpus_queries import part_edges
+from copperline.session import materialize
 from copperline.sources import collections as coll, files
 
 QUESTIONS = [
@@ -123,6 +126,20 @@ def doc_topk(spark, sf):
     return best.select("id", F.round("score", 6).alias("score"), F.length("document").alias("n"))
 
 
+def collection_query(spark, sf):
+    """The five rows of a collection of all documents that are nearest to a question; the collection embeds both."""
+    name = f"c{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents")
+    coll.create_collection(spark, name)
+    coll.add_embeddings(spark, name, docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"),
+    ))
+    found = coll.query_embeddings(spark, name, QUESTIONS[0][1], 5)
+    rows = materialize(found.select("id", F.round("score", 6).alias("score"), F.length("document").alias("n")))
+    coll.drop_collection(spark, name)
+    return rows
+
+
 def _retrieved(spark, sf):
     return ask.retrieve(_document_vectors(spark, sf), part_edges(spark, sf), _questions(spark))
 
@@ -146,9 +163,7 @@ def markdown_segments(spark, sf):
 
 
 def question_guard(spark, sf):
-    return table(spark, sf, "conversations").select(
-        "conv_id", "turn", prompts.question_or_hint(F.when(F.col("role") == "user", F.col("text"))).alias("question")
-    )
+    return table(spark, sf, "conversations").select("conv_id", "turn", prompts.question_or_hint(F.col("text")).alias("question"))
 
 
 def list_rows(spark, sf):
@@ -368,7 +383,7 @@ def constraint_violations(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     program_upsert, entity_upsert, edge_upsert, merge_versions, duplicate_keys, vector_topk, vector_topk_batch, vector_topk_fiftieth, embed_documents,
-    doc_topk, context_segments, dependency_context, filled_prompts, markdown_segments, question_guard, list_rows, split_lines,
+    doc_topk, collection_query, context_segments, dependency_context, filled_prompts, markdown_segments, question_guard, list_rows, split_lines,
     normalized_lines, pic_types, pic_lengths, occurs_max, column_names, name_labels, sign_rows, combined_rows, compare_rows,
     value_texts, condition_chain, condition_chain_rows, blank_rows, literal_rows, arith_rows, expression_types, constraint_violations,
 )}
