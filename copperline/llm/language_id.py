@@ -13,7 +13,7 @@ there is no labelled row; copies and repeated rows are predicted alike; other co
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -102,6 +102,15 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray
     temperature: float
+    #: Scores of the calibration rows whose language was named right, in order.
+    reached: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def score_reached_by(self, share: float) -> float:
+        """The score that this share of the known rows set aside for calibration reaches; 0 if there are none.
+
+        A text below it looks less like any learnt language than nearly all texts known to be in one.
+        """
+        return float(self.reached[int((1 - share) * len(self.reached))]) if len(self.reached) else 0.0
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = grams(text) if isinstance(text, str) and self.classes else None
@@ -198,10 +207,10 @@ def fit(
             yield pd.DataFrame({"logits": out, "label": labels})
 
     held = rows.where(F.col("shard") == shards).mapInPandas(scored, "logits array<double>, label int").collect()
-    temperature = fit_temperature(
-        np.array([r["logits"] for r in held]).reshape(-1, len(classes)), np.array([r["label"] for r in held], int)
-    )
-    return Model(classes, idf, weights, temperature)
+    logits, labels = np.array([r["logits"] for r in held]).reshape(-1, len(classes)), np.array([r["label"] for r in held], int)
+    temperature = fit_temperature(logits, labels)
+    p = _softmax(logits / temperature) if len(labels) else logits
+    return Model(classes, idf, weights, temperature, np.sort(p.max(axis=1)[p.argmax(axis=1) == labels]) if len(labels) else np.zeros(0))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
