@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from itertools import combinations, product
 
 import pytest
@@ -93,6 +94,47 @@ def test_extraction(spark):
     assert html_extraction.main_text("<article>" + "<p>word</p>" * 20_000 + "</article>").count("word") == 20_000
 
 
+def test_extraction_loses_no_text_of_the_article():
+    whole = "One two three four five six seven eight nine ten."
+    text = html_extraction.main_text
+    assert text(f"<body class='home with-sidebar'><p>{whole}</p></body>") == whole
+    assert text(f"<body class='has-comments single-post'><div class='no-sidebar content'><p>{whole}</p></div></body>") == whole
+    assert text("<article class='post share'><p>One two three.</p></article>") == "One two three."
+    assert text("<article><section class='legal'><p>The law says this.</p></section><figure><figcaption>A caption</figcaption></figure></article>"
+                ) == "The law says this.\nA caption"
+    # a quote is one only behind an equals sign; one that never ends is read as far as it goes
+    assert text("<article><p class=it's>One.</p><p>Two it's.</p><p>Three.</p></article>") == "One.\nTwo it's.\nThree."
+    assert text(f'<article><p class="abc>{whole}</p></article>') == whole
+    assert text("<article><p title='a > b' data-x=\"<p>\">One.</p></article>") == "One."
+    assert text("<article><p>a <math><mi>x</mi></math> b</p><p><object>fallback</object> text</p></article>") == "a x b\nfallback text"
+    # and keeps out what does not belong to it
+    for name in ("ad", "sidebar-left", "site-footer", "comments", "cookie_notice"):
+        assert text(f"<article><p>{whole}</p></article><div class='{name}'><p>{whole}</p></div>") == whole
+        assert text(f"<div id={name}><p>{whole}</p></div><article><p>{whole}</p></article>") == whole
+    assert text(f"<div class=legal><p>{whole}</p></div><article><p>{whole}</p></article>") == whole
+    assert text(f"<article><p style='display: none'>No.</p><p hidden>No.</p><p aria-hidden=true>No.</p><p class=hidden-gem>{whole}</p></article>") == whole
+
+
+def test_extraction_takes_linear_time():
+    rng = random.Random(5)
+
+    def alternating(n):
+        return "<body>" + "".join(f"<p>{'word ' * rng.randrange(1, 30)}</p>" if i % 2 else "<p>ab</p>" for i in range(n))
+
+    pages = {
+        "blocks": (alternating, 12_500), "equal": (lambda n: "<p>word word word word word word word word</p>" * n, 12_500),
+        "levels": (lambda n: "<div>some words " * n, 10_000), "unclosed": (lambda n: "<div><p>x</b></i></zz><span hidden>" * n, 10_000),
+        "links": (lambda n: "<a><p>x" * n, 10_000), "quotes": (lambda n: "<p a=\"x' b='y\" c=it's>t" * n, 10_000),
+    }
+    for kind, (page, n) in pages.items():
+        times = []
+        for size in (n, 4 * n):
+            start = time.process_time()
+            html_extraction.main_text(page(size))
+            times.append(time.process_time() - start)
+        assert times[1] < 10 * times[0] + 0.2, (kind, times)
+
+
 def test_chat_round_trip():
     rng = random.Random(6)
     for _ in range(2000):
