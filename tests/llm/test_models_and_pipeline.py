@@ -3,8 +3,11 @@
 import glob
 import math
 import random
+import time
+from itertools import combinations, product
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,7 +85,9 @@ def test_url_rules(spark):
             for i in range(400) for h, p in [(rng.choice(["spam", "fine"]), rng.choice(["win", "news"]))]]
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
     rules = url_filters.mine(labelled, min_support=0.05)
-    assert [r["antecedent"] for r in rules.collect()] == [["d:spam.org", "p:win"], ["h:spam", "p:win"]] or rules.count() >= 1
+    # the domain and its label are held by the same URLs: one item with two names
+    assert [(r["antecedent"], r["members"], r["confidence"]) for r in rules.collect()] == [
+        (["d:spam.org", "p:win"], [["d:spam.org", "h:spam"], ["p:win"]], 1.0)]
     pages = spark.createDataFrame(
         [(1, "https://x.spam.org/win/9"), (2, "https://x.spam.org/news/9"), (3, None), (4, "nothing"), (5, "http://WWW.a.example.com/en/?q=1#x"),
          (6, "http://b.example.com/en/"), (7, "http://b.example.com/fr/"), (8, "http://q.net/es/1"), (9, "http://notexample.com/en/"), (1, "https://x.spam.org/win/9")],
@@ -99,6 +104,66 @@ def test_url_rules(spark):
     assert url_filters.judge(pages, [], empty).where("verdict = 'block'").isEmpty()
 
 
+def rules_by_all_subsets(rows, support, gain, lift, deviations):
+    """{tokens: confidence} of the rules, from every combination of tokens."""
+    total, base = len(rows), sum(bad for _, bad in rows) / len(rows)
+    sets = {s for items, _ in rows for n in range(1, len(items) + 1) for s in combinations(sorted(items), n)}
+    found = {}
+    for s in sets:
+        held = [bad for items, bad in rows if set(s) <= items]
+        share = sum(held) / len(held)
+        z2, n = deviations ** 2, len(held)
+        low = (share + z2 / (2 * n) - deviations * math.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+        if sum(held) >= support * total and share >= max(base + gain * (1 - base), lift * base) and low >= lift * base:
+            found[s] = share
+    return {s: c for s, c in found.items() if not any(found.get(tuple(x for x in s if x != t), -1) >= c for t in s)}
+
+
+def test_url_rules_equal_all_subsets(spark):
+    rng = random.Random(12)
+    words = ["win", "news", "en", "pills"]
+    urls = [f"http://{rng.choice(['a', 'b'])}.{rng.choice(['spam', 'fine', 'pills'])}.org/{'/'.join(rng.choice(words) for _ in range(rng.randrange(5)))}?{rng.choice(['q=1', 'id=2'])}"
+            for _ in range(500)]
+    rows = [(u, rng.random() < (0.9 if "spam" in u and "/win" in u else 0.8 if "pills.org" in u and "/en" in u else 0.05)) for u in urls]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    tokened = labelled.select("url", url_filters.tokens(F.col("url")).alias("t")).collect()
+    items = {r["url"]: frozenset(r["t"]) for r in tokened}
+    # segments of any depth are tokens
+    assert max(sum(t.startswith("p:") for t in x) for x in items.values()) == 4
+    expected = rules_by_all_subsets([(items[u], bad) for u, bad in rows], 0.02, 0.5, 1.5, 5.0)
+    rules = url_filters.mine(labelled, min_support=0.02).collect()
+    expanded = {tuple(sorted(x)): r["confidence"] for r in rules for x in product(*r["members"])}
+    assert len(expected) > 3 and expanded == pytest.approx(expected)
+    found = {r["url"] for r in url_filters.blocked(labelled, spark.createDataFrame(rules, url_filters.MINED)).collect()}
+    assert found == {u for u in urls if any(set(s) <= items[u] for s in expected)}
+    # with labels that say nothing no rule is found
+    noise = spark.createDataFrame([(u, rng.random() < 0.15) for u in urls], "url string, bad boolean")
+    assert url_filters.mine(noise).isEmpty()
+
+
+def test_tokens_of_one_deep_host_are_one_item(spark):
+    deep = ".".join(f"l{i}" for i in range(30))
+    rows = [(f"http://{deep}.spam.org/{i}", True) for i in range(40)] + [(f"http://www.fine.org/{i}", False) for i in range(200)]
+    start = time.monotonic()
+    rules = url_filters.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert time.monotonic() - start < 60
+    assert len(rules) == 1 and len(rules[0]["members"][0]) == 32
+
+
+def test_url_columns_with_clashing_names_come_back(spark):
+    rows = spark.createDataFrame([(1, "http://q.net/es/1", "mine", "x", 2)], "page_id long, `u.rl` string, Host string, key string, `hit_url` int")
+    out = url_filters.judge(rows, registry.CURATED, spark.createDataFrame([], url_filters.MINED), url_col="u.rl")
+    assert out.columns == ["page_id", "u.rl", "key", "hit_url", "host", "path", "rule", "mined", "verdict"]
+    row = out.first().asDict()
+    assert (row["key"], row["hit_url"], row["host"], row["verdict"]) == ("x", 2, "q.net", "block")
+
+
+def test_language_bar_comes_from_the_calibration_rows():
+    model = language_id.Model(["a"], None, None, 1.0, np.arange(1000) / 1000)
+    assert model.score_reached_by(0.995) == 0.005 and model.score_reached_by(1.0) == 0.0
+    assert language_id.Model([], None, None, 1.0).score_reached_by(0.9) == 0.0
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
