@@ -9,7 +9,8 @@ and as a stream: it holds one turn and two running digests, whatever a conversat
 Template: ``<turn ROLE>`` line, content, ``</turn>`` line. Escapes, everywhere: ``\\`` before ``\\``,
 ``<`` and ``>``, and ``\\n`` for a line break in a role; so no text can form a control string.
 
-Defined cases: a null text or role is empty; a turn without parts is an empty turn; equal turn
+Defined cases: a null text or role is empty; a part of an unknown kind is a placeholder ``other`` without tokens; unknown
+and negative sizes count as none; a placeholder in a turn under the loss mask is under it like its text; a turn without parts is an empty turn; equal turn
 numbers are ordered by role and text, so repeated rows are repeated turns; rows with a null
 conv_id form one conversation, null turn numbers come first; other columns are kept by
 ``format_turns``, and of columns named like the added ones the added ones win.
@@ -25,6 +26,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from copperline.llm.columns import by_place
+
 PART = "kind string, text string, ref string, width int, height int, seconds double, pages int"
 #: Tokens a placeholder expands to: image tiles of that many pixels, tokens a second, tokens a page.
 IMAGE_TILE, AUDIO_PER_SECOND, DOCUMENT_PER_PAGE = 28, 25, 600
@@ -66,7 +69,9 @@ class Flattener:
         kind = part.get("kind") or "text"
         method = getattr(self, f"visit_{kind}", None)
         if method is None:
-            raise ValueError(f"unknown kind of part: {kind!r}")
+            # nothing is known of its size: it stands as a placeholder of its own kind without tokens
+            self._attach("other", part, 0)
+            return
         method(part)
 
     def visit_text(self, part: dict) -> None:
@@ -89,7 +94,8 @@ class Flattener:
 
 
 def _number(value) -> float:
-    return 0 if value is None or value != value else value
+    """A size; unknown and negative ones count as none."""
+    return 0 if value is None or value != value else max(value, 0)
 
 
 def format_turn(role: str | None, parts: list[dict] | None) -> tuple:
@@ -124,6 +130,7 @@ def text_part(text: Column) -> Column:
     ))
 
 
+@by_place("formatted", "loss_start", "loss_end", "attachments", "expanded_tokens")
 def format_turns(turns: DataFrame, role_col: str = "role", parts_col: str = "parts") -> DataFrame:
     """``turns`` with the columns of ``FORMATTED``. Works on each row alone."""
     @F.pandas_udf(FORMATTED)
@@ -134,8 +141,7 @@ def format_turns(turns: DataFrame, role_col: str = "role", parts_col: str = "par
     def plain(parts: Column) -> Column:  # lists of structs reach the function as lists of dictionaries
         return parts.cast(f"array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>")
 
-    kept = [c for c in turns.columns if c not in FORMATTED.fieldNames()]
-    return turns.select(*kept, formatted(F.col(role_col), plain(F.col(parts_col))).alias("_f")).select(*kept, "_f.*")
+    return turns.withColumn("f", formatted(F.col(role_col), plain(F.col(parts_col)))).select(*turns.columns, "f.*")
 
 
 def read_back(formatted: DataFrame, order: list[str], id_col: str = "conv_id") -> DataFrame:

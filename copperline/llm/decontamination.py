@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from copperline.functions.arrays import let
+from copperline.llm.columns import by_place
 from copperline.llm.text import BETWEEN_WORDS, lower_ascii, plain_words, text_key
 
 WIDTH = 13
@@ -164,6 +165,7 @@ def verdicts(found: DataFrame, min_share: float = 0.05) -> DataFrame:
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * scale >= F.col("n_words")))
 
 
+@by_place()
 def remove_documents(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_share: float = 0.05, id_col: str = "doc_id",
     text_col: str = "text",
@@ -176,6 +178,7 @@ def remove_documents(
     return docs.join(bad, same, "left_anti")
 
 
+@by_place()
 def remove_spans(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from copperline.llm.columns import by_place
 from copperline.session import materialize
 
 BUCKETS = 1 << 14
@@ -213,16 +214,14 @@ def fit(
     return Model(classes, idf, weights, temperature, np.sort(p.max(axis=1)[p.argmax(axis=1) == labels]) if len(labels) else np.zeros(0))
 
 
+@by_place("lang_pred", "score")
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; columns of these names are replaced."""
+    """``docs`` with lang_pred and score; columns of these names, in any case, are replaced."""
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, predicted(F.col(text_col)).alias("_lid")).select(
-        *kept, F.col("_lid.lang_pred").alias("lang_pred"), F.col("_lid.score").alias("score")
-    )
+    return docs.withColumn("lid", predicted(F.col(text_col))).select(*docs.columns, "lid.lang_pred", "lid.score")
 
 
 def keep_languages(

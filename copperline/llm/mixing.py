@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from copperline.llm.columns import by_place
+
 SEED = 42
 #: A Poisson mean beyond this is the sum of equal parts below it, each with a uniform number of its own.
 PART = 16.0
@@ -63,6 +65,7 @@ def rates(
     return weighed.select("source", (share * float(rows if total is None else total) / F.col("n")).alias("rate")), sums["sources"]
 
 
+@by_place(*ADDED)
 def mix(
     docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, default: float = 0.0,
     total: int | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
@@ -74,8 +77,7 @@ def mix(
     table = table.select(F.col("source").alias("_mix_source"), parts.alias("_parts"), (F.col("rate") / parts).alias("_mean"))
     table = table.select("_mix_source", "_parts", poisson_steps(F.col("_mean")).alias("_steps"))
     same = F.col(source_col).eqNullSafe(F.col("_mix_source"))
-    kept = [c for c in docs.columns if c not in ADDED]
-    base = docs.select(*kept)
+    base = docs
     if n_sources <= BROADCAST_SOURCES:
         rated = base.join(F.broadcast(table), same)
     else:
@@ -96,5 +98,5 @@ def mix(
         "copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))
     )
     key = F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(seed)), "_name", "copy"))
-    shuffled = counted.withColumn("shuffle_key", key).select(*kept, *ADDED)
-    return shuffled.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    shuffled = counted.withColumn("shuffle_key", key)
+    return shuffled.select(*docs.columns, *ADDED).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

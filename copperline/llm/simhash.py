@@ -25,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from copperline.llm.columns import by_place
 from copperline.llm.text import text_key
 from copperline.session import materialize
 
@@ -193,7 +194,9 @@ def near_duplicates(
     rows = materialize(fingerprints(docs, shingle, id_col, text_col))
     # copies meet here: partial results per task, one row per fingerprint after the shuffle
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = components(links(nodes.select("fp"), max_bits, bucket)).withColumnRenamed("node", "fp")
+    # the index makes dozens of keys from each: few large files would leave that to few tasks
+    spread = nodes.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    linked = components(links(spread, max_bits, bucket)).withColumnRenamed("node", "fp")
     placed = nodes.join(linked, "fp", "left")
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("first_id").alias("smallest"))
     groups = placed.join(smallest, "root", "left").select(
@@ -202,6 +205,7 @@ def near_duplicates(
     return rows.join(groups, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
+@by_place()
 def keep_one(
     docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket: int = BUCKET, id_col: str = "doc_id",
     text_col: str = "text",

@@ -20,6 +20,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from copperline.llm.columns import by_place
+
 LIMIT = 512
 #: Counts of pieces a worker remembers before it starts anew; results do not depend on it.
 REMEMBERED = 800_000
@@ -132,6 +134,7 @@ def counts_of(path: str) -> Counts:
     return _loaded[path]
 
 
+@by_place("n_bytes", "n_tokens", "over_limit")
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, text_col: str = "text") -> DataFrame:
     """``docs`` with n_bytes, n_tokens and over_limit; columns of these names are replaced."""
     @F.pandas_udf(T.LongType())
@@ -139,8 +142,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, text_col:
         counts = counts_of(vocabulary)
         return pd.Series([counts.of_text(t) if isinstance(t, str) else 0 for t in texts], dtype="int64")
 
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     return docs.select(
-        *kept, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
+        *docs.columns, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
         tokens(F.col(text_col)).alias("n_tokens"),
     ).withColumn("over_limit", F.col("n_tokens") > limit)
