@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 _SALTS = 32
+#: Rows of one key that are no load for a task; changes plans only.
+LEAST_SHARE = 10_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -27,15 +29,18 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> list[str]:
     return [r[key] for r in counts.where((F.col("n") > limit) & F.col(key).isNotNull()).select(key).collect()]
 
 
-def hot_shares(df: DataFrame, key: str) -> dict[str, int]:
+def hot_shares(df: DataFrame, key: str, least: int = LEAST_SHARE) -> dict[str, int]:
     """Keys that hold more than one partition's share of the rows, with how many shares they hold.
 
-    Both grow with the job: there are at most as many such keys as shuffle partitions. One counting pass, combined
-    before the shuffle; read ``df`` from a table.
+    Both grow with the job: there are at most as many such keys as shuffle partitions. A share is ``least`` rows or
+    more, which a task joins at once anyway. One counting pass, combined before the shuffle; read ``df`` from a table.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = df.count()
+    share = max(-(-total // partitions), least)
+    if total <= share:
+        return {}
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    share = max(-(-df.count() // partitions), 1)
     return {r[key]: -(-r["n"] // share) for r in counts.where(F.col("n") > share).collect()}
 
 

@@ -108,7 +108,8 @@ def test_paths_between_named_ends(spark, monkeypatch):
 
 def test_hot_shares_follow_the_counts(spark):
     many = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"), "id")
-    hot = hot_shares(many, "key")
+    assert hot_shares(many, "key") == {}
+    hot = hot_shares(many, "key", least=1)
     assert list(hot) == ["hot"] and hot["hot"] >= 2
     one = spark.createDataFrame([("hot", 1), ("k1", 2)], "key string, v int")
     for how in ("inner", "left"):
