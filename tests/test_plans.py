@@ -1,11 +1,14 @@
 """Physical plans: what must and must not be in them."""
 
 import io
+import tempfile
 from contextlib import redirect_stdout
 
+import pytest
 from pyspark.sql import functions as F
 
 from copperline.operators import entities, graph, statements as stm, structure, topk
+from copperline.plans import case_queries
 from copperline.plans.corpus_queries import part_edges
 from copperline.sources import files
 
@@ -46,3 +49,13 @@ def test_lookup_filter_reaches_the_scan(spark, tmp_path):
     part_edges(spark, SF).write.parquet(str(tmp_path / "calls"))
     text = plan(graph.callees(spark.read.parquet(str(tmp_path / "calls")), "P6"))
     assert "EqualTo(source,P6)" in text and "EqualTo(rel_type,CALLS)" in text
+
+
+@pytest.mark.parametrize("name", ["case_expression_types", "case_references", "form_references", "case_nesting"])
+def test_parsed_rows_are_never_broadcast(spark, name):
+    """Their estimate follows the sources, or a well compressed file, and not the rows."""
+    parts = spark.range(3).select(F.col("id").alias("p_partkey"), F.lit(5).alias("p_size"), F.lit("B").alias("p_brand"))
+    folder = f"{tempfile.mkdtemp()}/sf"
+    parts.write.parquet(f"{folder}/part.parquet")
+    text = plan(case_queries.QUERIES[name](spark, folder))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
