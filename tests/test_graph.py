@@ -323,3 +323,36 @@ def test_retrieval(spark):
     text = {r["query_id"]: r["prompt"] for r in ask.build_prompts(asked, found).collect()}
     assert '["B", "X"]\n[]\n\nQuestion: customer code?' in text["1"]
     assert text["2"] == text["3"] == "Please provide a valid query about the COBOL codebase."
+
+
+def test_equal_paths_are_counted(spark, monkeypatch):
+    pairs = [p for i in range(5) for p in ((f"a{i}", f"b{i}"), (f"a{i}", f"c{i}"), (f"b{i}", f"a{i + 1}"), (f"c{i}", f"a{i + 1}"))]
+    made = []
+
+    def seen(df):
+        made.append(materialize(df))
+        return made[-1]
+
+    monkeypatch.setattr(paths, "materialize", seen)
+    got = sorted(map(tuple, paths.reachable_paths(edges(spark, *pairs), "a0").collect()))
+    assert got == sorted(p for p in brute_paths(pairs, 10) if p[0] == "a0") and len(got) > 90
+    assert sum(df.count() for df in made if "used" in df.columns) == 15
+
+
+def test_seen_pairs_are_not_read_in_every_round(spark, monkeypatch):
+    pairs = [(f"p{k}", f"p{k // 2}") for k in range(2, 48)] + [("p1", "u"), ("u", "v"), ("v", "u")]
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df)
+
+    monkeypatch.setattr(paths, "materialize", seen)
+    monkeypatch.setattr(paths, "LEAST_SHARE", 0, raising=False)
+    reach = {(r["source"], r["target"]): r["length"] for r in paths.reachability(edges(spark, *pairs)).collect()}
+    shortest = {}
+    for s, t, n in brute_paths(pairs, 12):
+        shortest[s, t] = min(n, shortest.get((s, t), n))
+    assert reach == shortest
+    # between the lookups in all of them, only pairs that may lie on a cycle are compared
+    assert any("AND again#" in p for p in plans if "LeftAnti" in p)
