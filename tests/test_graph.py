@@ -106,6 +106,32 @@ def test_paths_between_named_ends(spark, monkeypatch):
     assert paths.paths_between(edges(spark, *pairs), spark.createDataFrame([("x1", "a")], "source string, target string")).isEmpty()
 
 
+def test_paths_between_do_not_pay_for_all_that_leads_to_a_target(spark, monkeypatch):
+    """Targets near their sources on a deep graph: what is made follows the paths, not the hundreds that lead to each target."""
+    monkeypatch.setattr(paths, "LEAST_SHARE", 0)
+    pairs = [(f"p{k}", f"p{t}") for k in range(1, 600) for t in {k // 2, *([k // 3] if k % 3 == 0 else [])}] + [("p0", "p0")]
+    wanted = [(f"p{k}", f"p{t}") for k in range(1, 600) for t in (k // 8, k // 9)]
+    made = []
+
+    def seen(df):
+        made.append(materialize(df))
+        return made[-1]
+
+    monkeypatch.setattr(paths, "materialize", seen)
+    got = sorted(map(tuple, paths.paths_between(edges(spark, *pairs), spark.createDataFrame(wanted, "source string, target string")).collect()))
+    assert got == sorted(p for p in brute_paths(pairs, 12) if p[:2] in set(wanted))
+    # all that leads to the targets makes it 16 for each pair
+    assert sum(df.count() for df in made) < 14 * len(wanted)
+
+
+def test_ranks_are_longer_than_those_of_all_that_leads_there(spark, monkeypatch):
+    links = edges(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("x", "c"))
+    known = {"b": 2, "c": 3, "d": None, "e": None, "f": None}
+    assert dict(map(tuple, paths._ranks(links.select("source", "target")).collect())) == known
+    monkeypatch.setattr(paths, "_PEEL", 0)
+    assert dict(map(tuple, paths._ranks(links.select("source", "target")).collect())) == {**known, "c": None}
+
+
 def test_hot_shares_follow_the_counts(spark):
     many = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"), "id")
     assert hot_shares(many, "key") == {}
