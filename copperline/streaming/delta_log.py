@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from copperline.operators import graph
 from copperline.sources import snapshots
@@ -37,12 +37,20 @@ def _bucketed(rows: DataFrame, key: list[str], buckets: int) -> DataFrame:
 
 
 def _latest(rows: DataFrame, table: Keyed) -> DataFrame:
-    return graph.latest(rows, table.key, [*table.newest, _SEQ])
+    """Per key the newest of the stored rows. A key has at most one row in a delta, so a window's groups are small, and
+    unlike the picked row of an aggregate it lets columns that nobody reads be left in their files."""
+    newest = Window.partitionBy(*table.key).orderBy(*[F.col(c).desc_nulls_last() for c in [*table.newest, _SEQ]])
+    return rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") == 1).drop("_rank")
 
 
-def _write(rows: DataFrame, root: str, folder: str, key: list[str]) -> None:
-    """One file per bucket, sorted by key."""
-    rows.repartition(_BUCKET).sortWithinPartitions(_BUCKET, *key).write.partitionBy(_BUCKET).parquet(f"{root}/{folder}")
+def _write(rows: DataFrame, root: str, folder: str, table: Keyed, buckets: int) -> None:
+    """The newest row per key, one file per bucket, sorted by key.
+
+    Rows are dealt to their buckets once; what is newest is picked there, in the order that the files want.
+    """
+    dealt = _bucketed(rows, table.key, buckets).repartition(_BUCKET)
+    kept = graph.latest(dealt, [_BUCKET, *table.key], [*table.newest, _SEQ])
+    kept.sortWithinPartitions(_BUCKET, *table.key).write.partitionBy(_BUCKET).parquet(f"{root}/{folder}")
 
 
 def _filled(spark: SparkSession, root: str, folder: str) -> list[int]:
@@ -61,6 +69,12 @@ def _held(live: list[dict]) -> Counter:
     return Counter(bucket for delta in live for bucket in delta["buckets"])
 
 
+def taken(spark: SparkSession, root: str, stream: str, batch_id: int) -> int | None:
+    """The published version if it holds this batch of ``stream`` already."""
+    state = snapshots.read(spark, root)
+    return state["version"] if state and state["batches"].get(stream, -1) >= batch_id else None
+
+
 def append(
     spark: SparkSession, root: str, rows: dict[str, DataFrame], tables: dict[str, Keyed], stream: str, batch_id: int,
     buckets: int = BUCKETS, max_deltas: int = MAX_DELTAS,
@@ -77,8 +91,8 @@ def append(
         fresh = {"version": version, "buckets": state["buckets"], "batches": {**state["batches"], stream: batch_id}, "tables": {}, "schemas": {}}
         for name, new in rows.items():
             table, folder = tables[name], snapshots.new_folder(name)
-            marked = _latest(new.withColumn(_SEQ, F.lit(version).cast("long")), table)
-            _write(_bucketed(marked, table.key, state["buckets"]), root, folder, table.key)
+            marked = new.withColumn(_SEQ, F.lit(version).cast("long"))
+            _write(marked, root, folder, table, state["buckets"])
             live = [*state["tables"].get(name, [])]
             filled = _filled(spark, root, folder)
             if filled:
@@ -100,7 +114,7 @@ def _compacted(spark: SparkSession, root: str, name: str, table: Keyed, live: li
         return live
     folder = snapshots.new_folder(name)
     stored = spark.read.schema(T.StructType.fromJson(state["schemas"][name])).parquet(*_paths(root, live, full))
-    _write(_bucketed(_latest(stored, table), table.key, state["buckets"]), root, folder, table.key)
+    _write(stored, root, folder, table, state["buckets"])
     # what is merged is older than any delta to come, so the merged folder goes first
     rest = [{"folder": d["folder"], "buckets": [b for b in d["buckets"] if b not in full]} for d in live]
     return [{"folder": folder, "buckets": sorted(full)}, *[d for d in rest if d["buckets"]]]
