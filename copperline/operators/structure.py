@@ -72,9 +72,13 @@ def _program_id(sents_name: str) -> Column:
 
 def units(sources: DataFrame, fmt: str | Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per program unit: path, file_name, ``keep``, base, unit_sents, program_id, unit_name, decimal_comma, program."""
+    return units_of(with_sentences(sources, fmt), keep)
+
+
+def units_of(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``units`` of rows that have their ``sents`` already."""
     cut = explode_slices(
-        with_sentences(sources, fmt), "sents", is_unit_header,
-        ["path", "file_name", *keep], absorb_lead=True, part="unit_sents",
+        parsed, "sents", is_unit_header, ["path", "file_name", *keep], absorb_lead=True, part="unit_sents",
     )
     named = cut.withColumn("program_id", _program_id("unit_sents")).withColumn(
         "unit_name", naming.unit_name(F.col("file_name"))

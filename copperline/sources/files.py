@@ -63,13 +63,13 @@ def sources_from_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def mark_usable(sources: DataFrame, fmt: str | None = None) -> DataFrame:
-    """``_source`` (the row) and ``_ok``: whether the text has a program or data items."""
+    """``_source`` (the row, and its sentences as ``sents``) and ``_ok``: whether the text has a program or data items."""
     usable = F.exists("sents", lambda s: s.rlike(structure.PROGRAM_ID) | (
         s.rlike(structure.ITEM) & s.rlike(r"^((0?1|77)\s+\S|\d+(\s+\S+)+\s+\S)")
     ))
     kept = F.struct(*sources.columns)
     return structure.with_sentences(sources.withColumn("_source", kept), fmt).select(
-        "_source", F.coalesce(usable, F.lit(False)).alias("_ok")
+        F.struct("_source.*", "sents").alias("_source"), F.coalesce(usable, F.lit(False)).alias("_ok")
     )
 
 

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from copperline.operators import structure
 from copperline.plans import ask, ingest as plan
 from copperline.session import materialize
 from copperline.sources import files
@@ -31,11 +32,19 @@ def merge_batch(
     """Add one batch of sources, and of ``rejects`` (path, reason), to the tables; returns the version it is in.
 
     The batch's rows are appended and nothing stored is rewritten but buckets due for compaction. A batch of a
-    ``stream`` whose id is in already is skipped. A stream that starts anew under another name brings its files
+    ``stream`` whose id is in already is skipped, before anything of it is parsed. A stream that starts anew under another name brings its files
     again: rows replace their equals, so nothing is lost or doubled.
     """
-    rows = plan.graph_tables(sources, fmt)
-    rows["vectors"] = ask.doc_vectors(plan.with_main_program(sources, fmt))
+    known = delta_log.taken(spark, out_dir, stream, batch_id)
+    return _merge_parsed(spark, plan.stored_sentences(sources, fmt), out_dir, batch_id, rejects, stream) if known is None else known
+
+
+def _merge_parsed(
+    spark: SparkSession, parsed: DataFrame, out_dir: str, batch_id: int, rejects: DataFrame | None, stream: str
+) -> int:
+    """``merge_batch`` of a table of sources with their ``sents``."""
+    rows = plan.graph_of_units(structure.units_of(parsed))
+    rows["vectors"] = ask.doc_vectors(plan.main_programs(parsed))
     rows["rejects"] = spark.createDataFrame([], "path string, reason string") if rejects is None else rejects
     return delta_log.append(spark, out_dir, rows, TABLES, stream, batch_id)
 
@@ -56,12 +65,13 @@ def incremental_ingest(
     )
 
     def take(batch: DataFrame, batch_id: int) -> None:
+        stream_id = _stream_id(spark, checkpoint)
+        if delta_log.taken(spark, out_dir, stream_id, batch_id) is not None:
+            return
         named = batch.select("path", F.regexp_extract("path", r"([^/\\]+)$", 1).alias("file_name"), "content")
         decoded, undecodable = files.decode_sources(named)
-        sources, unparsable = files.split_marked(materialize(files.mark_usable(decoded, fmt)), decoded.columns)
-        merge_batch(
-            spark, sources, out_dir, batch_id, fmt, undecodable.unionByName(unparsable), _stream_id(spark, checkpoint)
-        )
+        parsed, unparsable = files.split_marked(materialize(files.mark_usable(decoded, fmt)), [*decoded.columns, "sents"])
+        _merge_parsed(spark, parsed, out_dir, batch_id, undecodable.unionByName(unparsable), stream_id)
 
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

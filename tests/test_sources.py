@@ -3,7 +3,7 @@ import os
 import pytest
 
 from copperline import schemas
-from copperline.operators import graph
+from copperline.operators import graph, structure
 from copperline.plans import ingest
 from copperline.sources import collections as coll, files, snapshots
 from copperline.streaming import delta_log, incremental
@@ -195,3 +195,35 @@ def test_nothing_is_published_with_repeated_keys(spark, tmp_path):
     assert graph.read_graph(spark, root, ["programs"])["programs"].count() == 50
     with pytest.raises(ValueError):
         graph.write_graph({"programs": rows}, root)
+
+
+def test_texts_of_a_job_are_parsed_once(spark, tmp_path, monkeypatch):
+    """One parse per text, and what is contained or called is read from tables; a batch that comes again is not parsed at all."""
+    parsed, with_sentences = [], structure.with_sentences
+
+    def counted(*args):
+        parsed.append(args)
+        return with_sentences(*args)
+
+    monkeypatch.setattr(structure, "with_sentences", counted)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.cbl").write_text(P.CALLS)
+    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert len(parsed) == 1
+    sources = spark.createDataFrame([("/p/a.cbl", "a.cbl", P.CALLS)], "path string, file_name string, content string")
+    tables = ingest.graph_tables(sources)
+    for name in ("entities", "contains", "calls", "programs"):
+        assert "Generate" not in tables[name]._jdf.queryExecution().optimizedPlan().toString(), name
+    parsed.clear()
+    root = str(tmp_path / "log")
+    assert incremental.merge_batch(spark, sources, root, 0) == 1 and len(parsed) == 1
+    before = {n: df.count() for n, df in incremental.current_tables(spark, root).items()}
+    assert incremental.merge_batch(spark, sources, root, 0) == 1 and len(parsed) == 1
+    assert {n: df.count() for n, df in incremental.current_tables(spark, root).items()} == before
+    for batch in (1, 2):
+        incremental.incremental_ingest(spark, str(tmp_path / "in"), str(tmp_path / "live"), str(tmp_path / f"state{batch}"))
+    assert len(parsed) == 3
+    # columns that nobody reads stay in their files, also where the newest row of a key has to be found
+    ids = incremental.current_tables(spark, str(tmp_path / "live"))["vectors"].select("id")
+    read = [part.split("\n")[0] for part in ids._jdf.queryExecution().executedPlan().toString().split("ReadSchema:")[1:]]
+    assert ids.count() == 1 and read and not any("embedding" in columns for columns in read)
