@@ -1,10 +1,10 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 N-grams of one to three characters are hashed into ``BUCKETS`` columns. Weights are trained with
-follow-the-regularised-leader and elastic-net penalties on a bounded sample of the labelled rows
-(``SAMPLE`` rows, picked by a hash): each shard of the sample trains in a task of its own, the states
-are averaged, and the next round starts from the average. One temperature, fitted on the part of
-the sample that no shard trains on, calibrates the probabilities. All texts are read whole.
+follow-the-regularised-leader and elastic-net penalties on all labelled rows but a seventh: each shard trains in a
+task of its own, the states are averaged, and the next round starts from the average. Of few rows
+all take part in every round, of ``SHARD_ROWS`` or more for each shard and round every row in one. One temperature, fitted on the
+seventh that no shard trains on, calibrates the probabilities. No row is left out and all texts are read whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every text if
 there is no labelled row; copies and repeated rows are predicted alike; other columns are kept.
@@ -12,20 +12,25 @@ there is no labelled row; copies and repeated rows are predicted alike; other co
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from copperline.llm.columns import by_place
 from copperline.session import materialize
 
 BUCKETS = 1 << 14
-SAMPLE = 6000
+#: Rows that a shard learns from in a round, and how many shards there are at least and at most: every one sends its state to the driver.
+SHARD_ROWS = 1000
 SHARDS = 6
+MOST_SHARDS = 48
 ROUNDS = 4
+#: Scores of the calibration rows that the model keeps at most, evenly spaced by rank.
+REACHED = 10_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
 _SPACE = 32
@@ -103,7 +108,7 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray
     temperature: float
-    #: Scores of the calibration rows whose language was named right, in order.
+    #: Scores of the calibration rows whose language was named right, in order; of many, every n-th.
     reached: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def score_reached_by(self, share: float) -> float:
@@ -123,65 +128,117 @@ class Model:
         return self.classes[best], float(p[best])
 
 
-def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of the least log loss, by a search over a falling grid."""
-    if not len(labels):
-        return 1.0
+def _loss(logits: np.ndarray, labels: np.ndarray, temperature: float) -> np.ndarray:
+    return -np.log(np.maximum(_softmax(logits / temperature)[np.arange(len(labels)), labels], 1e-12))
+
+
+def fit_temperature(held: DataFrame) -> float:
+    """The temperature of the least log loss over rows of logits and label, by a search over a falling grid.
+
+    Each partition sums its own losses; a sum per point of the grid is all that reaches the driver.
+    """
     low, high = np.log(0.1), np.log(10.0)
     for _ in range(4):
         grid = np.linspace(low, high, 17)
-        loss = [-np.log(np.maximum(_softmax(logits / np.exp(t))[np.arange(len(labels)), labels], 1e-12)).mean() for t in grid]
-        best = int(np.argmin(loss))
+
+        def losses(batches: Iterator[pd.DataFrame], grid: np.ndarray = grid) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    logits, labels = np.stack(pdf["logits"].to_numpy()), pdf["label"].to_numpy()
+                    yield pd.DataFrame({"point": range(len(grid)), "loss": [_loss(logits, labels, np.exp(t)).sum() for t in grid]})
+
+        total = held.mapInPandas(losses, "point int, loss double").groupBy("point").agg(F.sum("loss").alias("loss")).orderBy("point").collect()
+        best = int(np.argmin([r["loss"] for r in total]))
         low, high = grid[max(best - 1, 0)], grid[min(best + 1, 16)]
     return float(np.exp((low + high) / 2))
 
 
-_COUNTS = T.ArrayType(T.IntegerType())
+def _by_rank(scores: DataFrame) -> np.ndarray:
+    """The scores in order; of more than ``REACHED`` so many, those at evenly spaced ranks of all. Exact: ranks are counted, not estimated."""
+    n = scores.count()
+    if n <= REACHED:
+        return np.sort([r["score"] for r in scores.select("score").collect()]).astype(float)
+    binned = scores.select("score", F.floor(F.col("score") * (1 << 16)).alias("bin"))
+    # one narrow row per bin
+    before = binned.groupBy("bin").count().select(
+        "bin", F.coalesce(F.sum("count").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    )
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy("score")) - 1
+    ranked = binned.join(before, "bin").select("score", rank.alias("rank"))
+    # n / REACHED ranks lie between two that are kept; the place is the least whose rank is not below this one
+    place = F.expr(f"(rank * {REACHED} + {n} - 1) div {n}")
+    kept = ranked.withColumn("place", place).where((F.col("place") < REACHED) & F.expr(f"(place * {n}) div {REACHED} = rank"))
+    return np.array([r["score"] for r in kept.orderBy("place").collect()])
+
+
+def pack(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Buckets in order and their counts as bytes: a fraction of the arrays' size where rows are shuffled."""
+    return zlib.compress(np.diff(at, prepend=0).astype("<u2").tobytes() + counts.astype("<u4").tobytes(), 1)
+
 
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(packed)
+    size = len(raw) // 6
+    return np.cumsum(np.frombuffer(raw, "<u2", size)).astype(np.int32), np.frombuffer(raw, "<u4", size, 2 * size).astype(np.int32)
 
-@F.pandas_udf(T.StructType([T.StructField("at", _COUNTS), T.StructField("n", _COUNTS)]))
-def _grams(texts: pd.Series) -> pd.DataFrame:
-    found = [grams(t) if isinstance(t, str) else None for t in texts]
-    return pd.DataFrame({"at": [f and f[0] for f in found], "n": [f and f[1] for f in found]})
+
+@F.pandas_udf(T.BinaryType())
+def _grams(texts: pd.Series) -> pd.Series:
+    def packed(text: str | None) -> bytes | None:
+        found = grams(text) if isinstance(text, str) else None
+        return found and pack(*found)
+
+    # one text's arrays at a time: a batch of them would be many times its texts
+    return pd.Series([packed(t) for t in texts], dtype=object)
 
 
 def fit(
-    labelled: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, rounds: int = ROUNDS, text_col: str = "text",
-    lang_col: str = "lang", id_col: str = "doc_id",
+    labelled: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text_col: str = "text", lang_col: str = "lang",
+    id_col: str = "doc_id",
 ) -> Model:
     """Train on rows with a non-null language; the caller leaves out what must not be learnt from.
 
-    Rows are picked by a hash of id, text and language: copies of a text are picked apart from each other.
+    Rows are dealt to shards by a hash of id and text, and to rounds by one of id, text and language: copies of a text
+    come apart from each other.
     """
     known = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     total = known.count()
+    # each row is learnt in every round, or, where there are enough, in one of them
+    parts = max(1, min(rounds, total // (SHARD_ROWS * (shards + 1))))
+    dealt = F.hash("id", "text")
+    shard = F.pmod(dealt, F.lit(shards + 1)).alias("shard")
     pick = F.pmod(F.xxhash64("id", "text", "lang"), F.lit(1 << 30))
-    share = min(1.0, sample / total) if total else 0.0
-    picked = known.where(pick < int(share * (1 << 30))).withColumn("_g", _grams("text"))
-    rows = materialize(picked.select(
-        "lang", pick.alias("pick"), F.pmod(F.hash("id", "text"), F.lit(shards + 1)).alias("shard"),
-        F.col("_g.at").alias("at"), F.col("_g.n").alias("n"),
-    ).where("at is not null"))
+    more = max(1, min(MOST_SHARDS, total // (SHARD_ROWS * parts)) // shards)
+    rows = materialize(known.select(
+        "lang", pick.alias("pick"), shard, F.pmod(F.xxhash64("id", "text"), F.lit(more)).alias("sub"),
+        (pick % parts).alias("part"), _grams("text").alias("grams"),
+    ).where("grams is not null"))
     classes = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
     if not classes:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0)
+
+    def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(BUCKETS, np.int64)
+        for pdf in batches:
+            for packed in pdf["grams"]:
+                seen[unpack(packed)[0]] += 1
+        found = np.flatnonzero(seen)
+        yield pd.DataFrame({"b": found, "n": seen[found]})
+
     # at most BUCKETS rows, for every size of input
-    seen = rows.select(F.explode("at").alias("b")).groupBy("b").count().collect()
     df = np.zeros(BUCKETS)
-    for r in seen:
-        df[r["b"]] = r["count"]
+    for r in rows.select("grams").mapInPandas(present, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        df[r["b"]] = r["n"]
     idf = np.log((1 + rows.count()) / (1 + df)) + 1
     number = {c: i for i, c in enumerate(classes)}
     shape = (BUCKETS + 1, len(classes))
 
-    def unpacked(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    def unpacked(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         ordered = pdf.sort_values(["pick", "lang"], kind="stable")
-        return [
-            (np.asarray(a, np.int32), np.asarray(n), number[lang])
-            for a, n, lang in zip(ordered["at"], ordered["n"], ordered["lang"])
-        ]
+        for packed, lang in zip(ordered["grams"], ordered["lang"]):
+            yield *unpack(packed), number[lang]
 
     def trained(z0: np.ndarray, n0: np.ndarray):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -195,23 +252,31 @@ def fit(
     if learn.isEmpty():
         learn = rows
     z, n = np.zeros(shape), np.zeros(shape)
-    for _ in range(rounds):
-        states = learn.groupBy("shard").applyInPandas(trained(z, n), "z binary, n binary").collect()
+    for turn in range(rounds):
+        states = learn.where(F.col("part") == turn % parts).groupBy("shard", "sub").applyInPandas(trained(z, n), "z binary, n binary").collect()
+        if not states:
+            continue
         z = np.mean([np.frombuffer(s["z"], np.float32).reshape(shape) for s in states], axis=0).astype(float)
         n = np.mean([np.frombuffer(s["n"], np.float32).reshape(shape) for s in states], axis=0).astype(float)
     weights = weights_of(z, n)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [tf_idf(a, c, idf) @ weights[a] + weights[-1] for a, c, _ in unpacked(pdf)]
-            labels = [label for _, _, label in unpacked(pdf)]
-            yield pd.DataFrame({"logits": out, "label": labels})
-
-    held = rows.where(F.col("shard") == shards).mapInPandas(scored, "logits array<double>, label int").collect()
-    logits, labels = np.array([r["logits"] for r in held]).reshape(-1, len(classes)), np.array([r["label"] for r in held], int)
-    temperature = fit_temperature(logits, labels)
-    p = _softmax(logits / temperature) if len(labels) else logits
-    return Model(classes, idf, weights, temperature, np.sort(p.max(axis=1)[p.argmax(axis=1) == labels]) if len(labels) else np.zeros(0))
+            out = [(tf_idf(a, c, idf) @ weights[a] + weights[-1], label) for a, c, label in unpacked(pdf)]
+            yield pd.DataFrame(out, columns=["logits", "label"])
+
+    held = materialize(rows.where(F.col("shard") == shards).select("pick", "lang", "grams").mapInPandas(scored, "logits array<double>, label int"))
+    if held.isEmpty():
+        return Model(classes, idf, weights, 1.0)
+    temperature = fit_temperature(held)
+
+    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                p = _softmax(np.stack(pdf["logits"].to_numpy()) / temperature)
+                yield pd.DataFrame({"score": p.max(axis=1)[p.argmax(axis=1) == pdf["label"].to_numpy()]})
+
+    return Model(classes, idf, weights, temperature, _by_rank(materialize(held.mapInPandas(reached, "score double"))))
 
 
 @by_place("lang_pred", "score")

@@ -179,3 +179,31 @@ def test_pipeline_stages(spark):
             assert simhash.near_duplicates(docs).groupBy("root").count().where("count > 1").isEmpty()
     assert docs.columns == [*columns, "n_copies", "copy", "shuffle_key"]
     assert all(after <= n for name, n, after in sizes[:-1]) and sizes[-1][2] > 0
+
+
+def test_language_model_learns_from_every_row(spark, monkeypatch):
+    """No row is left out, however many there are: each is counted, and learnt from or held for calibration."""
+    monkeypatch.setattr(language_id, "SHARD_ROWS", 5)
+    monkeypatch.setattr(language_id, "REACHED", 10)
+    texts = [(i, f"alpha beta {'x' * (i % 5 + 1)} gamma", "aa") if i % 2 else (i, f"unda dwa {'z' * (i % 5 + 1)} trzy", "bb") for i in range(600)]
+    stored, materialize = [], language_id.materialize
+
+    def seen(df):
+        stored.append(materialize(df))
+        return stored[-1]
+
+    monkeypatch.setattr(language_id, "materialize", seen)
+    model = language_id.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    rows = stored[0]
+    assert rows.count() == 600 and {r[0] for r in rows.select("part").distinct().collect()} == set(range(language_id.ROUNDS))
+    assert rows.select("shard", "sub").distinct().count() > language_id.SHARDS + 1
+    # the bars are those of all calibration rows in order
+    scores = np.sort([r["score"] for r in stored[2].collect()])
+    assert len(scores) > 50 and list(model.reached) == [scores[j * len(scores) // 10] for j in range(10)]
+    assert model.predict("alpha gamma")[0] == "aa" and model.predict("dwa trzy")[0] == "bb"
+
+
+def test_packed_grams_come_back():
+    at, n = language_id.grams("Some text, some more text")
+    back = language_id.unpack(language_id.pack(at, n))
+    assert back[0].tolist() == at.tolist() and back[1].tolist() == n.tolist()
