@@ -112,6 +112,15 @@ def _ones(width: int) -> Column:
     return F.lit(-1 if width == 64 else (1 << width) - 1).cast("long")
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """One side of a join that shuffles whatever Spark thinks of its size.
+
+    Rows made by an explode, and files that compress well, are estimated far too low; a broadcast by that would have to
+    fit the driver. A join planned as a broadcast stays one, whatever the rows before it turn out to be.
+    """
+    return df.hint("merge")
+
+
 def dense(fps: DataFrame, max_bits: int, bucket: int) -> tuple[DataFrame, DataFrame]:
     """Which fingerprints have a segment that more than half a bucket of them hold, or are one bit from such.
 
@@ -120,12 +129,12 @@ def dense(fps: DataFrame, max_bits: int, bucket: int) -> tuple[DataFrame, DataFr
     """
     values = fps.select("fp", F.explode(_segment_values(F.col("fp"), max_bits)).alias("v")).select("fp", "v.s", "v.value")
     hot = materialize(values.groupBy("s", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket // 2))
-    held = materialize(values.join(hot.select("s", "value"), ["s", "value"], "left_semi").select("fp", "s"))
+    held = materialize(values.join(_shuffled(hot.select("s", "value")), ["s", "value"], "left_semi").select("fp", "s"))
     widths = F.lit(0)
     for s, (_, width) in enumerate(_segments(max_bits)):
         widths = F.when(F.col("s") == s, width).otherwise(widths)
     around = hot.select("s", F.explode(_with_flips(F.col("value"), widths)).alias("value")).distinct()
-    near = materialize(values.join(around, ["s", "value"], "left_semi").select("fp").distinct())
+    near = materialize(values.join(_shuffled(around), ["s", "value"], "left_semi").select("fp").distinct())
     return held, near
 
 
@@ -136,12 +145,16 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> Dat
     smallest of each variant stand for them. The linear form proves up to two bits; beyond that
     every key is joined whole.
     """
-    keyed = fps.select("fp", F.explode(_variants(F.col("fp"), max_bits)).alias("v")).select("fp", "v.s", "v.key", "v.side")
+    left_out = F.lit(0)
     if max_bits <= 2:
         held, near = dense(fps, max_bits, bucket)
-        keyed = keyed.join(held, ["fp", "s"], "left_anti")
-    keyed = keyed.select("fp", "key", "side")
-    a, b = keyed.alias("a"), keyed.alias("b")
+        # the segments to leave out as bits beside each fingerprint: joined before dozens of keys are made of it
+        marks = held.groupBy("fp").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("s"))).alias("held"))
+        fps, left_out = fps.select("fp").join(_shuffled(marks), "fp", "left"), F.coalesce("held", F.lit(0))
+    keyed = fps.select("fp", left_out.alias("held"), F.explode(_variants(F.col("fp"), max_bits)).alias("v")).where(
+        F.getbit("held", F.col("v.s")) == 0
+    ).select("fp", "v.key", "v.side")
+    a, b = keyed.alias("a"), _shuffled(keyed.alias("b"))
     bits = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
     # with a masked bit only unequal bits need to meet; equal segments meet under the key without a wildcard
     sides = ((F.col("a.side") == 0) & (F.col("b.side") == 1)) | ((F.col("a.side") == 2) & (F.col("b.side") == 2))
@@ -150,7 +163,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> Dat
     if max_bits <= 2:
         spread = near.select("fp", F.explode(_with_flips(F.col("fp"), 64)).alias("z"))
         first = spread.groupBy("z").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("z", "a")
-        star = spread.join(first, "z").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
+        star = spread.join(_shuffled(first), "z").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
         found = found.unionByName(star.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     return found.distinct()
 
@@ -169,18 +182,18 @@ def components(edges: DataFrame) -> DataFrame:
     ))
     while True:
         roots = state.select(F.col("node").alias("other"), F.col("root").alias("seen"))
-        offers = both.join(roots, "other").groupBy("node").agg(F.min("seen").alias("offer"))
-        offered = state.join(offers, "node").select("node", "root", F.least("root", "offer").alias("offer"))
+        offers = both.join(_shuffled(roots), "other").groupBy("node").agg(F.min("seen").alias("offer"))
+        offered = state.join(_shuffled(offers), "node").select("node", "root", F.least("root", "offer").alias("offer"))
         # the offer goes to the node and to its root; a root outside the rows so far cannot be
         hooked = offered.select("node", "offer").unionByName(
             offered.select(F.col("root").alias("node"), "offer")
         ).groupBy("node").agg(F.min("offer").alias("root"))
         hooked = materialize(hooked)
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        following = materialize(hooked.join(jump, "root", "left").select(
+        following = materialize(hooked.join(_shuffled(jump), "root", "left").select(
             "node", F.least("root", F.coalesce("next", "root")).alias("root")
         ))
-        changed = following.join(state.withColumnRenamed("root", "old"), "node").where(F.col("old") != F.col("root"))
+        changed = following.join(_shuffled(state.withColumnRenamed("root", "old")), "node").where(F.col("old") != F.col("root"))
         if changed.isEmpty():
             return following
         state = following
@@ -197,12 +210,12 @@ def near_duplicates(
     # the index makes dozens of keys from each: few large files would leave that to few tasks
     spread = nodes.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     linked = components(links(spread, max_bits, bucket)).withColumnRenamed("node", "fp")
-    placed = nodes.join(linked, "fp", "left")
+    placed = nodes.join(_shuffled(linked), "fp", "left")
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("first_id").alias("smallest"))
     groups = placed.join(smallest, "root", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("smallest", "first_id").alias("component_id")
     )
-    return rows.join(groups, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    return rows.join(_shuffled(groups), "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 @by_place()

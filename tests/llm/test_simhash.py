@@ -93,3 +93,20 @@ def test_nulls_copies_and_keep_one(spark):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 5, 9]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_no_join_sends_rows_through_the_driver(spark, monkeypatch):
+    """Rows that grow with the documents are not broadcast: dozens of keys are made of each, and Spark counts them as one."""
+    plans, write = [], simhash.materialize
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(simhash, "materialize", recorded)
+    # a dense group of one-bit neighbours, copies, and fingerprints alone
+    docs = spark.createDataFrame([(i, f"word {i % 90} of some longer text {i % 7}") for i in range(200)], "doc_id long, text string")
+    assert simhash.near_duplicates(docs, bucket=2).count() == 200 and len(plans) > 5
+    assert not [p for p in plans if "BroadcastExchange" in p]
+    group = spark.createDataFrame([(1 << b,) for b in range(40)] + [((1 << 50) + 7 * b,) for b in range(40)], "fp long")
+    assert "BroadcastExchange" not in simhash.links(group, bucket=2)._jdf.queryExecution().executedPlan().toString()
